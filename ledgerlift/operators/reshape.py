@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.keys import restrict
+from ledgerlift.session import cut
 
 
 def concat_set(*dfs: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def coverage_gaps(df: DataFrame, entity: str, value: str, per_bucket: int = 5000
     carries one row per bucket, so arrays stay small whatever the number of values; an
     entity that lacks nothing yields no row. With few values there is one bucket.
     """
-    pairs = df.select(entity, value).where(F.col(value).isNotNull()).distinct()
+    pairs = cut(df.select(entity, value).where(F.col(value).isNotNull()).distinct())
     universe = pairs.select(value).distinct()
     buckets = max(1, -(-universe.count() // per_bucket))
     bucket = F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int").alias("_bucket")

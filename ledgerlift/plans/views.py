@@ -148,7 +148,7 @@ SELECT p_partkey AS program_id,
                 WHEN 'LARGE' THEN concat('PROC MEANS DATA=work.s; RUN;', chr(10))
                 WHEN 'MEDIUM' THEN concat('PROC TABULATE DATA=work.s; RUN; PROC FORMAT; RUN; PROC IML; RUN;', chr(10)) ELSE '' END,
     CASE WHEN p_partkey % 8 = 0 THEN concat('CALL EXECUTE("x");', chr(10)) ELSE '' END,
-    CASE WHEN p_partkey % 15 = 8 THEN concat('x = "Status Vigencia"n; y = "\\\\host\\share\\f.txt";', chr(10)) ELSE '' END,
+    CASE WHEN p_partkey % 15 = 8 THEN concat('x = "Status Vigencia"n; y = "', chr(92), chr(92), 'host', chr(92), 'share', chr(92), 'f.txt";', chr(10)) ELSE '' END,
     CASE WHEN p_size % 2 = 0 THEN concat('PROC EXPORT DATA=work.s OUTFILE="/out/', CAST(p_size AS VARCHAR(10)), '_sap_direto.csv" DBMS=CSV replace; RUN;', chr(10)) ELSE '' END,
     CASE WHEN p_partkey % 9 = 4 THEN concat('PROC EXPORT DATA=work.s OUTFILE="/out/sap_aceito.csv" DBMS=XLSX replace; RUN;', chr(10)) ELSE '' END,
     CASE WHEN p_partkey % 18 = 5 THEN concat('PROC EXPORT DATA=work.s OUTFILE="/out/conciliacao_', CAST(p_size AS VARCHAR(10)), '.csv" DBMS=XLSX replace; RUN;', chr(10)) ELSE '' END,
@@ -219,7 +219,7 @@ BASE_TABLES = list(BASE_SCHEMAS)
 
 
 # Tables that grow with the scale factor and the key that spreads them.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
+SPREAD_KEYS = {"part": "p_partkey", "lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
