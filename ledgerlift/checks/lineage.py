@@ -1,2 +1,129 @@
-QUERIES = {}
-ORACLE = {}
+"""Lineage graph of the order flows and of the program corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlift.checks.corpus import MERGE_LIST, READS, STEPS_LIST, MACROS, ex, srt, trim_all
+from ledgerlift.operators import corpus as C
+from ledgerlift.operators import lineage as L
+from ledgerlift.plans.views import view, with_views
+
+
+def _flows(s, d):
+    v = view(s, d, "lineage_input")
+    return v.select("filename", F.array("ds_read").alias("datasets_read"), F.array("ds_written").alias("datasets_written"))
+
+
+def _graph(s, d):
+    parsed = _flows(s, d)
+    return L.lineage_nodes(parsed), L.lineage_edges(parsed)
+
+
+def _corpus(s, d):
+    fields = ["datasets_read", "datasets_written", "macro_definitions", "macro_calls", "includes"]
+    return C.extract(view(s, d, "programs"), *fields).drop("content")
+
+
+def _datasets(s, d):
+    return L.lineage_edges(_flows(s, d)).where("relationship = 'reads'").select(F.col("source").alias("node")).distinct()
+
+
+def _roots(s, d):
+    nodes, edges = _graph(s, d)
+    return L.roots(nodes, edges).select(F.col("id").alias("node"))
+
+
+def _leaves(s, d):
+    nodes, edges = _graph(s, d)
+    return L.leaves(nodes, edges).select(F.col("id").alias("node"))
+
+
+QUERIES = {
+    "lineage_nodes": lambda s, d: _graph(s, d)[0],
+    "lineage_edges": lambda s, d: _graph(s, d)[1],
+    "lineage_nodes_corpus": lambda s, d: L.lineage_nodes(_corpus(s, d)),
+    "lineage_edges_corpus": lambda s, d: L.lineage_edges(_corpus(s, d)),
+    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _leaves(s, d)),
+    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _roots(s, d)),
+    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _datasets(s, d)),
+    "roots_leaves": lambda s, d: L.roots_leaves(*_graph(s, d)),
+    "graph_stats": lambda s, d: L.graph_stats(*_graph(s, d)),
+    "edge_type_counts": lambda s, d: L.edge_type_counts(L.lineage_edges(_corpus(s, d))),
+    "program_impact": lambda s, d: L.program_impact(*_graph(s, d)),
+    "leaf_outputs": lambda s, d: L.leaf_outputs(*_graph(s, d)),
+    "degree": lambda s, d: L.degree(*_graph(s, d)),
+}
+
+EDGES = """e AS (SELECT DISTINCT * FROM (SELECT 'dataset:' || lower(ds_read) AS source, 'program:' || filename AS target, 'reads' AS relationship FROM lineage_input
+  UNION ALL SELECT 'program:' || filename, 'dataset:' || lower(ds_written), 'writes' FROM lineage_input))"""
+NODES = """nn AS (SELECT 'program:' || filename AS id, 'program' AS type, filename AS label, filename AS f, 0 AS k FROM lineage_input
+  UNION ALL SELECT 'dataset:' || lower(ds_read), 'dataset', ds_read, filename, 1 FROM lineage_input
+  UNION ALL SELECT 'dataset:' || lower(ds_written), 'dataset', ds_written, filename, 2 FROM lineage_input),
+n AS (SELECT id, type, label FROM nn QUALIFY row_number() OVER (PARTITION BY id ORDER BY f, k, label) = 1)"""
+THINGS = [("datasets_read", "dataset", "reads", READS()), ("datasets_written", "dataset", "writes", srt(f"list_concat({STEPS_LIST}, {ex('sql_create')})")),
+          ("macro_definitions", "macro", "defines", ex("macro_def")),
+          ("macro_calls", "macro", "calls", srt(f"list_filter({ex('macro_call')}, lambda n: lower(n) NOT IN ({MACROS}))")),
+          ("includes", "include", "includes", trim_all(ex("include")))]
+MENTIONS = "m AS (" + " UNION ALL ".join(
+    f"SELECT filename, '{kind}' AS type, '{role}' AS relationship, {i} AS k, unnest({e}) AS label FROM programs"
+    for i, (_, kind, role, e) in enumerate(THINGS, start=1)) + """),
+g AS (SELECT *, type || ':' || CASE WHEN type = 'include' THEN label ELSE lower(label) END AS id, 'program:' || filename AS prog FROM m)"""
+
+
+def q(sql):
+    return with_views("lineage_input", sql)
+
+
+def _walk(start_sql, forward=True):
+    a, b = ("source", "target") if forward else ("target", "source")
+    return q(f"""WITH RECURSIVE {EDGES}, {NODES}, st AS ({start_sql}),
+      walk AS (SELECT node AS start, node FROM st UNION SELECT w.start, e.{b} FROM walk w JOIN e ON e.{a} = w.node)
+      SELECT start, node FROM walk WHERE node <> start""")
+
+
+def _walk_hops(start_sql):
+    """Level by level: the shortest way in a chain of ten datasets and ten programs is below forty steps."""
+    return q(f"""WITH RECURSIVE {EDGES}, st AS ({start_sql}),
+      walk AS (SELECT node AS start, node, 0 AS hops FROM st UNION SELECT w.start, e.target, w.hops + 1 FROM walk w JOIN e ON e.source = w.node WHERE w.hops < 40)
+      SELECT start, node, min(hops) AS hops FROM walk WHERE node <> start GROUP BY 1, 2""")
+
+
+ROOTS = "SELECT id AS node FROM n WHERE id NOT IN (SELECT target FROM e)"
+LEAVES = "SELECT id AS node FROM n WHERE id NOT IN (SELECT source FROM e)"
+
+
+def _hops(start_sql, forward=True):
+    a, b = ("source", "target") if forward else ("target", "source")
+    return q(f"""WITH RECURSIVE {EDGES}, {NODES}, st AS ({start_sql}),
+      walk AS (SELECT node AS start, node, 0 AS hops FROM st UNION SELECT w.start, e.{b}, w.hops + 1 FROM walk w JOIN e ON e.{a} = w.node WHERE w.hops < 40)
+      SELECT start, node, min(hops) AS hops FROM walk WHERE node <> start GROUP BY 1, 2""")
+
+
+ORACLE = {
+    "lineage_nodes": q(f"WITH {NODES} SELECT * FROM n"),
+    "lineage_edges": q(f"WITH {EDGES} SELECT * FROM e"),
+    "lineage_nodes_corpus": with_views("programs", f"""WITH {MENTIONS}, a AS (SELECT id, type, label, filename AS f, k FROM g
+      UNION ALL SELECT 'program:' || filename, 'program', filename, filename, 0 FROM programs)
+      SELECT id, type, label FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY f, k, label) = 1"""),
+    "lineage_edges_corpus": with_views("programs", f"""WITH {MENTIONS} SELECT DISTINCT
+      CASE WHEN relationship IN ('reads', 'calls', 'includes') THEN id ELSE prog END AS source,
+      CASE WHEN relationship IN ('reads', 'calls', 'includes') THEN prog ELSE id END AS target, relationship FROM g"""),
+    "upstream": _hops(LEAVES, False),
+    "downstream": _hops(ROOTS),
+    "lineage_closure": _hops("SELECT DISTINCT source AS node FROM e WHERE relationship = 'reads'"),
+    "roots_leaves": q(f"""WITH {EDGES}, {NODES} SELECT id, type, 'root' AS role FROM n WHERE id NOT IN (SELECT target FROM e)
+      UNION ALL SELECT id, type, 'leaf' FROM n WHERE id NOT IN (SELECT source FROM e)"""),
+    "graph_stats": q(f"""WITH {EDGES}, {NODES} SELECT 'nodes:' || type AS measure, count(*) AS value FROM n GROUP BY 1
+      UNION ALL SELECT 'nodes', count(*) FROM n UNION ALL SELECT 'edges', count(*) FROM e"""),
+    "edge_type_counts": with_views("programs", f"""WITH {MENTIONS} SELECT relationship, count(*) AS n FROM
+      (SELECT DISTINCT id, prog, relationship FROM g) GROUP BY 1"""),
+    "program_impact": q(f"""WITH RECURSIVE {EDGES}, {NODES}, pr AS (SELECT id, label FROM n WHERE type = 'program'),
+      dw AS (SELECT id AS start, id AS node FROM pr UNION SELECT w.start, e.target FROM dw w JOIN e ON e.source = w.node),
+      up AS (SELECT id AS start, id AS node FROM pr UNION SELECT w.start, e.source FROM up w JOIN e ON e.target = w.node),
+      dc AS (SELECT start, count(*) - 1 AS c FROM dw GROUP BY 1), uc AS (SELECT start, count(*) - 1 AS c FROM up GROUP BY 1)
+      SELECT label, uc.c AS upstream, dc.c AS downstream, uc.c + dc.c AS total FROM pr JOIN dc ON dc.start = id JOIN uc ON uc.start = id"""),
+    "leaf_outputs": q(f"WITH {EDGES}, {NODES} SELECT label, type FROM n WHERE id NOT IN (SELECT source FROM e)"),
+    "degree": q(f"""WITH {EDGES}, {NODES} SELECT n.id, (SELECT count(*) FROM e WHERE e.target = n.id) AS in_degree,
+      (SELECT count(*) FROM e WHERE e.source = n.id) AS out_degree FROM n"""),
+}

@@ -1,2 +1,62 @@
-QUERIES = {}
-ORACLE = {}
+"""Checks after a load."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlift.operators import reconcile as V
+from ledgerlift.plans.views import view
+
+
+def _pair(s, d):
+    """Customers against a copy that lost rows, gained a column and changed a type."""
+    src = view(s, d, "customer")
+    dst = src.where("c_custkey % 97 <> 5").withColumn("c_nationkey", F.col("c_nationkey").cast("bigint")).withColumn("loaded", F.lit(1)).drop("c_name")
+    return src, dst
+
+
+def _reordered(s, d):
+    src = view(s, d, "lineitem")
+    return src, src.repartition(5, "l_partkey")
+
+
+def _exists(s, d):
+    view(s, d, "orders").createOrReplaceTempView("ledgerlift_orders")
+    return V.check_exists(s, "ledgerlift_orders").unionByName(V.check_exists(s, "ledgerlift_absent"))
+
+
+QUERIES = {
+    "check_row_count": lambda s, d: V.check_row_count(*_pair(s, d), "customer"),
+    "check_row_count_pass": lambda s, d: V.check_row_count(*_reordered(s, d), "lineitem"),
+    "check_schema": lambda s, d: V.check_schema(*_pair(s, d), "customer"),
+    "check_column_stats": lambda s, d: V.check_column_stats(*_pair(s, d), "customer"),
+    "check_checksum": lambda s, d: V.check_checksum(*_reordered(s, d), "lineitem"),
+    "checksum": lambda s, d: V.checksum(view(s, d, "lineitem")),
+    "check_exists": _exists,
+    "reconcile": lambda s, d: V.reconcile(*_pair(s, d), "customer"),
+}
+
+COUNT = """SELECT 'customer' AS dataset, 'row_count' AS "check", '' AS "column", CAST((SELECT count(*) FROM customer) AS DOUBLE) AS expected,
+  CAST((SELECT count(*) FROM dst) AS DOUBLE) AS actual, CASE WHEN (SELECT count(*) FROM customer) = (SELECT count(*) FROM dst) THEN 'PASS' ELSE 'FAIL' END AS status"""
+DST = "dst AS (SELECT * FROM customer WHERE c_custkey % 97 <> 5)"
+SCHEMA = """SELECT * FROM (VALUES ('customer', 'schema', '', 5.0e0, 5.0e0, 'PASS'), ('customer', 'schema_missing', 'c_name', 1.0e0, 0.0e0, 'FAIL'),
+  ('customer', 'schema_extra', 'loaded', 0.0e0, 1.0e0, 'FAIL'), ('customer', 'schema_type', 'c_nationkey', 1.0e0, 1.0e0, 'FAIL'))
+  v(dataset, "check", "column", expected, actual, status)"""
+STATS = " UNION ALL ".join(
+    f"""SELECT 'customer' AS dataset, '{n}' AS "check", '{c}' AS "column", e AS expected, a AS actual, CASE WHEN e = a THEN 'PASS' ELSE 'FAIL' END AS status
+    FROM (SELECT CAST({f.format(c)} AS DOUBLE) AS e FROM customer), (SELECT CAST({f.format(c)} AS DOUBLE) AS a FROM dst)"""
+    for c in ("c_custkey", "c_nationkey", "c_acctbal")
+    for n, f in (("min", "min({0})"), ("max", "max({0})"), ("avg", "round(avg({0}), 6)"), ("null_count", "count(*) - count({0})")))
+
+ORACLE = {
+    "check_row_count": f"WITH {DST} {COUNT}",
+    "check_row_count_pass": """SELECT 'lineitem' AS dataset, 'row_count' AS "check", '' AS "column", CAST(count(*) AS DOUBLE) AS expected,
+      CAST(count(*) AS DOUBLE) AS actual, 'PASS' AS status FROM lineitem""",
+    "check_schema": SCHEMA,
+    "check_column_stats": f"WITH {DST} {STATS}",
+    "check_checksum": """SELECT 'lineitem' AS dataset, 'checksum' AS "check", '' AS "column", CAST(NULL AS DOUBLE) AS expected, CAST(NULL AS DOUBLE) AS actual, 'PASS' AS status""",
+    "check_exists": """SELECT * FROM (VALUES ('ledgerlift_orders', 'exists', '', 1.0e0, 1.0e0, 'PASS'), ('ledgerlift_absent', 'exists', '', 1.0e0, 0.0e0, 'WARNING'))
+      v(dataset, "check", "column", expected, actual, status)""",
+    "reconcile": f"""WITH {DST} {COUNT} UNION ALL {SCHEMA} UNION ALL {STATS}
+      UNION ALL SELECT 'customer', 'checksum', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'FAIL'""",
+}

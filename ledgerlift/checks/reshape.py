@@ -1,2 +1,60 @@
-QUERIES = {}
-ORACLE = {}
+"""Set operations and reshaping."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlift.functions.semantics import lt
+from ledgerlift.operators import reshape as H
+from ledgerlift.plans.views import view, with_views
+
+c = F.col
+
+
+def _split(s, d):
+    df = view(s, d, "installments").select("cod_apolice", "num_parcela", "cod_tp_emissao", "dt_vencimento")
+    return H.split_outputs(df, {
+        "direto": c("cod_tp_emissao") == "D", "aceito": c("cod_tp_emissao") == "A",
+        "vencido": lt(c("dt_vencimento"), F.lit("1998-06-30").cast("date"))}).drop("cod_tp_emissao", "dt_vencimento")
+
+
+def _gaps(s, d):
+    """Event types by user: which kinds each user lacks on even event days, cut into several buckets."""
+    pairs = view(s, d, "lineitem").select("l_suppkey", F.concat(F.lit("p"), F.col("l_partkey")).alias("part"))
+    return H.coverage_gaps(pairs, "l_suppkey", "part", per_bucket=100).select(
+        "l_suppkey", F.explode("missing").alias("part")).groupBy("l_suppkey").agg(
+        F.count("part").alias("n_missing"), F.min("part").alias("first_missing"), F.max("part").alias("last_missing"))
+
+
+QUERIES = {
+    "concat_set": lambda s, d: H.concat_set(
+        view(s, d, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), "c_acctbal"),
+        view(s, d, "supplier").select(c("s_name").alias("name"), c("s_suppkey").alias("id"), "s_nationkey"),
+        view(s, d, "nation").select(c("n_nationkey").cast("bigint").alias("id"), c("n_name").alias("name"))),
+    "union_all": lambda s, d: H.union_all(
+        view(s, d, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name")),
+        view(s, d, "supplier").select("s_suppkey", "s_name"), view(s, d, "supplier").select("s_suppkey", "s_name")),
+    "unpivot": lambda s, d: H.unpivot(view(s, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], {
+        "l_quantity": "qty", "l_extendedprice": "price", "l_discount": "discount", "l_tax": "tax"}, "conta", "montante"),
+    "split_outputs": _split,
+    "set_diff": lambda s, d: H.set_diff(
+        view(s, d, "customer").select(c("c_custkey").alias("k")), view(s, d, "orders").where("o_orderstatus = 'P'").select(c("o_custkey").alias("k")), ["k"]),
+    "coverage_gaps": _gaps,
+}
+
+ORACLE = {
+    "concat_set": """SELECT c_custkey AS id, c_name AS name, c_acctbal, CAST(NULL AS INTEGER) AS s_nationkey FROM customer
+      UNION ALL SELECT s_suppkey, s_name, NULL, s_nationkey FROM supplier UNION ALL SELECT n_nationkey, n_name, NULL, NULL FROM nation""",
+    "union_all": """SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier
+      UNION ALL SELECT s_suppkey, s_name FROM supplier""",
+    "unpivot": " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, l_partkey, '{n}' AS conta, {v} AS montante FROM lineitem" for n, v in (
+        ("qty", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax"))),
+    "split_outputs": with_views("installments", """SELECT cod_apolice, num_parcela, CASE cod_tp_emissao WHEN 'D' THEN 'direto' ELSE 'aceito' END AS output
+      FROM installments UNION ALL SELECT cod_apolice, num_parcela, 'vencido' FROM installments
+      WHERE dt_vencimento IS NULL OR dt_vencimento < DATE '1998-06-30'"""),
+    "set_diff": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
+    "coverage_gaps": """WITH v AS (SELECT DISTINCT l_suppkey, 'p' || l_partkey AS part FROM lineitem),
+      a AS (SELECT s.l_suppkey, u.part FROM (SELECT DISTINCT l_suppkey FROM v) s CROSS JOIN (SELECT DISTINCT part FROM v) u
+        EXCEPT SELECT * FROM v)
+      SELECT l_suppkey, count(*) AS n_missing, min(part) AS first_missing, max(part) AS last_missing FROM a GROUP BY 1""",
+}

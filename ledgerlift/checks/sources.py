@@ -1,2 +1,158 @@
-QUERIES = {}
-ORACLE = {}
+"""Sources, sinks and streaming over files that Spark writes from the tables."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ledgerlift.functions.informats import put_commax, put_ddmmyy
+from ledgerlift.plans.views import view, with_views
+from ledgerlift.session import shared_dir
+from ledgerlift.sources import files as X
+from ledgerlift.streaming.ingest import ingest, stream_then_reconcile
+
+c = F.col
+ORDERS_DDL = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderday date"
+LAYOUT = [("id", "BEST12."), ("day", "DDMMYY10."), ("total", "COMMAX13."), ("status", "$CHAR1."), ("note", "$CHAR3.")]
+
+
+def _orders(s, d):
+    return view(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", c("o_orderdate").cast("date").alias("o_orderday"))
+
+
+def _texts(s, d):
+    """Orders as text fields, some of them unreadable."""
+    k = c("o_orderkey")
+    return view(s, d, "orders").select(
+        k.cast("string").alias("id"),
+        F.when(k % 11 == 0, F.lit("31/02/1999")).otherwise(put_ddmmyy(c("o_orderdate"))).alias("day"),
+        F.when(k % 13 == 0, F.lit("n/a")).otherwise(put_commax(c("o_totalprice").cast("decimal(18,2)"))).alias("total"),
+        c("o_orderstatus").alias("status"), c("o_orderpriority").alias("note"))
+
+
+def _delimited(s, d):
+    path = shared_dir(s, "delimited")
+    _texts(s, d).write.option("sep", ";").option("header", "true").csv(path)
+    return X.read_delimited(s, path, LAYOUT)
+
+
+def _zip_rows(s, d):
+    """Archives built by the tasks: one per batch, a header line and the delimited orders in each."""
+
+    def pack(batches):
+        for batch in batches:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("data.txt", "id;day;total;status;note\n" + batch.to_csv(sep=";", index=False, header=False, lineterminator="\n"))
+                z.writestr("readme.md", "not data")
+            yield pd.DataFrame({"path": [f"batch-{batch['id'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
+
+    return _texts(s, d).mapInPandas(pack, "path string, content binary")
+
+
+def _zipped(s, d):
+    return X.parse_lines(X.zip_members(_zip_rows(s, d), r".*\.txt"), LAYOUT)
+
+
+def _program_files(s, d):
+    """The corpus as file rows in three folders, one of them excluded and one too deep."""
+    k = c("program_id")
+    folder = F.when(k % 10 == 0, "backup/").when(k % 10 == 1, "a/b/c/").otherwise(F.lit("etl/"))
+    return view(s, d, "programs").select(
+        F.concat(F.lit("file:/code/"), folder, "filename").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"),
+        F.octet_length("content").cast("bigint").alias("length"), F.encode("content", "UTF-8").alias("content"))
+
+
+def _scan(s, d):
+    return X.program_rows(_program_files(s, d), "/code", ["backup", "old_*"], max_depth=3).select(
+        "filename", "absolute_path", "relative_path", "size_bytes", "line_count", "encoding")
+
+
+def _meta(s, d):
+    cols = view(s, d, "columns_meta").select("dataset_name", F.struct("position", "name", "type", "length", "format", "label").alias("c"))
+    grouped = cols.groupBy("dataset_name").agg(F.array_sort(F.collect_list("c")).alias("columns"))
+    docs = grouped.join(view(s, d, "datasets_meta"), "dataset_name").select(
+        F.concat(F.lit("/data/"), "dataset_name", F.lit(".sas7bdat.meta.json")).alias("path"),
+        F.to_json(F.struct("dataset_name", "row_count", "column_count", "columns")).alias("value"))
+    return X.meta_columns(X.meta_rows(docs))
+
+
+def _copy_into(s, d):
+    """Two loads of a folder that gains files in between; the second must not repeat the first."""
+    src, table = shared_dir(s, "copy-src"), shared_dir(s, "copy-table")
+    orders = _orders(s, d)
+    orders.where("o_custkey % 2 = 0").repartition(3, "o_custkey").write.option("header", "true").csv(f"{src}/first")
+    X.copy_into(s, src, table, ORDERS_DDL)
+    X.copy_into(s, src, table, ORDERS_DDL)
+    orders.where("o_custkey % 2 = 1").repartition(3, "o_custkey").write.option("header", "true").csv(f"{src}/second")
+    X.copy_into(s, src, table, ORDERS_DDL)
+    return X.read_loaded(s, table)
+
+
+def _export(s, d):
+    path = shared_dir(s, "export")
+    X.export_csv(_orders(s, d), path)
+    return s.read.schema(ORDERS_DDL).option("header", "true").option("sep", ";").csv(path)
+
+
+def _bulk(s, d):
+    names = ["customer", "orders", "lineitem", "nation"]
+    return X.bulk_copy(s, {n: view(s, d, n) for n in names}, shared_dir(s, "library"))
+
+
+def _stream_dirs(s, d):
+    root = shared_dir(s, "stream")
+    orders = _orders(s, d).repartition(4, "o_custkey")
+    orders.where("o_custkey % 3 <> 0").write.option("header", "true").mode("append").csv(f"{root}/in")
+    return orders, f"{root}/in", f"{root}/table", f"{root}/checkpoint"
+
+
+def _ingest(s, d):
+    _, src, table, check = _stream_dirs(s, d)
+    return ingest(s, src, table, ORDERS_DDL, check)
+
+
+def _stream_reconcile(s, d):
+    orders, src, table, check = _stream_dirs(s, d)
+    ingest(s, src, table, ORDERS_DDL, check)
+    orders.where("o_custkey % 3 = 0").write.option("header", "true").mode("append").csv(src)
+    return stream_then_reconcile(s, src, table, ORDERS_DDL, check, orders, "orders")
+
+
+QUERIES = {
+    "scan_programs": _scan,
+    "scan_datasets": lambda s, d: X.scan_dataset_files(s, [d], extensions=["parquet"]),
+    "scan_logs": lambda s, d: X.scan_logs(s, [d], extension="parquet"),
+    "read_dataset_meta": _meta,
+    "read_delimited": _delimited,
+    "read_zip_member": _zipped,
+    "copy_into": _copy_into,
+    "overwrite_table": lambda s, d: X.overwrite_table(_orders(s, d), shared_dir(s, "table"), ["o_orderstatus"]),
+    "export_csv": _export,
+    "bulk_copy_library": _bulk,
+    "incremental_ingest": _ingest,
+    "stream_then_reconcile": _stream_reconcile,
+}
+
+ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderday FROM orders"
+TYPED = """SELECT CAST(o_orderkey AS DOUBLE) AS id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
+  CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS total, o_orderstatus AS status, rtrim(substr(o_orderpriority, 1, 3)) AS note FROM orders"""
+
+ORACLE = {
+    "scan_programs": with_views("programs", """SELECT filename, 'file:/code/' || rel AS absolute_path, rel AS relative_path, size_bytes, line_count, 'utf-8' AS encoding
+      FROM (SELECT filename, 'etl/' || filename AS rel, strlen(content) AS size_bytes,
+        length(content) - length(replace(content, chr(10), '')) AS line_count FROM programs WHERE program_id % 10 > 1)"""),
+    "read_dataset_meta": with_views("columns_meta", "SELECT dataset_name, name, type, length, format, label FROM columns_meta"),
+    "read_delimited": TYPED,
+    "read_zip_member": TYPED,
+    "copy_into": ORDERS,
+    "overwrite_table": ORDERS,
+    "export_csv": ORDERS,
+    "bulk_copy_library": " UNION ALL ".join(f"SELECT '{t}' AS dataset_name, count(*) AS row_count FROM {t}" for t in ("customer", "orders", "lineitem", "nation")),
+    "incremental_ingest": ORDERS + " WHERE o_custkey % 3 <> 0",
+    "stream_then_reconcile": """SELECT 'orders' AS dataset, 'row_count' AS "check", '' AS "column", CAST(count(*) AS DOUBLE) AS expected,
+      CAST(count(*) AS DOUBLE) AS actual, 'PASS' AS status FROM orders""",
+}

@@ -71,7 +71,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None)
     while max_hops is None or hops < max_hops:
         hops += 1
         reached = (
-            frontier.join(steps, frontier["node"] == steps["source"])
+            frontier.select("start", F.col("node").alias("source")).join(steps, "source")
             .select("start", F.col("target").alias("node"))
             .distinct()
         )
@@ -156,17 +156,18 @@ def _reach_counts(edges: DataFrame, name: str) -> DataFrame:
         F.sum(F.xxhash64(F.reverse("first"), F.lit(7)).cast("decimal(20,0)")).alias("h2"),
         F.count(F.lit(1)).alias("k"),
     ).withColumn("shape", F.concat_ws("|", "h1", "h2", "k"))
-    shapes = groups.groupBy("shape").agg(F.min("program").alias("speaker"))
-    firsts = from_programs.join(shapes, from_programs["program"] == shapes["speaker"]).select("shape", "first")
+    speakers = groups.groupBy("shape").agg(F.min("program").alias("program"))
+    firsts = cut(from_programs.join(speakers, "program").select("shape", "first"))
     spread = reachable(edges, firsts.select(F.col("first").alias("node")))
+    beyond = firsts.join(spread.select(F.col("start").alias("first"), "node"), "first").select("shape", "node")
     direct = firsts.select("shape", F.col("first").alias("node"))
-    beyond = firsts.join(spread, firsts["first"] == spread["start"]).select("shape", spread["node"])
     reached = cut(direct.unionByName(beyond).distinct())
     sizes = reached.groupBy("shape").agg(F.count(F.lit(1)).alias("size"))
-    loops = groups.join(reached, [groups["shape"] == reached["shape"], groups["program"] == reached["node"]], "left_semi")
+    members = groups.select("program", "shape")
+    looped = members.join(reached.select("shape", F.col("node").alias("program")), ["shape", "program"], "left_semi")
     return (
-        groups.join(sizes, "shape")
-        .join(loops.select("program", F.lit(1).alias("self")), "program", "left")
+        members.join(sizes, "shape")
+        .join(looped.select("program", F.lit(1).alias("self")), "program", "left")
         .select("program", (F.col("size") - F.coalesce("self", F.lit(0))).alias(name))
     )
 

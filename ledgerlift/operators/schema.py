@@ -81,8 +81,8 @@ def migration_plan(datasets: DataFrame, columns: DataFrame, target: str = "lakeh
     return datasets.select("dataset_name", "row_count").join(per, "dataset_name", "left")
 
 
-# Size and format given to a Spark type in column metadata.
 def source_type(spark_type: str) -> tuple[str, str]:
+    """Source type and display format that stand for a Spark type in column metadata."""
     if spark_type.startswith(("timestamp",)):
         return "num", "DATETIME20."
     if spark_type == "date":
