@@ -83,6 +83,11 @@ def found(text: Column, name: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(group))
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value worked out once; inside a lambda a plain column would be redone per use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def has(text: Column, name: str) -> Column:
     return text.rlike(PATTERNS[name])
 
@@ -323,25 +328,26 @@ def _line_ends(text: Column) -> Column:
 
 def matches(text: Column, name: str) -> Column:
     """Array of (text, line, place): each match, the line it starts on and its character offset."""
-    pattern = PATTERNS[name]
-    hits, gaps = found(text, name, 0), F.split(text, pattern, -1)
-
-    def running(counts_gap: Column, counts_hit: Column, i: Column) -> Column:
-        add = lambda a, b: a + b
-        return F.aggregate(F.slice(counts_gap, 1, i + 1), F.lit(0), add) + F.aggregate(
-            F.slice(counts_hit, 1, i), F.lit(0), add
+    add = lambda a, b: a + b
+    sizes = lambda xs: F.transform(xs, lambda x: F.struct(_line_ends(x).alias("ends"), F.length(x).alias("chars")))
+
+    def before(b: Column, i: Column, field: str) -> Column:
+        gaps, hits = F.slice(b["gap_sizes"], 1, i + 1), F.slice(b["hit_sizes"], 1, i)
+        return F.aggregate(gaps[field], F.lit(0), add) + F.aggregate(hits[field], F.lit(0), add)
+
+    def placed(b: Column) -> Column:
+        return F.transform(
+            b["hits"],
+            lambda h, i: F.struct(
+                h.alias("text"), (before(b, i, "ends") + 1).alias("line"), before(b, i, "chars").alias("place")
+            ),
         )
 
-    gap_lines, hit_lines = F.transform(gaps, _line_ends), F.transform(hits, _line_ends)
-    gap_chars, hit_chars = F.transform(gaps, F.length), F.transform(hits, F.length)
-    return F.transform(
-        hits,
-        lambda h, i: F.struct(
-            h.alias("text"),
-            (running(gap_lines, hit_lines, i) + 1).alias("line"),
-            running(gap_chars, hit_chars, i).alias("place"),
-        ),
+    cut_up = F.struct(found(text, name, 0).alias("hits"), F.split(text, PATTERNS[name], -1).alias("gaps"))
+    measured = lambda c: F.struct(
+        c["hits"].alias("hits"), sizes(c["hits"]).alias("hit_sizes"), sizes(c["gaps"]).alias("gap_sizes")
     )
+    return let(cut_up, lambda c: let(measured(c), placed))
 
 
 def _group(text: Column, name: str, group: int) -> Column:
@@ -361,7 +367,9 @@ def _formatted(body: Column) -> Column:
     """Names in FORMAT statements that are followed by a format with a width."""
 
     def of_block(block: Column) -> Column:
-        tokens = F.filter(F.split(block, r"(?U)\s+"), lambda t: t != "")
+        return let(F.filter(F.split(block, r"(?U)\s+"), lambda t: t != ""), of_tokens)
+
+    def of_tokens(tokens: Column) -> Column:
         pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.get(tokens, i + 1).alias("next")))
         usable = F.filter(
             pairs,
@@ -375,25 +383,46 @@ def _formatted(body: Column) -> Column:
     return as_set(F.flatten(F.transform(found(body, "format_block"), of_block)))
 
 
+SCOPE_FIELDS = [
+    "target", "start_line", "set_sources", "assigned", "length_vars", "format_vars", "attrib_vars",
+    "keep_vars", "drop_vars", "defined", "acct_referenced", "body",
+]
+
+
 def step_scopes(clean: Column) -> Column:
     """One struct per DATA ... RUN block of a comment-free text."""
 
     def scope(m: Column) -> Column:
-        head, body = _group(m["text"], "data_block", 1), _group(m["text"], "data_block", 2)
+        parts = F.struct(
+            _group(m["text"], "data_block", 1).alias("head"), _group(m["text"], "data_block", 2).alias("body"),
+            m["line"].alias("line"),
+        )
+        return let(parts, lambda p: let(declared(p), facts))
+
+    def declared(p: Column) -> Column:
+        return F.struct(
+            p["head"].alias("head"), p["body"].alias("body"), p["line"].alias("line"),
+            as_set(F.filter(_upper(found(p["body"], "assignment")), lambda n: ~n.isin(KEYWORDS))).alias("assigned"),
+            _declared(p["body"], "length_block").alias("length_vars"),
+            _formatted(p["body"]).alias("format_vars"),
+            _declared(p["body"], "attrib_block").alias("attrib_vars"),
+        )
+
+    def facts(p: Column) -> Column:
+        head, body = p["head"], p["body"]
         target = F.upper(F.get(F.split(F.trim(F.regexp_replace(head, r"(?d)\(.*?\)", "")), r"(?U)\s+"), F.lit(0)))
         sources = F.transform(found(body, "set_source"), lambda s: F.upper(F.translate(s, "\"'", "")))
-        assigned = as_set(F.filter(_upper(found(body, "assignment")), lambda n: ~n.isin(KEYWORDS)))
         kept = F.concat(
             F.flatten(F.transform(found(body, "keep"), _names)),
             F.flatten(F.transform(found(head, "keep_option"), _names)),
         )
         dropped = F.flatten(F.transform(found(body, "drop"), _names))
-        lengths, attribs, formats = _declared(body, "length_block"), _declared(body, "attrib_block"), _formatted(body)
+        own = ["assigned", "length_vars", "format_vars", "attrib_vars"]
         return F.struct(
-            target.alias("target"), m["line"].alias("start_line"), sources.alias("set_sources"),
-            assigned.alias("assigned"), lengths.alias("length_vars"), formats.alias("format_vars"),
-            attribs.alias("attrib_vars"), as_set(kept).alias("keep_vars"), as_set(dropped).alias("drop_vars"),
-            as_set(F.concat(assigned, lengths, formats, attribs)).alias("defined"),
+            target.alias("target"), p["line"].alias("start_line"), sources.alias("set_sources"),
+            *[p[f].alias(f) for f in own],
+            as_set(kept).alias("keep_vars"), as_set(dropped).alias("drop_vars"),
+            as_set(F.concat(*[p[f] for f in own])).alias("defined"),
             as_set(found(body, "account", 0)).alias("acct_referenced"), body.alias("body"),
         )
 
@@ -434,22 +463,31 @@ def value_maps(text: Column) -> Column:
     return F.transform(matches(text, "value_map"), entry)
 
 
+def unnest(df: DataFrame, keep: list[str], items: Column) -> DataFrame:
+    """One row per element, structs spread into columns; empty arrays give no row.
+
+    An inner explode would make the optimiser test the array's size at the scan as well and
+    so work the whole array out twice; an outer one with the empty rows dropped does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias("_place", "_item")).where("_place is not null")
+    return rows.select(*keep, "_item.*")
+
+
 def with_clean(programs: DataFrame) -> DataFrame:
     return programs.withColumn("clean", strip_comments(F.col("content")))
 
 
 def steps_table(programs: DataFrame) -> DataFrame:
     """One row per DATA step of every program."""
-    scoped = with_clean(programs).withColumn("scopes", step_scopes(F.col("clean")))
-    return scoped.select("program_id", "filename", F.posexplode("scopes").alias("step_no", "s")).select(
-        "program_id", "filename", "step_no", "s.*"
+    numbered = F.transform(
+        step_scopes(F.col("clean")), lambda s, i: F.struct(i.alias("step_no"), *[s[f].alias(f) for f in SCOPE_FIELDS])
     )
+    return unnest(with_clean(programs), ["program_id", "filename"], numbered)
 
 
 def sql_creates_table(programs: DataFrame) -> DataFrame:
-    made = with_clean(programs).withColumn("made", sql_creates(F.col("clean")))
-    return made.select("program_id", "filename", F.inline("made"))
+    return unnest(with_clean(programs), ["program_id", "filename"], sql_creates(F.col("clean")))
 
 
 def value_maps_table(programs: DataFrame) -> DataFrame:
-    return programs.select("program_id", "filename", F.inline(value_maps(F.col("content"))))
+    return unnest(programs, ["program_id", "filename"], value_maps(F.col("content")))

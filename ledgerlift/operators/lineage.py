@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlift.operators.corpus import unnest
 from ledgerlift.session import cut
 
 # The facts of a program that become edges, in the order nodes are first seen:
@@ -34,7 +35,7 @@ def _mentions(parsed: DataFrame) -> DataFrame:
     present = [f for f in EDGE_FACTS if f[0] in parsed.columns]
     things = F.concat(*[tagged(i, *f) for i, f in enumerate(present, start=1)])
     program = F.concat(F.lit("program:"), F.col("filename"))
-    return parsed.select(program.alias("program"), "filename", F.inline(things))
+    return unnest(parsed.withColumn("program", program), ["program", "filename"], things)
 
 
 def lineage_edges(parsed: DataFrame) -> DataFrame:

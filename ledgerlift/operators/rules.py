@@ -1,7 +1,7 @@
 """Integrity rules over program text, each giving rows of findings.
 
 Rules about one program are array expressions inside its row: no shuffle, whatever the
-corpus size. Rules that compare programs aggregate over the corpus once.
+corpus size. Rules that compare programs write the few facts they need once and aggregate over those.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlift.functions.scalars import path_stem
 from ledgerlift.operators import corpus as C
 from ledgerlift.operators.reshape import coverage_gaps
+from ledgerlift.session import cut
 
 # Severity and recommendation type of each finding category.
 CATEGORIES = {
@@ -101,11 +102,11 @@ def prepare(programs: DataFrame) -> DataFrame:
 
 def registry_table(programs: DataFrame) -> DataFrame:
     """One row per program, dataset and known variable."""
-    return (
-        prepare(programs)
-        .select("program_id", F.explode("registry").alias("dataset", "vars"))
-        .select("program_id", "dataset", F.explode("vars").alias("variable"))
+    known = F.transform(
+        F.map_entries("registry"),
+        lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("dataset"), v.alias("variable"))),
     )
+    return C.unnest(prepare(programs), ["program_id"], F.flatten(known))
 
 
 def _inherited(s: Column) -> Column:
@@ -175,15 +176,19 @@ def self_reimport() -> Column:
     )
     written = F.filter(stems(C.found(clean, "export_outfile")), lambda w: w["stem"] != "")
     read = stems(F.concat(C.found(clean, "infile_path"), C.found(clean, "import_datafile")))
-    return F.flatten(
-        F.transform(
-            written,
-            lambda w: F.transform(
-                F.filter(read, lambda r: r["stem"] == w["stem"]),
-                lambda r: _hit(F.lit(0), r["path"], w["path"]),
-            ),
+
+    def joined(b: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                b["written"],
+                lambda w: F.transform(
+                    F.filter(b["read"], lambda r: r["stem"] == w["stem"]),
+                    lambda r: _hit(F.lit(0), r["path"], w["path"]),
+                ),
+            )
         )
-    )
+
+    return C.let(F.struct(written.alias("written"), read.alias("read")), joined)
 
 
 def _chains(strict: bool) -> Column:
@@ -193,34 +198,40 @@ def _chains(strict: bool) -> Column:
     first. Strict mode reads comment-free lines, where a commented ELSE cannot be seen.
     """
     maps = F.filter(C.value_maps(F.col("clean")), lambda m: m["src_var"].contains(MAPPED_VARIABLE))
-    keys = F.array_distinct(F.transform(maps, lambda m: F.struct(m["src_var"].alias("src"), m["tgt_var"].alias("tgt"))))
     clean_lines = F.split("clean", "\n")
     raw_lines = clean_lines if strict else F.split("content", "\n")
+    read = F.struct(maps.alias("maps"), clean_lines.alias("clean"), raw_lines.alias("raw"))
+
+    def chains(r: Column) -> Column:
+        keys = F.transform(r["maps"], lambda m: F.struct(m["src_var"].alias("src"), m["tgt_var"].alias("tgt")))
+        return F.transform(F.array_distinct(keys), lambda k: C.let(members(r, k), lambda c: chain(r, c)))
+
+    def members(r: Column, k: Column) -> Column:
+        mine = F.filter(r["maps"], lambda m: (m["src_var"] == k["src"]) & (m["tgt_var"] == k["tgt"]))
+        return C.let(mine, lambda ms: F.struct(
+            k["src"].alias("src"), k["tgt"].alias("tgt"), F.array_min(ms["line"]).alias("first"),
+            F.array_max(ms["line"]).alias("last"), F.array_join(C.as_set(ms["src_val"]), ", ").alias("covered"),
+        ))
 
-    def chain(k):
-        mine = F.filter(maps, lambda m: (m["src_var"] == k["src"]) & (m["tgt_var"] == k["tgt"]))
-        first, last = F.array_min(mine["line"]), F.array_max(mine["line"])
-        values = C.as_set(mine["src_val"])
+    def chain(r: Column, c: Column) -> Column:
         tail = F.arrays_zip(
-            F.slice(clean_lines, last + 1, 5).alias("clean"), F.slice(raw_lines, last + 1, 5).alias("raw")
+            F.slice(r["clean"], c["last"] + 1, 5).alias("clean"), F.slice(r["raw"], c["last"] + 1, 5).alias("raw")
         )
 
-        def seen(line, i):
+        def seen(line: Column, i: Column) -> Column:
             word = F.upper(F.regexp_extract(line["clean"], r"(?Ui)^\s*ELSE\s+(\w*)", 1))
-            kind = F.when((word != "") & word.startswith(k["tgt"]), "else").when(
+            kind = F.when((word != "") & word.startswith(c["tgt"]), "else").when(
                 line["raw"].rlike(r"(?Uid)/\*.*ELSE.*\*/"), "commented"
             )
-            return F.struct(kind.alias("kind"), (last + i + 1).alias("line"))
+            return F.struct(kind.alias("kind"), (c["last"] + i + 1).alias("line"))
 
         hits = F.filter(F.transform(tail, seen), lambda x: x["kind"].isNotNull())
-        end = F.get(hits, F.lit(0))
-        return F.struct(
-            k["src"].alias("src"), k["tgt"].alias("tgt"), first.alias("first"),
-            F.array_join(values, ", ").alias("covered"),
+        return C.let(F.get(hits, F.lit(0)), lambda end: F.struct(
+            c["src"].alias("src"), c["tgt"].alias("tgt"), c["first"].alias("first"), c["covered"].alias("covered"),
             F.coalesce(end["kind"], F.lit("none")).alias("outcome"), end["line"].alias("end_line"),
-        )
+        ))
 
-    return F.transform(keys, chain)
+    return C.let(read, chains)
 
 
 def map_else_commented(strict: bool = False) -> Column:
@@ -276,7 +287,7 @@ def program_findings(programs: DataFrame, categories: list[str] | None = None, p
             lambda h: F.struct(F.lit(category).alias("category"), *[h[f].alias(f) for f in fields]),
         )
 
-    exploded = df.select("filename", F.inline(F.concat(*[tagged(c) for c in names])))
+    exploded = C.unnest(df, ["filename"], F.concat(*[tagged(c) for c in names]))
     return _findings(exploded, F.col("category"))
 
 
@@ -290,7 +301,8 @@ def _corpus_row(hits: DataFrame, subject: Column) -> DataFrame:
 def section_missing(programs: DataFrame) -> DataFrame:
     """Sections some programs with direct business have and others lack, one row per program that lacks one."""
     kinds = ["accepted", "summary", "reconciliation"]
-    flags = programs.select("filename", C.sections(F.col("content")).alias("s")).select("filename", "s.*").where("direct")
+    read = cut(programs.select("filename", C.sections(F.col("content")).alias("s")))
+    flags = read.select("filename", "s.*").where("direct")
     counts = flags.agg(*[F.sum(F.col(k).cast("int")).alias(k) for k in kinds])
     present = {k: counts.select(k).scalar() for k in kinds}
     lacking = F.array_compact(F.array(*[F.when((present[k] > 0) & ~F.col(k), F.lit(k)) for k in kinds]))
@@ -301,9 +313,10 @@ def section_missing(programs: DataFrame) -> DataFrame:
 def account_coverage(programs: DataFrame, at_least: int = 5) -> DataFrame:
     """Accounts that peer programs assign and this one does not."""
     text = F.col("content")
-    main = programs.select(
+    read = cut(programs.select(
         "filename", C.accounts(text)["assigned"].alias("accounts"), C.has(text, "section_direct").alias("direct")
-    ).where(F.col("direct") & (F.size("accounts") >= at_least))
+    ))
+    main = read.where(F.col("direct") & (F.size("accounts") >= at_least))
     gaps = coverage_gaps(main.select("filename", F.explode("accounts").alias("account")), "filename", "account")
     return _findings(_corpus_row(gaps, F.array_join("missing", ", ")), "CONTA_CONTABIL_AUSENTE")
 
@@ -311,7 +324,7 @@ def account_coverage(programs: DataFrame, at_least: int = 5) -> DataFrame:
 def _mapped_values(programs: DataFrame) -> DataFrame:
     """Per program the values of the watched variable mapped in each section."""
     maps = F.filter(C.value_maps(F.col("content")), lambda m: m["src_var"].contains(MAPPED_VARIABLE))
-    out = programs.select("filename", maps.alias("maps")).where(F.size("maps") > 0)
+    out = cut(programs.select("filename", maps.alias("maps"))).where(F.size("maps") > 0)
     of = lambda section: C.as_set(F.filter("maps", lambda m: m["section"] == section)["src_val"])
     return out.select("filename", of("geral").alias("general"), of("aceito").alias("accepted"))
 
@@ -334,9 +347,8 @@ def map_divergent(programs: DataFrame) -> DataFrame:
 
 def export_missing(programs: DataFrame) -> DataFrame:
     """Accepted-business files that some main program exports and this one does not; one row per program."""
-    main = programs.select("filename", C.export_types(F.col("content")).alias("types")).where(
-        F.arrays_overlap("types", C.texts(*MAIN_EXPORTS))
-    )
+    read = cut(programs.select("filename", C.export_types(F.col("content")).alias("types")))
+    main = read.where(F.arrays_overlap("types", C.texts(*MAIN_EXPORTS)))
     seen = main.agg(*[F.max(F.array_contains("types", t)).alias(t) for t in ACCEPTED_EXPORTS])
     exported = {t: seen.select(t).scalar() for t in ACCEPTED_EXPORTS}
     lacking = F.array_compact(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.operators.corpus import texts
+from ledgerlift.operators.corpus import texts, unnest
 
 CAP = 8
 
@@ -122,7 +122,7 @@ def _rows(df: DataFrame, keep: list[str], *candidates: tuple[Column, dict[str, C
     structs = [
         F.when(cond, F.struct(*[v.alias(k) for k, v in fields.items()])) for cond, fields in candidates
     ]
-    return df.select(*keep, F.inline(F.array_compact(F.array(*structs))))
+    return unnest(df, keep, F.array_compact(F.array(*structs)))
 
 
 def manual_review(scored: DataFrame, stat_procs: list[str] = REVIEW_PROCS_DISCOVERY) -> DataFrame:
@@ -143,7 +143,7 @@ def map_libraries(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
 
     `mapping` has the columns library (lower case), catalog, schema.
     """
-    libs = parsed.select("program_id", F.inline("libnames")).withColumn("library", F.lower("name"))
+    libs = unnest(parsed, ["program_id"], F.col("libnames")).withColumn("library", F.lower("name"))
     return libs.join(mapping, "library", "left").select(
         "program_id", "name", "path_or_engine", "catalog", "schema",
         F.col("schema").isNotNull().alias("mapped"),
@@ -181,7 +181,7 @@ def gap_report(parsed: DataFrame) -> DataFrame:
         F.when(F.col("has_hash_objects"), texts("hash objects")).otherwise(F.array().cast("array<string>")),
         F.when(F.col("has_dynamic_sql"), texts("dynamic code")).otherwise(F.array().cast("array<string>")),
     )
-    return parsed.select("program_id", "filename", F.explode(gaps).alias("gap"))
+    return unnest(parsed, ["program_id", "filename"], F.transform(gaps, lambda g: F.struct(g.alias("gap"))))
 
 
 def converted_ratio(parsed: DataFrame, mapped: list[str]) -> DataFrame:
@@ -232,7 +232,7 @@ def macro_inventory(parsed: DataFrame) -> DataFrame:
 
 def proc_usage(parsed: DataFrame) -> DataFrame:
     """Programs per procedure, most used first."""
-    used = parsed.select(F.explode("procs_used").alias("proc")).groupBy("proc").agg(F.count(F.lit(1)).alias("programs"))
+    used = unnest(parsed, [], F.transform("procs_used", lambda p: F.struct(p.alias("proc")))).groupBy("proc").agg(F.count(F.lit(1)).alias("programs"))
     return used.withColumn("translatable", F.when(F.col("proc").isin(GAP_PROCS), "GAP").otherwise("Sim")).orderBy(
         F.desc("programs"), "proc"
     )
