@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 def total(expr: str) -> str:
     """SQL of functions.semantics.money_total: exact sum of whole millionths."""
-    return (f"(CAST(sum(CAST(CASE WHEN {expr} < 0 THEN -1 ELSE 1 END * floor(abs({expr}) * 1000000.0e0 + 0.5e0) AS BIGINT)) "
-            f"AS DECIMAL(30,0)) * CAST(0.000001 AS DECIMAL(7,6)))")
+    return (f"(CAST(sum(CAST(floor({expr} * 1000000.0e0 + 0.5e0) AS BIGINT)) AS DECIMAL(30,0)) "
+            f"* CAST(0.000001 AS DECIMAL(7,6)))")
 
 
 def msum(expr: str, alias: str, digits: int = 2) -> str:

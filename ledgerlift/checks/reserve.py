@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.checks.common import msum, total
 from ledgerlift.functions.semantics import money_sum
+from ledgerlift.operators.ordering import attach_group_extreme
 from ledgerlift.plans import reserve as R
 from ledgerlift.plans.views import view, with_views
 
@@ -18,15 +19,16 @@ def _base(spark, d):
 
 
 def _drag(spark, d):
-    return R.drag(_base(spark, d))
+    worst = R.worst_per_insured(_grain(spark, d))
+    return R.drag(attach_group_extreme(_base(spark, d), worst, ["cpf_cnpj"]))
 
 
-def _status(spark, d):
-    return R.status(_drag(spark, d), _policies(spark, d), ST)
+def _grain(spark, d):
+    return R.policy_grain(view(spark, d, "installments"), ST)
 
 
-def _policies(spark, d):
-    return R.policy_delinquency(view(spark, d, "installments"), ST)
+def _status(spark, d):
+    return R.with_status(view(spark, d, "installments"), view(spark, d, "reinsurance_pct"), ST)
 
 
 def _factor(spark, d):
@@ -34,12 +36,12 @@ def _factor(spark, d):
 
 
 def _direct(spark, d, life=False):
-    rows = R.postable(_factor(spark, d)).where("cod_tp_emissao = 'D'")
+    rows = R.postable(_factor(spark, d).where("cod_tp_emissao = 'D'"))
     return R.accounts_direct(rows, ST, life)
 
 
 def _accepted(spark, d):
-    return R.accounts_accepted(R.postable(_factor(spark, d)).where("cod_tp_emissao = 'A'"), ST)
+    return R.accounts_accepted(R.postable(_factor(spark, d).where("cod_tp_emissao = 'A'")), ST)
 
 
 def _totals(df, keys, measures):
@@ -78,8 +80,8 @@ QUERIES = {
     "worst_status_propagation": lambda s, d: _drag(s, d).select(
         "cod_apolice", "num_parcela", "cpf_cnpj", "dias", "dias_min", "condicoes_v2", "aging_dias_nome_v2"),
     "reserve_status": lambda s, d: _totals(_status(s, d), STATUS_KEYS, STATUS_SUMS),
-    "group_having": lambda s, d: _policies(s, d),
-    "nested_agg": lambda s, d: R.customer_delinquency(_policies(s, d)),
+    "group_having": lambda s, d: R.policy_delinquency(_grain(s, d), ST),
+    "nested_agg": lambda s, d: R.customer_delinquency(_grain(s, d)),
     "group_extreme_attach": lambda s, d: _status(s, d).select(
         "cod_apolice", "num_parcela", "cod_produto", "dt_vencimento", "vigente", "min_vcto_apolice", "min_vcto_cliente"),
     "group_min_max": lambda s, d: R.clean_factors(view(s, d, "factors")),

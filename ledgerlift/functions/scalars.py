@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlift.functions.semantics import ge, le, lt
+from ledgerlift.functions.semantics import lt
 
 
 def ifn(cond: Column, a, b) -> Column:
@@ -53,22 +53,15 @@ def months_late(due: Column, ref: Column) -> Column:
 
 
 def prorata_days(remaining: Column, term: Column, invalid: Column) -> Column:
-    """Unearned share of a term: 0 when invalid or over, 1 when longer than the term."""
-    return (
-        F.when(le(remaining, 0) | le(term, 0) | invalid, F.lit(0.0))
-        .when(remaining > term, F.lit(1.0))
-        .otherwise(F.try_divide(remaining.cast("double"), term.cast("double")))
-    )
+    """Unearned share of a term: 0 when invalid, over or missing, 1 when longer than the term."""
+    share = F.when(remaining > term, F.lit(1.0)).otherwise(F.try_divide(remaining.cast("double"), term.cast("double")))
+    return F.when((remaining > 0) & (term > 0) & ~invalid, share).otherwise(F.lit(0.0))
 
 
 def prorata_window(lo: Column, hi: Column, ref: Column) -> Column:
-    """Share of the window [lo, hi] (day numbers) that lies after `ref`."""
-    width = hi - lo
-    return (
-        F.when(le(width, 0) | le(hi, ref), F.lit(0.0))
-        .when(ge(lo, ref), F.lit(1.0))
-        .otherwise(F.try_divide(hi - ref, width))
-    )
+    """Share of the window [lo, hi] (day numbers) that lies after `ref`; 0 when an end is missing."""
+    share = F.when(lo >= ref, F.lit(1.0)).otherwise((hi - ref) / (hi - lo))
+    return F.when((hi > lo) & (hi > ref), share).otherwise(F.lit(0.0))
 
 
 def installment_window(start: Column, end: Column, count: Column, number: Column, whole: Column):
@@ -84,15 +77,9 @@ def installment_window(start: Column, end: Column, count: Column, number: Column
 def put_z(n: Column, width: int) -> Column:
     """Zero-padded digits; numbers wider than the field keep all their digits."""
     digits = F.abs(n.cast("bigint")).cast("string")
-    body = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
-    signed = F.when(
-        n < 0,
-        F.concat(
-            F.lit("-"),
-            F.when(F.length(digits) < width - 1, F.lpad(digits, width - 1, "0")).otherwise(digits),
-        ),
-    ).otherwise(body)
-    return F.coalesce(signed, F.lit("."))
+    sign = F.when(n < 0, "-").otherwise("")
+    room = F.greatest(F.length(digits), F.lit(width) - F.length(sign))
+    return F.coalesce(F.concat(sign, F.lpad(digits, room, F.lit("0"))), F.lit("."))
 
 
 def cats(*cols: Column) -> Column:

@@ -61,9 +61,8 @@ _PART = 1 << 20
 
 
 def millionths(c: Column) -> Column:
-    """Amount in millionths, halves away from zero."""
-    size = F.floor(F.abs(c) * 1000000.0 + 0.5)
-    return F.when(c < 0, -size).otherwise(size)
+    """Amount in whole millionths, halves up."""
+    return F.floor(c * 1000000.0 + 0.5)
 
 
 def money_total(c: Column) -> Column:

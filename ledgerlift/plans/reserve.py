@@ -1,7 +1,7 @@
 """The insurance receivables pipeline: from installments to journal entries.
 
-Stages are DataFrame -> DataFrame and stay lazy; the only wide steps are the joins on
-the insured and on the policy and the final totals.
+Stages are DataFrame -> DataFrame. The installments are read twice: a few columns for the
+policy table, then all of them for the one wide shuffle, the join on the policy.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ledgerlift.operators.reshape import unpivot
 from ledgerlift.operators.steps import (
     AGING_AHEAD, add_constants, aging_bucket, data_step, decision_table, inconsistency_flag,
 )
+from ledgerlift.session import stored
 
 # Amounts a source may lack; an absent one counts as zero.
 OPTIONAL_AMOUNTS = [
@@ -108,21 +109,15 @@ def earned_parts(factor: str, suffix: str = "") -> dict[str, Column]:
     }
 
 
-def base(installments: DataFrame, reinsurance: DataFrame, st: Settings) -> DataFrame:
-    """Derived dates, flags, aging, earned parts and reserve of every installment."""
-    absent = {a: F.lit(0.0) for a in OPTIONAL_AMOUNTS if a not in installments.columns}
-    df = lookup_join(installments.withColumns(absent), reinsurance, ["cod_ramo", "cod_produto"])
+def flags(installments: DataFrame, st: Settings) -> DataFrame:
+    """Dates, quality flag, aging bucket and condition of every installment; needs no lookup."""
     c, ref = F.col, st.ref
     invalid = c("inconsist") == "S"
     expired, overdue = c("decorrer_e_decorrido") == "Decorrido", c("venc_vinc") == "Vencido"
-    fields = {
+    days = {
         "mes_ref": ref,
-        "percentual_sas": F.coalesce("percentual_sas", F.lit(0.0)),
         "dias": S.days_between(c("dt_vencimento"), ref),
         "dias_vigente": S.days_between(c("dt_fim"), c("dt_inicio"), inclusive=True),
-        "base_ppng": c("val_cobranca") - c("val_cosseguro") - c("val_iof") - c("val_adic_fracionamento")
-        - c("val_adic_fracionamento_cosseguro") - c("val_custo_apolice"),
-        "dcd_base": c("val_comissao") - c("val_comissao_cosseguro"),
         "venc_vinc": F.when(lt(c("dt_vencimento"), ref), "Vencido").otherwise("A Vencer"),
         "decorrer_e_decorrido": F.when(lt(c("dt_fim"), ref), "Decorrido").otherwise("Decorrer"),
         "inconsist": inconsistency_flag(
@@ -135,10 +130,9 @@ def base(installments: DataFrame, reinsurance: DataFrame, st: Settings) -> DataF
             S.days_between(c("dt_fim"), ref, inclusive=True)
         ),
     }
-    shares = {
+    labels = {
         "fator_decorrer": S.prorata_days(c("dias_decorrer"), c("dias_vigente"), invalid),
         "aging_dias_nome": aging_bucket(c("dias"), invalid),
-        "premio_resseguro": (c("val_cobranca") - c("val_cosseguro") - c("val_iof")) * c("percentual_sas"),
         "condicoes": decision_table(
             [
                 (expired & overdue, "CONDICAO_1"),
@@ -149,7 +143,25 @@ def base(installments: DataFrame, reinsurance: DataFrame, st: Settings) -> DataF
             "CONDICAO_F",
         ),
     }
-    return data_step(df, [fields, shares, earned_parts("fator_decorrer"), {"rvr": reserve_amount()}])
+    return data_step(installments, [days, labels])
+
+
+def base(installments: DataFrame, reinsurance: DataFrame, st: Settings) -> DataFrame:
+    """Flags, earned parts and reserve of every installment."""
+    absent = {a: F.lit(0.0) for a in OPTIONAL_AMOUNTS if a not in installments.columns}
+    df = lookup_join(flags(installments.withColumns(absent), st), reinsurance, ["cod_ramo", "cod_produto"])
+    c = F.col
+    amounts = {
+        "percentual_sas": F.coalesce("percentual_sas", F.lit(0.0)),
+        "base_ppng": c("val_cobranca") - c("val_cosseguro") - c("val_iof") - c("val_adic_fracionamento")
+        - c("val_adic_fracionamento_cosseguro") - c("val_custo_apolice"),
+        "dcd_base": c("val_comissao") - c("val_comissao_cosseguro"),
+    }
+    parts = {
+        **earned_parts("fator_decorrer"),
+        "premio_resseguro": (c("val_cobranca") - c("val_cosseguro") - c("val_iof")) * c("percentual_sas"),
+    }
+    return data_step(df, [amounts, parts, {"rvr": reserve_amount()}])
 
 
 def original_parts(df: DataFrame) -> DataFrame:
@@ -169,27 +181,6 @@ def original_parts(df: DataFrame) -> DataFrame:
     })
 
 
-def drag(df: DataFrame, entity: str = "cpf_cnpj") -> DataFrame:
-    """An insured's oldest overdue installment re-labels all its other installments.
-
-    The minimum per insured is aggregated and joined back: a hot insured pre-aggregates on
-    the map side and its detail rows can be split by the skew join.
-    """
-    c = F.col
-    trigger = c("condicoes").isin("CONDICAO_1", "CONDICAO_3") & (c("inconsist") == "N")
-    worst = df.where(trigger).groupBy(entity).agg(F.min("dias").alias("dias_min"))
-    out = attach_group_extreme(df, worst, [entity])
-    invalid = c("inconsist") == "S"
-    own = aging_bucket(c("dias"), F.lit(False))
-    dragged = aging_bucket(c("dias_min"), F.lit(False))
-    return out.withColumns({
-        "condicoes_v2": F.when(invalid, F.lit("CONDICAO_F")).when(trigger, c("condicoes"))
-        .when(c("dias_min").isNotNull(), F.lit("CONDICAO_5")).otherwise(F.lit("CONDICAO_0")),
-        "aging_dias_nome_v2": F.when(invalid, aging_bucket(c("dias"), F.lit(True)))
-        .when(trigger | c("dias_min").isNull(), own).otherwise(dragged),
-    })
-
-
 POLICY_KEYS = [
     "ano_mes", "cod_seguradora", "cod_tp_emissao", "cod_sistema_origem", "cod_produto",
     "cod_apolice", "cpf_cnpj",
@@ -197,34 +188,75 @@ POLICY_KEYS = [
 CUSTOMER_KEYS = ["ano_mes", "cod_seguradora", "cpf_cnpj"]
 
 
-def policy_delinquency(df: DataFrame, st: Settings) -> DataFrame:
-    """Policies with a positive charge: latest end, earliest due date, in force or over."""
-    following = S.next_period(st.ref)
+def is_trigger() -> Column:
+    """Overdue installments that drag the others of their insured."""
+    return F.col("condicoes").isin("CONDICAO_1", "CONDICAO_3") & (F.col("inconsist") == "N")
+
+
+def policy_grain(installments: DataFrame, st: Settings) -> DataFrame:
+    """Per policy: latest end, earliest due date, charge, worst trigger; few columns are read."""
+    return flags(installments, st).groupBy(*POLICY_KEYS).agg(
+        F.max("dt_fim").alias("last_end"),
+        F.min("dt_vencimento").alias("first_due"),
+        money_total(F.col("val_cobranca")).alias("charge"),
+        F.min(F.when(is_trigger(), F.col("dias"))).alias("worst"),
+    )
+
+
+def policy_delinquency(grain: DataFrame, st: Settings) -> DataFrame:
+    """Policies with a positive charge: earliest due date, in force or over."""
+    over = lt(F.col("last_end"), S.next_period(st.ref))
+    return grain.where(F.col("charge") > 0).select(
+        *POLICY_KEYS, F.col("first_due").alias("min_vcto_apolice"),
+        F.when(over, "DECORRIDO").otherwise("DECORRER").alias("vigente"),
+    )
+
+
+def customer_delinquency(grain: DataFrame) -> DataFrame:
+    """Earliest due date of an insured's policies with a positive charge."""
     return (
-        df.groupBy(*POLICY_KEYS)
-        .agg(
-            F.max("dt_fim").alias("_end"),
-            F.min("dt_vencimento").alias("min_vcto_apolice"),
-            money_total(F.col("val_cobranca")).alias("_charge"),
-        )
-        .where(F.col("_charge") > 0)
-        .withColumn("vigente", F.when(lt(F.col("_end"), following), "DECORRIDO").otherwise("DECORRER"))
-        .drop("_end", "_charge")
+        grain.where(F.col("charge") > 0)
+        .groupBy(*CUSTOMER_KEYS).agg(F.min("first_due").alias("min_vcto_cliente"))
     )
 
 
-def customer_delinquency(policies: DataFrame) -> DataFrame:
-    return policies.groupBy(*CUSTOMER_KEYS).agg(F.min("min_vcto_apolice").alias("min_vcto_cliente"))
+def worst_per_insured(grain: DataFrame) -> DataFrame:
+    return grain.where(F.col("worst").isNotNull()).groupBy("cpf_cnpj").agg(F.min("worst").alias("dias_min"))
 
 
-def status(df: DataFrame, policies: DataFrame, st: Settings) -> DataFrame:
-    """Delinquency of installment, policy and insured, months late, updated reserve.
+def contracts(installments: DataFrame, st: Settings) -> DataFrame:
+    """Everything an installment needs to know of its policy and its insured, one row per policy.
 
-    `policies` is policy_delinquency of the raw installments: it needs few of their
-    columns, so a second narrow scan is cheaper than keeping the wide rows.
+    The insured's values are joined to the policies, so the wide installments are shuffled
+    once, on the policy: an insured holding a third of all rows is only met here, after the
+    aggregation.
     """
-    out = attach_group_extreme(df, policies, POLICY_KEYS)
-    out = attach_group_extreme(out, customer_delinquency(policies), CUSTOMER_KEYS)
+    grain = stored(policy_grain(installments, st), "policies")
+    over = lt(F.col("last_end"), S.next_period(st.ref))
+    counted = F.col("charge") > 0
+    rows = grain.select(
+        *POLICY_KEYS, F.when(counted, F.col("first_due")).alias("min_vcto_apolice"),
+        F.when(counted, F.when(over, "DECORRIDO").otherwise("DECORRER")).alias("vigente"),
+    )
+    rows = attach_group_extreme(rows, customer_delinquency(grain), CUSTOMER_KEYS)
+    return attach_group_extreme(rows, worst_per_insured(grain), ["cpf_cnpj"])
+
+
+def drag(df: DataFrame) -> DataFrame:
+    """An insured's oldest overdue installment (dias_min) re-labels all its other installments."""
+    c, trigger = F.col, is_trigger()
+    invalid = c("inconsist") == "S"
+    own = trigger | c("dias_min").isNull()
+    days = F.when(own, c("dias")).otherwise(c("dias_min"))
+    return df.withColumns({
+        "condicoes_v2": F.when(invalid, F.lit("CONDICAO_F")).when(trigger, c("condicoes"))
+        .when(c("dias_min").isNotNull(), F.lit("CONDICAO_5")).otherwise(F.lit("CONDICAO_0")),
+        "aging_dias_nome_v2": aging_bucket(days, invalid),
+    })
+
+
+def status(df: DataFrame, st: Settings) -> DataFrame:
+    """Delinquency of installment, policy and insured, months late, updated reserve."""
     c, ref, following = F.col, st.ref, S.next_period(st.ref)
 
     def late(due: str) -> Column:
@@ -264,7 +296,7 @@ def status(df: DataFrame, policies: DataFrame, st: Settings) -> DataFrame:
         "rvr_atu_fnl": F.when((c("inconsist") == "S") | negative, F.lit(0.0)).otherwise(c("rvr_atu")),
     }
     steps = [own, by_contract, by_insured, {"rvr_atu": reserve_amount("_atu")}, usable]
-    return data_step(out, steps, drop=["_lo", "_hi"])
+    return data_step(df, steps, drop=["_lo", "_hi"])
 
 
 FACTOR_KEYS = [
@@ -295,15 +327,28 @@ def factor(df: DataFrame, groups: DataFrame, factors: DataFrame) -> DataFrame:
     return out.withColumn("rvr_atuarial", c("rvr_atu_fnl") * c("fator_atuarial"))
 
 
+def with_status(installments: DataFrame, reinsurance: DataFrame, st: Settings) -> DataFrame:
+    """Installments with reserve, drag and delinquency."""
+    rows = base(installments, reinsurance, st)
+    return status(drag(attach_group_extreme(rows, contracts(installments, st), POLICY_KEYS)), st)
+
+
 def pipeline(installments: DataFrame, reinsurance: DataFrame, groups: DataFrame, factors: DataFrame,
              st: Settings) -> DataFrame:
     """All installments with reserve, status and factor."""
-    policies = policy_delinquency(installments, st)
-    return factor(status(drag(base(installments, reinsurance, st)), policies, st), groups, factors)
+    return factor(with_status(installments, reinsurance, st), groups, factors)
 
 
 def postable(df: DataFrame) -> DataFrame:
-    return df.where((F.col("inconsist") != "S") & (F.col("rvr_atu_negativa") != "SIM") & (F.col("rvr_atu") > 0))
+    """Consistent rows with a positive reserve.
+
+    The row number keeps the filter above the reserve formula: pushed below it, the filter
+    would carry the whole formula, worked out in place of every name, and each row would be
+    computed twice. Select issue types before, so that those filters do reach the scan.
+    """
+    usable = (F.col("inconsist") != "S") & (F.col("rvr_atu_negativa") != "SIM") & (F.col("rvr_atu") > 0)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where(usable & (F.col("_row") >= 0)).drop("_row")
 
 
 def segment(st: Settings, product_tail: bool = False) -> Column:
