@@ -131,8 +131,7 @@ def read_dataset_meta(spark: SparkSession, paths: list[str], extensions: list[st
     """Metadata of every data file: from its sidecar, else unknown counts and no columns."""
     sidecars = _each(
         paths,
-        lambda p: spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.meta.json").text(p)
+        lambda p: spark.read.text(p, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.meta.json")
         .select(F.col("_metadata.file_path").alias("path"), "value"),
     )
     known = meta_rows(sidecars)
@@ -160,15 +159,27 @@ def apply_informats(df: DataFrame, layout: list[tuple[str, str]]) -> DataFrame:
     return df.select(*[informat(F.col(name), spec).alias(name) for name, spec in layout])
 
 
+def _western(df: DataFrame) -> DataFrame:
+    """Text read as ISO-8859-1 turned into Windows-1252: only bytes 80 to 9F differ."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "replace")) for b in range(0x80, 0xA0)]
+    src, dst = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return df.select(*[F.translate(c, src, dst).alias(c) for c in df.columns])
+
+
+# Names of the Windows western code page.
+WESTERN = ("wlatin1", "windows-1252", "cp1252")
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], layout: list[tuple[str, str]], sep: str = ";",
                    encoding: str = "UTF-8", header: bool = True) -> DataFrame:
     """Delimited text with a layout of (column, informat); short rows give missing values."""
     schema = ", ".join(f"`{name}` string" for name, _ in layout)
+    western = encoding.lower() in WESTERN
     raw = (
         spark.read.schema(schema).option("sep", sep).option("header", header).option("enforceSchema", "true")
-        .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
+        .option("encoding", "ISO-8859-1" if western else encoding).option("mode", "PERMISSIVE").csv(path)
     )
-    return apply_informats(raw, layout)
+    return apply_informats(_western(raw) if western else raw, layout)
 
 
 def zip_members(files: DataFrame, member: str = r".*", encoding: str = "utf-8") -> DataFrame:
