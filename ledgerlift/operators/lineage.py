@@ -85,9 +85,40 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None)
     return known.where("hops > 0")
 
 
+def _is_program(name: str) -> Column:
+    return F.col(name).startswith("program:")
+
+
+def _from_things(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """reachable() for starts that are not programs, in half the rounds.
+
+    Every edge joins a program and a thing, so the search walks from thing to thing over the
+    programs between them; programs are added at the end and never held in the search.
+    """
+    into = cut(edges.where(_is_program("target")).select("source", F.col("target").alias("program")).distinct())
+    out = edges.where(_is_program("source")).select(F.col("source").alias("program"), "target").distinct()
+    things = reachable(into.join(out, "program").select("source", "target"), starts).unionByName(
+        starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
+    )
+    found = cut(things.withColumn("hops", F.col("hops") * 2))
+    programs = (
+        found.withColumnRenamed("node", "source").join(into, "source")
+        .groupBy("start", F.col("program").alias("node")).agg((F.min("hops") + 1).alias("hops"))
+    )
+    return found.where("hops > 0").unionByName(programs)
+
+
+def search(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(start, node, hops) of a lineage graph for any kind of start."""
+    if max_hops is not None:
+        return reachable(edges, starts, max_hops)
+    programs, things = starts.where(_is_program("node")), starts.where(~_is_program("node"))
+    return _from_things(edges, things).unionByName(reachable(edges, programs))
+
+
 def downstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Descendants of each start, the start itself left out."""
-    return reachable(edges, starts).where("node <> start")
+    return search(edges, starts).where("node <> start")
 
 
 def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -99,7 +130,7 @@ def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def lineage_closure(edges: DataFrame, starts: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
     """Every (start, node) pair with the hop count; from all sources unless starts are given."""
     starts = starts if starts is not None else edges.select(F.col("source").alias("node")).distinct()
-    return reachable(edges, starts, max_hops).where("node <> start")
+    return search(edges, starts, max_hops).where("node <> start")
 
 
 def _ends(nodes: DataFrame, edges: DataFrame, side: str) -> DataFrame:
@@ -150,7 +181,7 @@ def _reach_counts(edges: DataFrame, name: str) -> DataFrame:
     Programs with the same direct successors reach the same nodes, so reachability is
     worked out once per distinct successor set and not once per program.
     """
-    from_programs = edges.where(F.col("source").startswith("program:")).select(
+    from_programs = edges.where(_is_program("source")).select(
         F.col("source").alias("program"), F.col("target").alias("first")).distinct()
     groups = from_programs.groupBy("program").agg(
         F.sum(F.xxhash64("first").cast("decimal(20,0)")).alias("h1"),
@@ -159,7 +190,7 @@ def _reach_counts(edges: DataFrame, name: str) -> DataFrame:
     ).withColumn("shape", F.concat_ws("|", "h1", "h2", "k"))
     speakers = groups.groupBy("shape").agg(F.min("program").alias("program"))
     firsts = cut(from_programs.join(speakers, "program").select("shape", "first"))
-    spread = reachable(edges, firsts.select(F.col("first").alias("node")))
+    spread = _from_things(edges, firsts.select(F.col("first").alias("node")).distinct())
     beyond = firsts.join(spread.select(F.col("start").alias("first"), "node"), "first").select("shape", "node")
     direct = firsts.select("shape", F.col("first").alias("node"))
     reached = cut(direct.unionByName(beyond).distinct())
