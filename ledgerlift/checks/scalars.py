@@ -9,7 +9,10 @@ from ledgerlift.functions import scalars as S
 from ledgerlift.plans.views import view, with_views
 
 c = F.col
-REF = F.lit("1998-06-30").cast("date")
+
+
+def ref():
+    return F.lit("1998-06-30").cast("date")
 
 
 def _orders(s, d):
@@ -22,8 +25,8 @@ def _inst(s, d):
 
 def _window(s, d):
     lo, hi = S.installment_window(c("dt_inicio"), c("dt_fim"), c("qtde_parcelas"), c("num_parcela"), F.lit(False))
-    ref = S.day_number(REF).cast("double")
-    return _inst(s, d).select("cod_apolice", "num_parcela", lo.alias("lo"), hi.alias("hi"), S.prorata_window(lo, hi, ref).alias("fator"))
+    at = S.day_number(ref()).cast("double")
+    return _inst(s, d).select("cod_apolice", "num_parcela", lo.alias("lo"), hi.alias("hi"), S.prorata_window(lo, hi, at).alias("fator"))
 
 
 def _split(s, d):
@@ -75,15 +78,15 @@ def _paths(s, d):
 
 QUERIES = {
     "fn_ifn_ifc": lambda s, d: _inst(s, d).select(
-        "cod_apolice", "num_parcela", S.ifn(c("dt_vencimento") < REF, 1, 0).alias("n"), S.ifc(c("dt_vencimento") < REF, "late", "open").alias("t")),
+        "cod_apolice", "num_parcela", S.ifn(c("dt_vencimento") < ref(), 1, 0).alias("n"), S.ifc(c("dt_vencimento") < ref(), "late", "open").alias("t")),
     "fn_mdy": lambda s, d: view(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.mdy(
         F.lit(2), (c("l_orderkey") % 31 + 1).cast("int"), (F.lit(1990) + c("l_linenumber")).cast("int")).alias("day")),
     "fn_year_month": lambda s, d: _orders(s, d).select("o_orderkey", F.year("day").alias("y"), F.month("day").alias("m"), S.period(c("day")).alias("ym")),
     "fn_next_period": lambda s, d: _orders(s, d).select("o_orderkey", S.next_period(c("day")).alias("next")),
-    "fn_date_diff": lambda s, d: _orders(s, d).select("o_orderkey", S.days_between(c("day"), REF).alias("d"), S.days_between(c("day"), REF, True).alias("d1")),
-    "fn_months_late": lambda s, d: _inst(s, d).select("cod_apolice", "num_parcela", S.months_late(c("dt_vencimento"), REF).alias("late")),
+    "fn_date_diff": lambda s, d: _orders(s, d).select("o_orderkey", S.days_between(c("day"), ref()).alias("d"), S.days_between(c("day"), ref(), True).alias("d1")),
+    "fn_months_late": lambda s, d: _inst(s, d).select("cod_apolice", "num_parcela", S.months_late(c("dt_vencimento"), ref()).alias("late")),
     "fn_prorata_factor": lambda s, d: _inst(s, d).select("cod_apolice", "num_parcela", S.prorata_days(
-        F.date_diff("dt_fim", REF), F.date_diff("dt_fim", "dt_inicio"), c("cpf_cnpj").isNull()).alias("fator")),
+        F.date_diff("dt_fim", ref()), F.date_diff("dt_fim", "dt_inicio"), c("cpf_cnpj").isNull()).alias("fator")),
     "fn_installment_period": _window,
     "fn_put_z": lambda s, d: view(s, d, "part").select("p_partkey", S.put_z(c("p_partkey"), 3).alias("z3"),
                                                        S.put_z(c("p_size") - 25, 4).alias("z4"), S.put_z(F.nullif("p_size", F.lit(7)), 2).alias("z2")),

@@ -10,7 +10,10 @@ from ledgerlift.operators import steps as T
 from ledgerlift.plans.views import view, with_views
 
 c = F.col
-REF = F.lit("1998-06-30").cast("date")
+
+
+def ref():
+    return F.lit("1998-06-30").cast("date")
 
 
 def _inst(s, d):
@@ -28,7 +31,7 @@ QUERIES = {
     "keep_drop_rename": lambda s, d: T.data_step(view(s, d, "orders"), drop=["o_orderpriority"],
                                                  rename={"o_orderkey": "order_id", "o_custkey": "customer_id"}),
     "where_filter": lambda s, d: T.data_step(_inst(s, d), keep=["cod_apolice", "num_parcela", "cod_agencia"],
-                                             where=c("cod_sistema_origem").isin("BUILDING", "MACHINERY") & lt(c("dt_vencimento"), REF)),
+                                             where=c("cod_sistema_origem").isin("BUILDING", "MACHINERY") & lt(c("dt_vencimento"), ref())),
     "delete_rows": lambda s, d: T.data_step(_inst(s, d), keep=["cod_apolice", "cpf_cnpj"], delete=(c("cpf_cnpj") % 3 == 0)),
     "if_else_map": lambda s, d: view(s, d, "customer").select(
         "c_custkey", S.value_map(c("c_mktsegment"), {"BUILDING": "G", "MACHINERY": "R", "AUTOMOBILE": "S"}).alias("letter"),
@@ -47,12 +50,12 @@ QUERIES = {
         zero=["cod_agencia"], missing_or_zero=["cod_produto", "grupo_ramo", "cpf_cnpj"], dates=["dt_vencimento"],
         ordered=("dt_inicio", "dt_vencimento")).alias("inconsist")),
     "aging_bucket": lambda s, d: _inst(s, d).select(
-        "cod_apolice", "num_parcela", T.aging_bucket(F.date_diff("dt_vencimento", REF), c("cpf_cnpj").isNull()).alias("aging")),
+        "cod_apolice", "num_parcela", T.aging_bucket(F.date_diff("dt_vencimento", ref()), c("cpf_cnpj").isNull()).alias("aging")),
     "condition_label": lambda s, d: _inst(s, d).select("cod_apolice", "num_parcela", T.decision_table([
-        ((c("dt_fim") < REF) & lt(c("dt_vencimento"), REF), "CONDICAO_1"), (c("dt_fim") < REF, "CONDICAO_2"),
-        (lt(c("dt_vencimento"), REF), "CONDICAO_3"), (ge(c("dt_vencimento"), REF), "CONDICAO_4")], "CONDICAO_F").alias("condicao")),
+        ((c("dt_fim") < ref()) & lt(c("dt_vencimento"), ref()), "CONDICAO_1"), (c("dt_fim") < ref(), "CONDICAO_2"),
+        (lt(c("dt_vencimento"), ref()), "CONDICAO_3"), (ge(c("dt_vencimento"), ref()), "CONDICAO_4")], "CONDICAO_F").alias("condicao")),
     "scd_chain_expr": lambda s, d: T.data_step(_inst(s, d), [
-        {"dias": F.date_diff("dt_fim", REF)}, {"resto": F.when(c("dias") < 0, 0).otherwise(c("dias") + 1)},
+        {"dias": F.date_diff("dt_fim", ref())}, {"resto": F.when(c("dias") < 0, 0).otherwise(c("dias") + 1)},
         {"faixa": F.floor(c("resto") / 30)}], keep=["cod_apolice", "num_parcela", "dias", "resto", "faixa"]),
 }
 
