@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerlift.llm import chat, minhash, sharding, substring
+from ledgerlift.llm import chat, langid, minhash, mixing, packing, sharding, substring, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_packing": packing.op3_packing,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_substring_dedup": substring.op7_substring_dedup,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_language_id": langid.op9_language_id,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
-ORACLE = {**chat.ORACLE}
+ORACLE = {**chat.ORACLE, **mixing.ORACLE}
