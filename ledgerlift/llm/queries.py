@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlift.llm import chat, langid, minhash, mixing, packing, sharding, substring, url_filter
+from ledgerlift.llm import ann, chat, fingerprints, langid, minhash, mixing, packing, sharding, substring, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_packing": packing.op3_packing,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_nearest": ann.op5_nearest,
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_mixing": mixing.op8_mixing,
