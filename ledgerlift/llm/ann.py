@@ -8,8 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +40,25 @@ def entries_of(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.withColumn("_norm", norm).select("id", "v", F.transform("v", lambda x: x / F.col("_norm")).alias("u"))
 
 
+def means(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """At most k centroids of different points, by Lloyd's rounds from evenly spread distinct ones."""
+    points = np.unique(points, axis=0)
+    book = points[np.linspace(0, len(points) - 1, min(k, len(points))).astype(int)]
+    for _ in range(rounds):
+        near = _distances(points, book).argmin(1)
+        sums = np.zeros_like(book)
+        np.add.at(sums, near, points)
+        held = np.bincount(near, minlength=len(book))
+        book = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], book)
+    return book
+
+
 def codebooks(entries: DataFrame, n: int, half: int, centroids: int) -> list[np.ndarray]:
-    """Centroids of the first and second halves, from a bounded sample."""
+    """Centroids of the first and second halves, from a sample of at most about SAMPLE_ROWS vectors."""
     chance = min(1.0, SAMPLE_ROWS / max(n, 1))
-    sample = entries.where(F.pmod(F.xxhash64(F.lit("codebook"), "id"), F.lit(1 << 30)) < int(chance * (1 << 30)))
-    sample = sample.select("u").cache()
-    try:
-        books = []
-        for part in (F.slice("u", 1, half), F.expr(f"slice(u, {half + 1}, size(u))")):
-            means = KMeans(k=centroids, initMode="random", maxIter=8, seed=9, featuresCol="x")
-            books.append(np.array(means.fit(sample.select(array_to_vector(part).alias("x"))).clusterCenters()))
-        return books
-    finally:
-        sample.unpersist()
+    sample = entries.where(F.pmod(F.xxhash64(F.lit("codebook"), "id"), F.lit(1 << 30)) <= int(chance * (1 << 30)))
+    u = np.array([r["u"] for r in sample.orderBy("id").select("u").collect()])
+    return [means(x, centroids) for x in (u[:, :half], u[:, half:])]
 
 
 def _distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
