@@ -44,7 +44,7 @@ def shuffle_shards(
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rows = df.agg(F.count(F.lit(1))).first()[0]
 
-    scattered = df.select(bucket.alias("_bucket"), F.struct(*key, F.struct(*cols).alias("_row")).alias("_rec"))
+    scattered = df.select(bucket.alias("_bucket"), F.struct(F.xxhash64(*key).alias("_order"), F.struct(*cols).alias("_row")).alias("_rec"))
     held = (
         scattered.repartitionById(buckets, F.col("_bucket"))
         .groupBy("_bucket")
