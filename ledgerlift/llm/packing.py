@@ -23,8 +23,9 @@ SEQUENCE, END = 4096, 2
 REMEMBERED, STEP_BYTES = 600_000, 4 << 20
 #: White space and control characters that words of bytes can hold though the tokenizer may cut there,
 #: and the first letter beyond which lower case and composition need the tokenizer's own rules.
-_ODD = regex.compile(r"[\x1c-\x1f\x85\xa0]")
+_ODD = regex.compile(r"[\x00-\x20\x7f-\xa0]")
 _SIMPLE_BELOW = "İ"
+_MARKS = ".,;:!?|"
 
 
 class _Numbers(dict):
@@ -58,16 +59,24 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Add the ids of words that are numbered but not yet known, in their order."""
-        if len(self.pieces) > REMEMBERED // 2:
+        if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        parts: list[list[str] | None] = []
-        unseen: dict[str, None] = {}
+        known, parts, unseen = self.pieces, [], {}
         for raw in new:
             word = raw.decode()
-            plain = max(word) < _SIMPLE_BELOW and not _ODD.search(word)
-            parts.append(self.cut.findall(word.lower()) if plain else None)
-            if plain:
-                unseen.update((p, None) for p in parts[-1] if p not in self.pieces)
+            # most words are letters, perhaps with one mark behind them
+            if not word.isascii() and max(word) >= _SIMPLE_BELOW:
+                cut = None
+            elif word.isalpha():
+                cut = (word.lower(),)
+            elif word[-1] in _MARKS and word[:-1].isalpha():
+                cut = (word[:-1].lower(), word[-1])
+            else:
+                cut = None if _ODD.search(word) else self.cut.findall(word.lower())
+            parts.append(cut)
+            for piece in cut or ():
+                if piece not in known:
+                    unseen[piece] = None
         todo = list(unseen)
         for i in range(0, len(todo), 2000):
             some = todo[i : i + 2000]
@@ -76,13 +85,16 @@ class Encoder:
             for at, token in zip(got.word_ids, got.ids):
                 ids[at].append(token)
             self.pieces.update(zip(some, map(tuple, ids)))
+        flat, ends, base = array("I"), array("q"), len(self.flat)
         for raw, cut in zip(new, parts):
             if cut is None:
-                self.flat.extend(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
+                flat.extend(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
             else:
-                for p in cut:
-                    self.flat.extend(self.pieces[p])
-            self.first.append(len(self.flat))
+                for piece in cut:
+                    flat.extend(known[piece])
+            ends.append(base + len(flat))
+        self.flat.extend(flat)
+        self.first.extend(ends)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
