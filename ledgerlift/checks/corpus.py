@@ -189,8 +189,8 @@ EXPORT_KIND = ("CASE WHEN f LIKE '%sap%' AND f LIKE '%direto%' THEN 'sap_direto'
 TYPES = srt(f"list_transform(list_transform({ex('proc_export', 2)}, lambda v: lower(v)), lambda f: {EXPORT_KIND})")
 MAPS = "maps AS (SELECT *, upper(regexp_extract(hit, {0}, 1)) AS src_var, regexp_extract(hit, {0}, 2) AS src_val, " \
        "upper(regexp_extract(hit, {0}, 3)) AS tgt_var, regexp_extract(hit, {0}, 4) AS tgt_val, " \
-       "lower(substr(full_text, CAST(greatest(place - 500, 0) + 1 AS BIGINT), CAST(place - greatest(place - 500, 0) AS BIGINT))) AS before FROM map_hits)".format(pat("value_map"))
-SECTION = "CASE WHEN before LIKE '%aceito%' THEN 'aceito' WHEN before LIKE '%resumo%' THEN 'resumo' ELSE 'geral' END"
+       "regexp_extract(lower(substr(full_text, 1, CAST(place AS BIGINT))), '(?s).*(aceito|resumo)', 1) AS before FROM map_hits)".format(pat("value_map"))
+SECTION = "CASE WHEN before = '' THEN 'geral' ELSE before END"
 LINES = ("length(content) - length(replace(content, chr(10), '')) + CASE WHEN content = '' OR content LIKE '%' || chr(10) THEN 0 ELSE 1 END")
 
 

@@ -9,7 +9,8 @@ from ledgerlift.plans.views import view, with_views
 
 
 def _labels(s, d):
-    return view(s, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label")).where("n_nationkey % 3 <> 0")
+    return view(s, d, "nation").select(
+        F.when(F.col("n_nationkey") % 3 == 0, -F.col("n_nationkey") - 1).otherwise(F.col("n_nationkey")).alias("code"), F.col("n_name").alias("label"))
 
 
 def _left(s, d):
@@ -19,9 +20,9 @@ def _left(s, d):
 
 
 def _right(s, d):
-    """One row per (k, m), with a missing m and a shared column x."""
-    return (view(s, d, "lineitem").where("l_returnflag = 'A'")
-            .select(F.col("l_partkey").alias("k"),
+    """One row per (k, m), with a missing m and a shared column x; returned items have keys the left side lacks."""
+    return (view(s, d, "lineitem")
+            .select(F.when(F.col("l_returnflag") == "R", -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("k"),
                     F.when(F.col("l_linenumber") == 1, None).otherwise(F.col("l_linenumber")).alias("m"),
                     F.col("l_suppkey").alias("w"), F.col("l_tax").alias("x"))
             .groupBy("k", "m").agg(F.max("w").alias("w"), F.max("x").alias("x")))
@@ -29,8 +30,8 @@ def _right(s, d):
 
 LEFT = """l AS (SELECT l_partkey AS k, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS m, l_orderkey AS v,
   l_quantity AS x, l_extendedprice AS p FROM lineitem)"""
-RIGHT = """r AS (SELECT l_partkey AS k, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS m, max(l_suppkey) AS w,
-  max(l_tax) AS x FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2)"""
+RIGHT = """r AS (SELECT CASE WHEN l_returnflag = 'R' THEN -l_partkey ELSE l_partkey END AS k, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS m, max(l_suppkey) AS w,
+  max(l_tax) AS x FROM lineitem GROUP BY 1, 2)"""
 
 
 def _merge_sql(kind):
@@ -42,9 +43,9 @@ FROM l1 {kind} JOIN r1 ON l1.k = r1.k AND l1.m IS NOT DISTINCT FROM r1.m"""
 
 
 def _many(s, d):
-    """Events of a user against events of the same number of another kind, both many per key."""
+    """Purchases of a user against all other events, both many per key."""
     ev = view(s, d, "events")
-    a = ev.where("event_type in ('click', 'view')").select("user_id", F.col("event_id").alias("a_id"), F.col("value").alias("x"))
+    a = ev.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("a_id"), F.col("value").alias("x"))
     b = ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b_id"), F.col("value").alias("x"))
     return J.merge_by(a, b, ["user_id"], "any", (["a_id"], ["b_id"]))
 
@@ -86,7 +87,7 @@ ORACLE = {
     "merge_by_right": _merge_sql("RIGHT"),
     "merge_by_full": _merge_sql("FULL"),
     "merge_by_many": """WITH a AS (SELECT user_id, event_id AS a_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
-        count(*) OVER (PARTITION BY user_id) AS na FROM events WHERE event_type IN ('click', 'view')),
+        count(*) OVER (PARTITION BY user_id) AS na FROM events WHERE event_type <> 'purchase'),
       b AS (SELECT user_id, event_id AS b_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
         count(*) OVER (PARTITION BY user_id) AS nb FROM events WHERE event_type = 'purchase'),
       n AS (SELECT user_id, max(na) AS na, max(nb) AS nb FROM (SELECT user_id, na, NULL AS nb FROM a UNION ALL

@@ -25,18 +25,12 @@ def _corpus(s, d):
     return C.extract(view(s, d, "programs"), *fields).drop("content")
 
 
-def _datasets(s, d):
-    return L.lineage_edges(_flows(s, d)).where("relationship = 'reads'").select(F.col("source").alias("node")).distinct()
+#: The test flows are chains of ten datasets and ten programs.
+HOPS = 40
 
 
-def _roots(s, d):
-    nodes, edges = _graph(s, d)
-    return L.roots(nodes, edges).select(F.col("id").alias("node"))
-
-
-def _leaves(s, d):
-    nodes, edges = _graph(s, d)
-    return L.leaves(nodes, edges).select(F.col("id").alias("node"))
+def _hubs(s, d):
+    return L.hubs(*_graph(s, d)).select("node")
 
 
 QUERIES = {
@@ -44,15 +38,16 @@ QUERIES = {
     "lineage_edges": lambda s, d: _graph(s, d)[1],
     "lineage_nodes_corpus": lambda s, d: L.lineage_nodes(_corpus(s, d)),
     "lineage_edges_corpus": lambda s, d: L.lineage_edges(_corpus(s, d)),
-    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _leaves(s, d)),
-    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _roots(s, d)),
-    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _datasets(s, d)),
+    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _hubs(s, d), HOPS),
+    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _hubs(s, d), HOPS),
+    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _hubs(s, d), HOPS),
     "roots_leaves": lambda s, d: L.roots_leaves(*_graph(s, d)),
     "graph_stats": lambda s, d: L.graph_stats(*_graph(s, d)),
     "edge_type_counts": lambda s, d: L.edge_type_counts(L.lineage_edges(_corpus(s, d))),
     "program_impact": lambda s, d: L.program_impact(*_graph(s, d)),
     "leaf_outputs": lambda s, d: L.leaf_outputs(*_graph(s, d)),
     "degree": lambda s, d: L.degree(*_graph(s, d)),
+    "hubs": lambda s, d: L.hubs(*_graph(s, d)),
 }
 
 EDGES = """e AS (SELECT DISTINCT * FROM (SELECT 'dataset:' || lower(ds_read) AS source, 'program:' || filename AS target, 'reads' AS relationship FROM lineage_input
@@ -75,29 +70,20 @@ def q(sql):
     return with_views("lineage_input", sql)
 
 
-def _walk(start_sql, forward=True):
-    a, b = ("source", "target") if forward else ("target", "source")
-    return q(f"""WITH RECURSIVE {EDGES}, {NODES}, st AS ({start_sql}),
-      walk AS (SELECT node AS start, node FROM st UNION SELECT w.start, e.{b} FROM walk w JOIN e ON e.{a} = w.node)
-      SELECT start, node FROM walk WHERE node <> start""")
-
-
-def _walk_hops(start_sql):
-    """Level by level: the shortest way in a chain of ten datasets and ten programs is below forty steps."""
-    return q(f"""WITH RECURSIVE {EDGES}, st AS ({start_sql}),
-      walk AS (SELECT node AS start, node, 0 AS hops FROM st UNION SELECT w.start, e.target, w.hops + 1 FROM walk w JOIN e ON e.source = w.node WHERE w.hops < 40)
-      SELECT start, node, min(hops) AS hops FROM walk WHERE node <> start GROUP BY 1, 2""")
-
-
-ROOTS = "SELECT id AS node FROM n WHERE id NOT IN (SELECT target FROM e)"
-LEAVES = "SELECT id AS node FROM n WHERE id NOT IN (SELECT source FROM e)"
+HUBS = """SELECT node, count(*) AS degree FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY node
+  ORDER BY degree DESC, node LIMIT 20"""
 
 
-def _hops(start_sql, forward=True):
-    a, b = ("source", "target") if forward else ("target", "source")
-    return q(f"""WITH RECURSIVE {EDGES}, {NODES}, st AS ({start_sql}),
-      walk AS (SELECT node AS start, node, 0 AS hops FROM st UNION SELECT w.start, e.{b}, w.hops + 1 FROM walk w JOIN e ON e.{a} = w.node WHERE w.hops < 40)
-      SELECT start, node, min(hops) AS hops FROM walk WHERE node <> start GROUP BY 1, 2""")
+def _hops(*directions):
+    """Level by level from the hubs; the shortest way in a chain of ten datasets and ten programs is below forty steps."""
+    walks, parts = [], []
+    for name in directions:
+        a, b = ("source", "target") if name == "downstream" else ("target", "source")
+        walks.append(f"""{name} AS (SELECT node AS start, node, 0 AS hops FROM st UNION
+          SELECT w.start, e.{b}, w.hops + 1 FROM {name} w JOIN e ON e.{a} = w.node WHERE w.hops < 40)""")
+        label = f"'{name}' AS direction, " if len(directions) > 1 else ""
+        parts.append(f"SELECT start, node, {label}min(hops) AS hops FROM {name} WHERE node <> start GROUP BY start, node")
+    return q(f"WITH RECURSIVE {EDGES}, st AS ({HUBS}), {', '.join(walks)} {' UNION ALL '.join(parts)}")
 
 
 ORACLE = {
@@ -109,20 +95,23 @@ ORACLE = {
     "lineage_edges_corpus": with_views("programs", f"""WITH {MENTIONS} SELECT DISTINCT
       CASE WHEN relationship IN ('reads', 'calls', 'includes') THEN id ELSE prog END AS source,
       CASE WHEN relationship IN ('reads', 'calls', 'includes') THEN prog ELSE id END AS target, relationship FROM g"""),
-    "upstream": _hops(LEAVES, False),
-    "downstream": _hops(ROOTS),
-    "lineage_closure": _hops("SELECT DISTINCT source AS node FROM e WHERE relationship = 'reads'"),
+    "upstream": _hops("upstream"),
+    "downstream": _hops("downstream"),
+    "lineage_closure": _hops("upstream", "downstream"),
+    "hubs": q(f"WITH {EDGES} {HUBS}"),
     "roots_leaves": q(f"""WITH {EDGES}, {NODES} SELECT id, type, 'root' AS role FROM n WHERE id NOT IN (SELECT target FROM e)
       UNION ALL SELECT id, type, 'leaf' FROM n WHERE id NOT IN (SELECT source FROM e)"""),
     "graph_stats": q(f"""WITH {EDGES}, {NODES} SELECT 'nodes:' || type AS measure, count(*) AS value FROM n GROUP BY 1
       UNION ALL SELECT 'nodes', count(*) FROM n UNION ALL SELECT 'edges', count(*) FROM e"""),
     "edge_type_counts": with_views("programs", f"""WITH {MENTIONS} SELECT relationship, count(*) AS n FROM
       (SELECT DISTINCT id, prog, relationship FROM g) GROUP BY 1"""),
-    "program_impact": q(f"""WITH RECURSIVE {EDGES}, {NODES}, pr AS (SELECT id, label FROM n WHERE type = 'program'),
-      dw AS (SELECT id AS start, id AS node FROM pr UNION SELECT w.start, e.target FROM dw w JOIN e ON e.source = w.node),
-      up AS (SELECT id AS start, id AS node FROM pr UNION SELECT w.start, e.source FROM up w JOIN e ON e.target = w.node),
-      dc AS (SELECT start, count(*) - 1 AS c FROM dw GROUP BY 1), uc AS (SELECT start, count(*) - 1 AS c FROM up GROUP BY 1)
-      SELECT label, uc.c AS upstream, dc.c AS downstream, uc.c + dc.c AS total FROM pr JOIN dc ON dc.start = id JOIN uc ON uc.start = id"""),
+    "program_impact": q(f"""WITH {EDGES}, {NODES}, i AS (SELECT DISTINCT target AS id, source FROM e WHERE target LIKE 'program:%'),
+      o AS (SELECT DISTINCT source AS id, target AS thing FROM e WHERE source LIKE 'program:%'),
+      r AS (SELECT source AS thing, count(DISTINCT target) AS k FROM e WHERE target LIKE 'program:%' GROUP BY 1),
+      t AS (SELECT n.id, n.label, (SELECT count(*) FROM i WHERE i.id = n.id) AS upstream, (SELECT count(*) FROM o WHERE o.id = n.id) AS downstream,
+        (SELECT coalesce(CAST(sum(coalesce(k, 0)) AS BIGINT), 0) FROM o LEFT JOIN r ON r.thing = o.thing WHERE o.id = n.id) AS readers
+        FROM n WHERE n.type = 'program')
+      SELECT label, upstream, downstream, readers, upstream + downstream AS total FROM t"""),
     "leaf_outputs": q(f"WITH {EDGES}, {NODES} SELECT label, type FROM n WHERE id NOT IN (SELECT source FROM e)"),
     "degree": q(f"""WITH {EDGES}, {NODES} SELECT n.id, (SELECT count(*) FROM e WHERE e.target = n.id) AS in_degree,
       (SELECT count(*) FROM e WHERE e.source = n.id) AS out_degree FROM n"""),

@@ -140,7 +140,7 @@ ORACLE = {
     "distinct_rows": "SELECT DISTINCT l_suppkey, l_linenumber, l_returnflag FROM lineitem",
     "count_nonmissing": with_views("customers_raw", """SELECT segment, count(status) AS n_status,
       count(*) - count(status) AS null_count FROM customers_raw GROUP BY segment"""),
-    "value_list": "SELECT string_agg(event_type, ' ' ORDER BY event_type) AS value_list FROM (SELECT DISTINCT event_type FROM events)",
+    "value_list": "SELECT row_number() OVER (ORDER BY event_type) AS place, event_type AS value FROM (SELECT DISTINCT event_type FROM events)",
     "distribution": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "nodupkey": with_views("customers_raw", """SELECT * FROM customers_raw
       QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY load_seq) = 1"""),

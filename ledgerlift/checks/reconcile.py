@@ -20,19 +20,12 @@ def _reordered(s, d):
     return src, src.repartition(5, "l_partkey")
 
 
-def _exists(s, d):
-    view(s, d, "orders").createOrReplaceTempView("ledgerlift_orders")
-    return V.check_exists(s, "ledgerlift_orders").unionByName(V.check_exists(s, "ledgerlift_absent"))
-
-
 QUERIES = {
     "check_row_count": lambda s, d: V.check_row_count(*_pair(s, d), "customer"),
     "check_row_count_pass": lambda s, d: V.check_row_count(*_reordered(s, d), "lineitem"),
-    "check_schema": lambda s, d: V.check_schema(*_pair(s, d), "customer"),
     "check_column_stats": lambda s, d: V.check_column_stats(*_pair(s, d), "customer"),
     "check_checksum": lambda s, d: V.check_checksum(*_reordered(s, d), "lineitem"),
     "checksum": lambda s, d: V.checksum(view(s, d, "lineitem")),
-    "check_exists": _exists,
     "reconcile": lambda s, d: V.reconcile(*_pair(s, d), "customer"),
 }
 
@@ -52,11 +45,8 @@ ORACLE = {
     "check_row_count": f"WITH {DST} {COUNT}",
     "check_row_count_pass": """SELECT 'lineitem' AS dataset, 'row_count' AS "check", '' AS "column", CAST(count(*) AS DOUBLE) AS expected,
       CAST(count(*) AS DOUBLE) AS actual, 'PASS' AS status FROM lineitem""",
-    "check_schema": SCHEMA,
     "check_column_stats": f"WITH {DST} {STATS}",
     "check_checksum": """SELECT 'lineitem' AS dataset, 'checksum' AS "check", '' AS "column", CAST(NULL AS DOUBLE) AS expected, CAST(NULL AS DOUBLE) AS actual, 'PASS' AS status""",
-    "check_exists": """SELECT * FROM (VALUES ('ledgerlift_orders', 'exists', '', 1.0e0, 1.0e0, 'PASS'), ('ledgerlift_absent', 'exists', '', 1.0e0, 0.0e0, 'WARNING'))
-      v(dataset, "check", "column", expected, actual, status)""",
     "reconcile": f"""WITH {DST} {COUNT} UNION ALL {SCHEMA} UNION ALL {STATS}
       UNION ALL SELECT 'customer', 'checksum', '', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'FAIL'""",
 }

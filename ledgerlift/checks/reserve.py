@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerlift.checks.common import msum, total
 from ledgerlift.functions.semantics import money_sum
 from ledgerlift.operators.ordering import attach_group_extreme
 from ledgerlift.plans import reserve as R
+from ledgerlift.session import stored
 from ledgerlift.plans.views import view, with_views
 
 ST = R.Settings(letters={"BUILDING": "B", "MACHINERY": "M", "AUTOMOBILE": "A", "HOUSEHOLD": "H"},
@@ -68,8 +71,11 @@ def _original(spark, d):
 
 
 def _conciliation(spark, d):
-    direct = _direct(spark, d)
-    return R.conciliation(direct, R.journal(direct, ST, "DIRETO"))
+    """Totals, worked out once, against a stored ledger in which one account was booked wrong and one not at all."""
+    totals = stored(R.account_totals(_direct(spark, d)), "account-totals")
+    lines = R.journal_of(totals, ST, "DIRETO").where("conta_contabil <> '2125190000'")
+    wrong = F.when(F.col("conta_contabil") == "1131900000", F.col("montante") + 1).otherwise(F.col("montante"))
+    return R.conciliation(totals, stored(lines.withColumn("montante", wrong), "ledger"))
 
 
 QUERIES = {
@@ -357,13 +363,15 @@ ORACLE = {
     "journal_life": with_views(IF, _journal(LIFE_SQL, LIFE, "DIRETO", 20)),
     "reserve_conciliation": with_views(IF, _conc(DIRECT_SQL, DIRECT)),
     "reserve_conciliation_accepted": with_views(IF, _conc(ACCEPTED_SQL, ACCEPTED)),
-    "conciliation": with_views(IF, f"""WITH {DIRECT_SQL}{_entries(DIRECT)}
+    "conciliation": re.sub(r"\bAS \(", "AS MATERIALIZED (", with_views(IF, f"""WITH {DIRECT_SQL}{_entries(DIRECT)},
+      booked AS (SELECT segmento, centro_de_custo, conta_contabil,
+        CASE WHEN conta_contabil = '1131900000' THEN montante + 1 ELSE montante END AS montante FROM lines WHERE conta_contabil <> '2125190000')
       SELECT coalesce(a.segmento, b.segmento) AS segmento, coalesce(a.centro_de_custo, b.centro_de_custo) AS centro_de_custo,
         coalesce(a.conta_contabil, b.conta_contabil) AS conta_contabil, CAST(round(abs(a.total), 2) AS DOUBLE) AS esperado,
-        b.montante AS lancado,
+        round(b.montante, 2) AS lancado,
         CASE WHEN abs(coalesce(abs(a.total), 0) - coalesce(CAST(b.montante AS DECIMAL(18,6)), 0)) <= 0.01 THEN 'PASS' ELSE 'FAIL' END AS status
-      FROM long a FULL JOIN lines b ON a.segmento = b.segmento AND a.centro_de_custo = b.centro_de_custo
-        AND a.conta_contabil = b.conta_contabil"""),
+      FROM long a FULL JOIN booked b ON a.segmento = b.segmento AND a.centro_de_custo = b.centro_de_custo
+        AND a.conta_contabil = b.conta_contabil""")),
     "analytic_base": with_views(IF, f"WITH {FACTOR_SQL} SELECT {ANALYTIC} FROM final"),
     "analytic_base_overdue": with_views(IF, f"WITH {FACTOR_SQL} SELECT {ANALYTIC} FROM final WHERE venc_vinc = 'Vencido'"),
     "currency_base": with_views(IF, f"""WITH {FACTOR_SQL} SELECT ano_mes, cod_tp_emissao, cod_moeda,

@@ -18,12 +18,9 @@ def _split(s, d):
         "vencido": lt(c("dt_vencimento"), F.lit("1998-06-30").cast("date"))}).drop("cod_tp_emissao", "dt_vencimento")
 
 
-def _gaps(s, d):
-    """Event types by user: which kinds each user lacks on even event days, cut into several buckets."""
-    pairs = view(s, d, "lineitem").select("l_suppkey", F.concat(F.lit("p"), F.col("l_partkey")).alias("part"))
-    return H.coverage_gaps(pairs, "l_suppkey", "part", per_bucket=100).select(
-        "l_suppkey", F.explode("missing").alias("part")).groupBy("l_suppkey").agg(
-        F.count("part").alias("n_missing"), F.min("part").alias("first_missing"), F.max("part").alias("last_missing"))
+def _supplied(s, d):
+    """Parts by supplier."""
+    return view(s, d, "lineitem").select("l_suppkey", F.concat(F.lit("p"), F.col("l_partkey")).alias("part"))
 
 
 QUERIES = {
@@ -38,8 +35,9 @@ QUERIES = {
         "l_quantity": "qty", "l_extendedprice": "price", "l_discount": "discount", "l_tax": "tax"}, "conta", "montante"),
     "split_outputs": _split,
     "set_diff": lambda s, d: H.set_diff(
-        view(s, d, "customer").select(c("c_custkey").alias("k")), view(s, d, "orders").where("o_orderstatus = 'P'").select(c("o_custkey").alias("k")), ["k"]),
-    "coverage_gaps": _gaps,
+        view(s, d, "customer").select(c("c_custkey").alias("k")), view(s, d, "supplier").select(c("s_suppkey").alias("k")), ["k"]),
+    "coverage_gaps": lambda s, d: H.coverage_gaps(_supplied(s, d), "l_suppkey", "part"),
+    "coverage_universe": lambda s, d: H.coverage_universe(_supplied(s, d), "part", "l_suppkey"),
 }
 
 ORACLE = {
@@ -52,9 +50,9 @@ ORACLE = {
     "split_outputs": with_views("installments", """SELECT cod_apolice, num_parcela, CASE cod_tp_emissao WHEN 'D' THEN 'direto' ELSE 'aceito' END AS output
       FROM installments UNION ALL SELECT cod_apolice, num_parcela, 'vencido' FROM installments
       WHERE dt_vencimento IS NULL OR dt_vencimento < DATE '1998-06-30'"""),
-    "set_diff": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
+    "set_diff": "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier",
     "coverage_gaps": """WITH v AS (SELECT DISTINCT l_suppkey, 'p' || l_partkey AS part FROM lineitem),
-      a AS (SELECT s.l_suppkey, u.part FROM (SELECT DISTINCT l_suppkey FROM v) s CROSS JOIN (SELECT DISTINCT part FROM v) u
-        EXCEPT SELECT * FROM v)
-      SELECT l_suppkey, count(*) AS n_missing, min(part) AS first_missing, max(part) AS last_missing FROM a GROUP BY 1""",
+      k AS (SELECT count(DISTINCT part) AS n_known FROM v)
+      SELECT l_suppkey, n_known - count(*) AS n_missing, n_known FROM v, k GROUP BY l_suppkey, n_known HAVING n_known > count(*)""",
+    "coverage_universe": "SELECT 'p' || l_partkey AS part, count(DISTINCT l_suppkey) AS n_entities FROM lineitem GROUP BY 1",
 }

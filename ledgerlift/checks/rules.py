@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlift.checks.corpus import CLEAN, MAPS, SECTION, STEPS, TYPES, ex, hits, pat, srt
 from ledgerlift.operators import rules as R
 from ledgerlift.plans.views import view, with_views
+from ledgerlift.session import stored
 
 SHOWN = ["program", "severity", "category", "line", "subject", "target", "recommendation_type"]
 
@@ -20,7 +21,7 @@ def _rule(category):
 
 
 def _corpus(fn):
-    return lambda s, d: fn(_programs(s, d)).select(*SHOWN)
+    return lambda s, d: R.corpus_findings(_programs(s, d), fn).select(*SHOWN)
 
 
 QUERIES = {
@@ -40,9 +41,7 @@ QUERIES = {
     "findings": lambda s, d: R.find_all(_programs(s, d)).groupBy("category").agg(
         F.count(F.lit(1)).alias("findings"), F.count_distinct("program").alias("programs")),
     "findings_summary": lambda s, d: R.findings_summary(R.find_all(_programs(s, d))),
-    "all_values_union": lambda s, d: R.coverage_gaps(
-        R._mapped_values(_programs(s, d)).select("filename", F.explode("general").alias("value")), "filename", "value").select(
-        "filename", F.array_join("missing", "|").alias("missing")),
+    "all_values_union": lambda s, d: R.general_gaps(stored(R.facts(_programs(s, d), ["general"]), "facts")),
 }
 
 # One level of inheritance is what the corpus holds: a step reads a step of the same program.
@@ -98,9 +97,10 @@ REIMPORT = f"""SELECT {_f('AUTO_REIMPORTACAO', '0', 'r.path', 'w.path')} FROM
 CHAINS = f"""{CLEAN}, map_hits AS ({hits('cleaned', 'clean', 'value_map')}), {MAPS},
 chain AS (SELECT program_id, filename, any_value(content) AS content, any_value(full_text) AS clean, src_var, tgt_var, min(line) AS first_line, max(line) AS last_line,
   array_to_string({srt('list(src_val)')}, ', ') AS covered FROM maps WHERE src_var LIKE '%SISTEMA_ORIGEM%' GROUP BY program_id, filename, src_var, tgt_var),
-tail AS (SELECT *, unnest(generate_series(last_line + 1, last_line + 5)) AS ln FROM chain),
+tail AS (SELECT *, unnest(generate_series(last_line + 1, len(string_split(clean, chr(10))))) AS ln FROM chain),
 seen AS (SELECT *, CASE WHEN regexp_matches(string_split(clean, chr(10))[ln], '(?i)^\\s*ELSE\\s+' || tgt_var) THEN 'else'
-  WHEN regexp_matches(string_split(content, chr(10))[ln], '(?i)/\\*.*ELSE.*\\*/') THEN 'commented' END AS kind FROM tail),
+  WHEN regexp_matches(string_split(content, chr(10))[ln], '(?i)/\\*.*ELSE.*\\*/') THEN 'commented'
+  WHEN regexp_matches(string_split(clean, chr(10))[ln], '(?i)^\\s*(RUN|QUIT)\\s*;') THEN 'none' END AS kind FROM tail),
 ends AS (SELECT program_id, src_var, tgt_var, min(ln) AS ln, arg_min(kind, ln) AS kind FROM seen WHERE kind IS NOT NULL GROUP BY 1, 2, 3),
 out AS (SELECT c.*, e.ln, coalesce(e.kind, 'none') AS kind FROM chain c LEFT JOIN ends e USING (program_id, src_var, tgt_var))"""
 COMMENTED = f"SELECT {_f('MAPEAMENTO_ELSE_COMENTADO', 'ln', 'covered', 'tgt_var')} FROM out WHERE kind = 'commented'"
@@ -115,7 +115,8 @@ ACC = f"""accs AS (SELECT filename, {srt(ex('account_assigned'))} AS vs FROM pro
 main_acc AS (SELECT * FROM accs WHERE len(vs) >= 5),
 all_acc AS (SELECT {srt('flatten(list(vs))')} AS vs FROM main_acc)"""
 ACC_MISSING = "list_filter((SELECT vs FROM all_acc), lambda v: NOT list_contains(vs, v))"
-COVERAGE = f"SELECT {_f('CONTA_CONTABIL_AUSENTE', '0', f'array_to_string({ACC_MISSING}, chr(44) || chr(32))', NULLT)} FROM main_acc WHERE len({ACC_MISSING}) > 0"
+COUNTED = "len({0}) || ' of ' || len((SELECT vs FROM {1}))"
+COVERAGE = f"SELECT {_f('CONTA_CONTABIL_AUSENTE', '0', COUNTED.format(ACC_MISSING, 'all_acc'), NULLT)} FROM main_acc WHERE len({ACC_MISSING}) > 0"
 RAWMAPS = f"map_hits AS ({hits('programs', 'content', 'value_map')}), {MAPS}"
 VALUES = f"""{RAWMAPS}, v AS (SELECT filename, coalesce(list(DISTINCT src_val) FILTER ({SECTION} = 'geral'), []) AS g,
     coalesce(list(DISTINCT src_val) FILTER ({SECTION} = 'aceito'), []) AS a FROM maps WHERE src_var LIKE '%SISTEMA_ORIGEM%' GROUP BY filename),
@@ -123,7 +124,7 @@ all_v AS (SELECT {srt('flatten(list(g))')} AS vs FROM v)"""
 LOST = "list_sort(list_filter(g, lambda x: NOT list_contains(a, x)))"
 INTERNAL = f"SELECT {_f('MAPEAMENTO_INCONSISTENTE_INTERNO', '0', f'array_to_string({LOST}, chr(44) || chr(32))', NULLT)} FROM v WHERE len(a) > 0 AND len({LOST}) > 0"
 OTHER = "list_filter((SELECT vs FROM all_v), lambda x: NOT list_contains(g, x))"
-DIVERGENT = f"SELECT {_f('MAPEAMENTO_DIVERGENTE_ENTRE_PROGRAMAS', '0', f'array_to_string({OTHER}, chr(44) || chr(32))', NULLT)} FROM v WHERE len(g) > 0 AND len({OTHER}) > 0"
+DIVERGENT = f"SELECT {_f('MAPEAMENTO_DIVERGENTE_ENTRE_PROGRAMAS', '0', COUNTED.format(OTHER, 'all_v'), NULLT)} FROM v WHERE len(g) > 0 AND len({OTHER}) > 0"
 EXP = f"""ty AS (SELECT filename, {TYPES} AS t FROM programs), mainx AS (SELECT * FROM ty WHERE list_has_any(t,
     ['sap_direto', 'sap_aceito', 'base_analitica_direto', 'base_analitica_aceito'])),
 every_x AS (SELECT flatten(list(t)) AS et FROM mainx),
@@ -152,5 +153,5 @@ ORACLE = {
     "findings": p(f"WITH every AS ({ALL}) SELECT category, count(*) AS findings, count(DISTINCT program) AS programs FROM every GROUP BY category"),
     "findings_summary": p(f"""WITH every AS ({ALL}) SELECT severity, count(*) AS findings, count(DISTINCT program) AS programs,
       string_agg(DISTINCT category, ', ' ORDER BY category) AS categories FROM every GROUP BY severity"""),
-    "all_values_union": p(f"WITH {VALUES} SELECT filename, array_to_string({OTHER}, '|') AS missing FROM v WHERE len(g) > 0 AND len({OTHER}) > 0"),
+    "all_values_union": p(f"WITH {VALUES} SELECT filename, len({OTHER}) AS n_missing, len((SELECT vs FROM all_v)) AS n_known FROM v WHERE len(g) > 0 AND len({OTHER}) > 0"),
 }

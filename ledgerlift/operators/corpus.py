@@ -326,28 +326,42 @@ def _line_ends(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
-def matches(text: Column, name: str) -> Column:
-    """Array of (text, line, place): each match, the line it starts on and its character offset."""
-    add = lambda a, b: a + b
-    sizes = lambda xs: F.transform(xs, lambda x: F.struct(_line_ends(x).alias("ends"), F.length(x).alias("chars")))
-
-    def before(b: Column, i: Column, field: str) -> Column:
-        gaps, hits = F.slice(b["gap_sizes"], 1, i + 1), F.slice(b["hit_sizes"], 1, i)
-        return F.aggregate(gaps[field], F.lit(0), add) + F.aggregate(hits[field], F.lit(0), add)
-
-    def placed(b: Column) -> Column:
-        return F.transform(
-            b["hits"],
-            lambda h, i: F.struct(
-                h.alias("text"), (before(b, i, "ends") + 1).alias("line"), before(b, i, "chars").alias("place")
-            ),
+# Words that name the section of what follows them; text before any of them is general.
+SECTION_WORDS = ["aceito", "resumo"]
+
+
+def matches(text: Column, name: str, sections: bool = False) -> Column:
+    """Array of (text, line, place): each match, the line it starts on and its character offset.
+
+    One fold over the pieces carries the offsets, so a text costs as much as it has pieces. With
+    `sections` each match also has the last section word before it, or an empty text.
+    """
+
+    def folded(b: Column) -> Column:
+        pieces = F.zip_with(b["gaps"], b["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        start = F.struct(
+            F.lit(1).alias("line"), F.lit(0).alias("place"), F.lit("").alias("section"), F.lit("").alias("before"),
+            F.array().cast("array<struct<text:string,line:int,place:int,section:string>>").alias("out"),
         )
 
-    cut_up = F.struct(found(text, name, 0).alias("hits"), F.split(text, PATTERNS[name], -1).alias("gaps"))
-    measured = lambda c: F.struct(
-        c["hits"].alias("hits"), sizes(c["hits"]).alias("hit_sizes"), sizes(c["gaps"]).alias("gap_sizes")
-    )
-    return let(cut_up, lambda c: let(measured(c), placed))
+        def step(acc: Column, p: Column) -> Column:
+            line, place = acc["line"] + _line_ends(p["gap"]), acc["place"] + F.length(p["gap"])
+            if sections:
+                word = F.regexp_extract(F.lower(F.concat(acc["before"], p["gap"])), f"(?s).*({'|'.join(SECTION_WORDS)})", 1)
+                section = F.when(word == "", acc["section"]).otherwise(word)
+            else:
+                section = acc["section"]
+            hit = F.struct(p["hit"].alias("text"), line.alias("line"), place.alias("place"), section.alias("section"))
+            return F.struct(
+                (line + _line_ends(p["hit"])).alias("line"), (place + F.length(p["hit"])).alias("place"), section.alias("section"),
+                (p["hit"] if sections else acc["before"]).alias("before"),
+                F.concat(acc["out"], F.array(hit)).alias("out"),
+            )
+
+        met = F.filter(pieces, lambda p: p["hit"].isNotNull())
+        return F.aggregate(met, start, step, lambda acc: acc["out"])
+
+    return let(F.struct(found(text, name, 0).alias("hits"), F.split(text, PATTERNS[name], -1).alias("gaps")), folded)
 
 
 def _group(text: Column, name: str, group: int) -> Column:
@@ -435,7 +449,7 @@ def sql_creates(clean: Column) -> Column:
     def table(m: Column) -> Column:
         rest = F.substring(clean, m["place"] + 1, F.length(clean))
         end = F.regexp_instr(rest, F.lit(PATTERNS["sql_end"]))
-        body = F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(F.substring(rest, 1, 2000))
+        body = F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest)
         aliases = F.filter(_upper(found(body, "alias")), lambda a: ~a.isin(KEYWORDS))
         return F.struct(
             F.upper(_group(m["text"], "sql_select", 1)).alias("table"), m["line"].alias("start_line"),
@@ -446,12 +460,10 @@ def sql_creates(clean: Column) -> Column:
 
 
 def value_maps(text: Column) -> Column:
-    """One struct per IF v='x' THEN t='y' with its line and the section named just before it."""
+    """One struct per IF v='x' THEN t='y' with its line and the section named last before it."""
 
     def entry(m: Column) -> Column:
-        first = F.greatest(m["place"] - 500, F.lit(0))
-        before = F.lower(F.substring(text, first + 1, m["place"] - first))
-        section = F.when(before.contains("aceito"), "aceito").when(before.contains("resumo"), "resumo").otherwise("geral")
+        section = F.when(m["section"] == "", "geral").otherwise(m["section"])
         return F.struct(
             F.upper(_group(m["text"], "value_map", 1)).alias("src_var"),
             _group(m["text"], "value_map", 2).alias("src_val"),
@@ -460,7 +472,7 @@ def value_maps(text: Column) -> Column:
             m["line"].alias("line"), section.alias("section"),
         )
 
-    return F.transform(matches(text, "value_map"), entry)
+    return F.transform(matches(text, "value_map", sections=True), entry)
 
 
 def unnest(df: DataFrame, keep: list[str], items: Column) -> DataFrame:

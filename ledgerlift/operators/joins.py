@@ -72,27 +72,36 @@ def merge_by(
 ) -> DataFrame:
     """MERGE ... BY with presence flags in_a / in_b.
 
-    Without `order` the right side has one row per key; its shared columns win where it
-    contributes. With `order` (unique row orders of both sides) rows of a key are paired
-    by position and the shorter side repeats its last row, as the source language does:
-    a shared column then comes from the side read last for that row.
+    Without `order` the right side has one row per key, else the job fails; it describes the key, so its
+    shared columns win on every row of the key. With `order` (unique row orders of both sides)
+    rows of a key are paired by position and the shorter side repeats its last row, as the source
+    language does: a shared column then comes from the side read last for that row.
+
+    Right rows without a left row are an anti join put below the left join, never a full or right
+    join, so that a hot key of the left side can be split.
     """
     shared = [c for c in left.columns if c in right.columns and c not in by]
     only_a = [c for c in left.columns if c not in by and c not in shared]
     only_b = [c for c in right.columns if c not in by and c not in shared]
-    how = {"a": "left", "b": "right", "ab": "inner", "any": "full"}[keep]
     l, r = left_col, right_col
     if order is None:
-        a = left.withColumn("_a", F.lit(True))
-        b = right.withColumn("_b", F.lit(True))
-        return paired(a, b, by, how).select(
-            *[F.when(l("_a"), l(k)).otherwise(r(k)).alias(k) for k in by],
-            *[l(c) for c in only_a],
-            *[F.when(r("_b"), r(c)).otherwise(l(c)).alias(c) for c in shared],
-            *[r(c) for c in only_b],
-            F.coalesce(l("_a"), F.lit(False)).alias("in_a"),
-            F.coalesce(r("_b"), F.lit(False)).alias("in_b"),
-        )
+        rest = [c for c in right.columns if c not in by]
+        many = F.raise_error(F.lit("the right side has several rows of one key"))
+        packed = right.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(F.lit(1).alias("_one"), *rest)).alias("_v"))
+        single = packed.select(*by, F.when(F.col("_n") > 1, many.cast(packed.schema["_v"].dataType)).otherwise(F.col("_v")).alias("_v"))
+
+        def rows(df: DataFrame, in_a: bool, value: Column) -> DataFrame:
+            met = value.isNotNull()
+            return df.select(
+                *by, *[(F.col(c) if in_a else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in only_a],
+                *[(F.when(met, value[c]).otherwise(F.col(c)) if in_a else value[c]).alias(c) for c in shared],
+                *[value[c].alias(c) for c in only_b], F.lit(in_a).alias("in_a"), met.alias("in_b"),
+            )
+
+        out = rows(attach(left, single, by, ["_v"], "inner" if keep in ("ab", "b") else "left"), True, F.col("_v"))
+        if keep in ("any", "b"):
+            out = out.unionByName(rows(restrict(single, left, by, "left_anti"), False, F.col("_v")))
+        return out
 
     def side(df: DataFrame, row_order: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
         rest = [c for c in df.columns if c not in by]

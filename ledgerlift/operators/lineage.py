@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.corpus import unnest
-from ledgerlift.session import cut
+from ledgerlift.session import shared_dir, stored
 
 # The facts of a program that become edges, in the order nodes are first seen:
 # fact, node type, relationship, whether the fact is the edge's source.
@@ -59,78 +59,54 @@ def lineage_nodes(parsed: DataFrame) -> DataFrame:
     return merged.select("id", "type", F.col("first")["label"].alias("label"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(start, node, hops): everything reachable from each start along source -> target.
+def reachable(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
+    """(start, node, hops): what each start reaches along source -> target in at most `max_hops` steps.
 
-    Breadth first: each round joins only the pairs found in the round before, drops the
-    pairs already known and writes the rest to the checkpoint folder, so cycles end and a
-    lost executor costs at most one round. `starts` has the column node.
+    Breadth first from the starts the caller names (column node). Each round joins only the
+    pairs found in the round before, drops the pairs already known and writes the rest as one
+    more partition, hop=n, of a table in the shared folder: cycles end, the plan of a round does not
+    grow with the rounds before, and a lost executor costs at most one round.
     """
-    steps = cut(edges.select("source", "target").distinct())
-    known = cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)))
-    frontier, hops = known, 0
-    while max_hops is None or hops < max_hops:
-        hops += 1
+    spark = edges.sparkSession
+    steps = stored(edges.select("source", "target").distinct(), "steps")
+    path = shared_dir(spark, "reached")
+    pairs = starts.select(F.col("node").alias("start"), "node").distinct()
+    pairs.write.parquet(f"{path}/hop=0")
+    known = lambda: spark.read.schema("start string, node string, hop int").parquet(path)
+    for hop in range(1, max_hops + 1):
         reached = (
-            frontier.select("start", F.col("node").alias("source")).join(steps, "source")
-            .select("start", F.col("target").alias("node"))
-            .distinct()
+            known().where(F.col("hop") == hop - 1).select("start", F.col("node").alias("source")).join(steps, "source")
+            .select("start", F.col("target").alias("node")).distinct()
         )
-        frontier = cut(
-            reached.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hops))
-        )
-        if frontier.isEmpty():
+        reached.join(known().select("start", "node"), ["start", "node"], "left_anti").write.parquet(f"{path}/hop={hop}")
+        if known().where(F.col("hop") == hop).isEmpty():
             break
-        known = known.unionByName(frontier)
-    return known.where("hops > 0")
-
-
-def _is_program(name: str) -> Column:
-    return F.col(name).startswith("program:")
-
-
-def _from_things(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """reachable() for starts that are not programs, in half the rounds.
-
-    Every edge joins a program and a thing, so the search walks from thing to thing over the
-    programs between them; programs are added at the end and never held in the search.
-    """
-    into = cut(edges.where(_is_program("target")).select("source", F.col("target").alias("program")).distinct())
-    out = edges.where(_is_program("source")).select(F.col("source").alias("program"), "target").distinct()
-    things = reachable(into.join(out, "program").select("source", "target"), starts).unionByName(
-        starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
-    )
-    found = cut(things.withColumn("hops", F.col("hops") * 2))
-    programs = (
-        found.withColumnRenamed("node", "source").join(into, "source")
-        .groupBy("start", F.col("program").alias("node")).agg((F.min("hops") + 1).alias("hops"))
-    )
-    return found.where("hops > 0").unionByName(programs)
-
+    return known().where("hop > 0").select("start", "node", F.col("hop").alias("hops"))
 
-def search(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(start, node, hops) of a lineage graph for any kind of start."""
-    if max_hops is not None:
-        return reachable(edges, starts, max_hops)
-    programs, things = starts.where(_is_program("node")), starts.where(~_is_program("node"))
-    return _from_things(edges, things).unionByName(reachable(edges, programs))
 
-
-def downstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def downstream(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     """Descendants of each start, the start itself left out."""
-    return search(edges, starts).where("node <> start")
+    return reachable(edges, starts, max_hops).where("node <> start")
 
 
-def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     """Ancestors of each start, the start itself left out."""
     turned = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return downstream(turned, starts)
+    return downstream(turned, starts, max_hops)
+
 
+def lineage_closure(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
+    """(start, node, direction, hops): all that the starts depend on and all that depends on them."""
+    part = lambda df, name: df.select("start", "node", F.lit(name).alias("direction"), "hops")
+    return part(upstream(edges, starts, max_hops), "upstream").unionByName(
+        part(downstream(edges, starts, max_hops), "downstream")
+    )
 
-def lineage_closure(edges: DataFrame, starts: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
-    """Every (start, node) pair with the hop count; from all sources unless starts are given."""
-    starts = starts if starts is not None else edges.select(F.col("source").alias("node")).distinct()
-    return search(edges, starts, max_hops).where("node <> start")
+
+def hubs(nodes: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
+    """The k nodes with the most edges, ties by name: (node, degree)."""
+    total = (F.col("in_degree") + F.col("out_degree")).alias("degree")
+    return degree(nodes, edges).select(F.col("id").alias("node"), total).orderBy(F.desc("degree"), "node").limit(k)
 
 
 def _ends(nodes: DataFrame, edges: DataFrame, side: str) -> DataFrame:
@@ -175,41 +151,20 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def _reach_counts(edges: DataFrame, name: str) -> DataFrame:
-    """Nodes reachable from every program.
+def program_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Things each program takes in and gives out, and programs that read what it gives out, most first.
 
-    Programs with the same direct successors reach the same nodes, so reachability is
-    worked out once per distinct successor set and not once per program.
+    One step on either side: as long as the edges. `reachable` follows the programs that matter further.
     """
-    from_programs = edges.where(_is_program("source")).select(
-        F.col("source").alias("program"), F.col("target").alias("first")).distinct()
-    groups = from_programs.groupBy("program").agg(
-        F.sum(F.xxhash64("first").cast("decimal(20,0)")).alias("h1"),
-        F.sum(F.xxhash64(F.reverse("first"), F.lit(7)).cast("decimal(20,0)")).alias("h2"),
-        F.count(F.lit(1)).alias("k"),
-    ).withColumn("shape", F.concat_ws("|", "h1", "h2", "k"))
-    speakers = groups.groupBy("shape").agg(F.min("program").alias("program"))
-    firsts = cut(from_programs.join(speakers, "program").select("shape", "first"))
-    spread = _from_things(edges, firsts.select(F.col("first").alias("node")).distinct())
-    beyond = firsts.join(spread.select(F.col("start").alias("first"), "node"), "first").select("shape", "node")
-    direct = firsts.select("shape", F.col("first").alias("node"))
-    reached = cut(direct.unionByName(beyond).distinct())
-    sizes = reached.groupBy("shape").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.select("program", "shape")
-    looped = members.join(reached.select("shape", F.col("node").alias("program")), ["shape", "program"], "left_semi")
-    return (
-        members.join(sizes, "shape")
-        .join(looped.select("program", F.lit(1).alias("self")), "program", "left")
-        .select("program", (F.col("size") - F.coalesce("self", F.lit(0))).alias(name))
-    )
-
-
-def program_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Upstream and downstream node counts of every program, largest total first."""
-    turned = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    down, up = _reach_counts(edges, "downstream"), _reach_counts(turned, "upstream")
-    programs = nodes.where("type = 'program'").select(F.col("id").alias("program"), "label")
-    filled = programs.join(up, "program", "left").join(down, "program", "left").fillna(0, ["upstream", "downstream"])
+    is_program = lambda c: F.col(c).startswith("program:")
+    count = F.count(F.lit(1))
+    ins = edges.where(is_program("target")).select(F.col("target").alias("id"), "source").distinct()
+    outs = edges.where(is_program("source")).select(F.col("source").alias("id"), F.col("target").alias("thing")).distinct()
+    readers = edges.where(is_program("target")).groupBy(F.col("source").alias("thing")).agg(F.count_distinct("target").alias("readers"))
+    given = outs.join(readers, "thing", "left").groupBy("id").agg(count.alias("downstream"), F.sum(F.coalesce("readers", F.lit(0))).alias("readers"))
+    taken = ins.groupBy("id").agg(count.alias("upstream"))
+    programs = nodes.where("type = 'program'").select("id", "label")
+    filled = programs.join(taken, "id", "left").join(given, "id", "left").fillna(0, ["upstream", "downstream", "readers"])
     return filled.select(
-        "label", "upstream", "downstream", (F.col("upstream") + F.col("downstream")).alias("total")
+        "label", "upstream", "downstream", "readers", (F.col("upstream") + F.col("downstream")).alias("total")
     ).orderBy(F.desc("total"), "label")

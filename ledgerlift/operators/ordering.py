@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.keys import attach
-from ledgerlift.session import cut
+from ledgerlift.session import cut, stored
+
+
+#: Rows of a block of a running total.
+BLOCK_ROWS = 2_000_000
+
+
+def check_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Groups whose `order` does not tell their rows apart: keys, order and the number of rows; empty if all is well."""
+    return df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], weight: str, into: str) -> DataFrame:
     """Add `into`: the sum of `weight` up to and including the row, by `order` within `keys`.
 
-    Rows are range-partitioned on (keys, order), so a hot key is spread over as many
-    blocks as its size needs. Each block sums on its own; a block's offset is non-zero
+    Rows are range-partitioned on (keys, order) into blocks of about BLOCK_ROWS rows, so a hot
+    key is spread over as many blocks as it fills. Each block sums on its own; a block's offset is non-zero
     only for the key it shares with the block before, so there is at most one offset row
     per block and broadcasting them is bounded by the number of partitions.
-    `order` must tell the rows of a key apart. The cut freezes the block numbers, which
-    a recomputed range shuffle would not reproduce.
+    `order` must tell the rows of a key apart; `check_order` tells whether it does. The rows are
+    written once to be counted, and so that sampling the ranges does not work them out again;
+    the cut freezes the block numbers, which a recomputed range shuffle would not reproduce.
     """
-    ranged = cut(
-        df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id())
-    )
+    rows = stored(df, "ordered")
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(least, -(-rows.count() // BLOCK_ROWS))
+    ranged = cut(rows.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id()))
     inside = Window.partitionBy("_block", *keys).orderBy(*order)
     local = ranged.withColumn(
         "_local", F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.keys import attach
-from ledgerlift.operators.ordering import percentiles, running_total
+from ledgerlift.operators.ordering import percentiles, row_numbers, running_total
 
 
 def freq(df: DataFrame, cols: list[str], missing: bool = True, percents: bool = True,
@@ -85,12 +85,10 @@ def univariate(df: DataFrame, variables: list[str], by: list[str] = (), method:
     by = list(by)
     stats = ["n", "mean", "std", "min", "max"]
     basic = means(df, variables, stats, by)
-    parts = [
-        percentiles(df, by, v, UNIVARIATE_QUANTILES, method).withColumn("variable", F.lit(v))
-        for v in variables
-    ]
-    quantiles = reduce(lambda a, b: a.unionByName(b), parts)
+    values = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in variables])
+    long = df.select(*by, F.inline(values))
     on = [*by, "variable"]
+    quantiles = percentiles(long, on, "value", UNIVARIATE_QUANTILES, method)
     return attach(basic, quantiles, on, list(UNIVARIATE_QUANTILES))
 
 
@@ -137,9 +135,11 @@ def monthly_kpi(df: DataFrame, date: str, entity: str, amount: str) -> DataFrame
 
 def tabulate(df: DataFrame, rows: list[str], cells: dict[str, Column], across: str | None = None,
              values: list | None = None) -> DataFrame:
-    """Class rows by measure x statistic columns; `across` spreads a class over columns."""
+    """Class rows by measure x statistic columns; `across` spreads the given values of a class over columns."""
     grouped = df.groupBy(*rows)
     if across:
+        if not values:
+            raise ValueError("name the values that become columns")
         grouped = grouped.pivot(across, values)
     return grouped.agg(*[c.alias(n) for n, c in cells.items()])
 
@@ -154,20 +154,10 @@ def report(df: DataFrame, group: list[str], sums: list[str] = (), averages: list
     return out.withColumns({c: f(F.col(c)) for c, f in (display or {}).items()})
 
 
-def value_list(df: DataFrame, col: str, sep: str = " ", limit: int = 65534) -> DataFrame:
-    """Distinct values as one delimited string, as long as a macro variable may be.
-
-    The length is known from an aggregate over the distinct values before any of them
-    are put together; a longer list raises an error and is not cut.
-    """
-    values = df.select(F.col(col).cast("string").alias("v")).distinct().where("v is not null")
-    length = values.agg(F.sum(F.length("v") + len(sep))).scalar()
-    short = values.where(F.coalesce(length, F.lit(0)) <= limit)
-    joined = short.agg(F.array_sort(F.collect_list("v")).alias("_v"))
-    return joined.select(
-        F.when(F.coalesce(length, F.lit(0)) > limit, F.raise_error(F.lit("value list too long")).cast("string"))
-        .otherwise(F.array_join("_v", sep)).alias("value_list")
-    )
+def value_list(df: DataFrame, col: str) -> DataFrame:
+    """Distinct values in order as rows (place, value): a list of any length."""
+    values = df.select(F.col(col).cast("string").alias("value")).distinct().where("value is not null")
+    return row_numbers(values, [], ["value"], "place").select("place", "value")
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:

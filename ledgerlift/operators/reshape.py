@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.keys import restrict
-from ledgerlift.session import cut
 
 
 def concat_set(*dfs: DataFrame) -> DataFrame:
@@ -45,27 +44,25 @@ def distinct_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def coverage_gaps(df: DataFrame, entity: str, value: str, per_bucket: int = 5000) -> DataFrame:
-    """Per entity, the values other entities have and it lacks, as sorted arrays.
+def coverage_gaps(df: DataFrame, entity: str, value: str) -> DataFrame:
+    """Per entity, how many of the values that any entity has it lacks: (entity, n_missing, n_known).
 
-    The union of values is cut into hash buckets of about `per_bucket` values. Each entity
-    carries one row per bucket, so arrays stay small whatever the number of values; an
-    entity that lacks nothing yields no row. With few values there is one bucket.
+    Counts alone: one row per entity, whatever the number of values; an entity that lacks nothing
+    yields no row. `coverage_universe` lists the values, `missing_values` names those of one entity.
     """
-    pairs = cut(df.select(entity, value).where(F.col(value).isNotNull()).distinct())
-    universe = pairs.select(value).distinct()
-    buckets = max(1, -(-universe.count() // per_bucket))
-    bucket = F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int").alias("_bucket")
-    have = pairs.groupBy(entity, bucket).agg(F.collect_set(value).alias("_have"))
-    known = universe.groupBy(bucket).agg(F.collect_set(value).alias("_known"))
-    slots = pairs.select(entity).distinct().withColumn(
-        "_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    )
-    held = slots.join(have, [entity, "_bucket"], "left")
-    lacking = F.array_except("_known", F.coalesce("_have", F.array().cast("array<string>")))
-    return (
-        held.join(known, "_bucket")
-        .select(entity, "_bucket", F.array_sort(lacking).alias("missing"))
-        .where(F.size("missing") > 0)
-        .withColumnRenamed("_bucket", "part")
-    )
+    pairs = df.where(F.col(value).isNotNull())
+    known = pairs.agg(F.count_distinct(value)).scalar()
+    held = pairs.groupBy(entity).agg(F.count_distinct(value).alias("_held"))
+    lacking = (known - F.col("_held")).alias("n_missing")
+    return held.select(entity, lacking, known.alias("n_known")).where("n_missing > 0")
+
+
+def coverage_universe(df: DataFrame, value: str, entity: str) -> DataFrame:
+    """Every value with the number of entities that have it."""
+    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_distinct(entity).alias("n_entities"))
+
+
+def missing_values(df: DataFrame, entity: str, value: str, of) -> DataFrame:
+    """The known values that the entity named `of` lacks."""
+    known = df.select(value).where(F.col(value).isNotNull()).distinct()
+    return restrict(known, df.where(F.col(entity).eqNullSafe(F.lit(of))).select(value), [value], "left_anti")

@@ -1,7 +1,8 @@
 """Integrity rules over program text, each giving rows of findings.
 
-Rules about one program are array expressions inside its row: no shuffle, whatever the
-corpus size. Rules that compare programs write the few facts they need once and aggregate over those.
+`facts` reads the text once and gives one row per program: the hits of the rules about one program, worked
+out as array expressions inside its row, and what the rules that compare programs need. All rules
+read that table; `find_all` writes it once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlift.functions.scalars import path_stem
 from ledgerlift.operators import corpus as C
 from ledgerlift.operators.reshape import coverage_gaps
-from ledgerlift.session import cut
+from ledgerlift.session import stored
 
 # Severity and recommendation type of each finding category.
 CATEGORIES = {
@@ -47,10 +48,41 @@ MESSAGES = {
     "MAPEAMENTO_DIVERGENTE_ENTRE_PROGRAMAS": "values mapped by other programs are absent: {subject}",
     "EXPORT_AUSENTE": "file types exported by related programs are absent: {subject}",
 }
+# What each finding means for the numbers, and what to do about it.
+IMPACTS = {
+    "VARIAVEL_CONTABIL_INDEFINIDA": "the account is empty in this dataset and its postings are lost",
+    "VARIAVEL_CONTABIL_INEXISTENTE": "the account is empty everywhere and must come from outside the program",
+    "KEEP_VARIAVEL_INDEFINIDA": "the kept column is missing in the output",
+    "FORMULA_REFERENCIA_INDEFINIDA": "the formula gives a missing or too small amount",
+    "AUTO_REIMPORTACAO": "the result depends on the file of an earlier run",
+    "MAPEAMENTO_ELSE_COMENTADO": "a new source value keeps its raw or an empty label",
+    "MAPEAMENTO_SEM_ELSE": "a value outside the mapping has no label",
+    "SECAO_AUSENTE": "a part of the business that related programs report is left out",
+    "CONTA_CONTABIL_AUSENTE": "accounts that related programs post are not posted here",
+    "MAPEAMENTO_INCONSISTENTE_INTERNO": "the same value is labelled in one section and not in the other",
+    "MAPEAMENTO_DIVERGENTE_ENTRE_PROGRAMAS": "programs label the same value differently",
+    "EXPORT_AUSENTE": "a file that related programs deliver is not delivered",
+}
+ADVICE = {
+    "VARIAVEL_CONTABIL_INDEFINIDA": "compute the account in this step or read it from the step that does",
+    "VARIAVEL_CONTABIL_INEXISTENTE": "find the account's source and add its formula",
+    "KEEP_VARIAVEL_INDEFINIDA": "define the column or take it off the list",
+    "FORMULA_REFERENCIA_INDEFINIDA": "define the referenced account before the formula",
+    "AUTO_REIMPORTACAO": "separate what is exported from what is read",
+    "MAPEAMENTO_ELSE_COMENTADO": "put the last branch back or name the values it stood for",
+    "MAPEAMENTO_SEM_ELSE": "add a last branch for all other values",
+    "SECAO_AUSENTE": "confirm that the section is not needed or add it",
+    "CONTA_CONTABIL_AUSENTE": "compare the accounts with the related programs",
+    "MAPEAMENTO_INCONSISTENTE_INTERNO": "use one mapping for both sections",
+    "MAPEAMENTO_DIVERGENTE_ENTRE_PROGRAMAS": "keep the mapping in one shared table",
+    "EXPORT_AUSENTE": "add the export or record why it is not needed",
+}
 MAPPED_VARIABLE = "SISTEMA_ORIGEM"
+# Export types of the accepted business, and of a main program.
 ACCEPTED_EXPORTS = ["base_analitica_aceito", "sap_aceito"]
 MAIN_EXPORTS = ["sap_direto", "sap_aceito", "base_analitica_direto", "base_analitica_aceito"]
 ACCOUNT = r"^C\d{7,}$"
+STEP_END = r"(?Ui)^\s*(?:RUN|QUIT)\s*;"
 
 NO_TEXTS = "array<string>"
 
@@ -194,8 +226,8 @@ def self_reimport() -> Column:
 def _chains(strict: bool) -> Column:
     """Value-map chains of the watched variable with the end found behind them.
 
-    `outcome` is else, commented or none, whichever the five lines after the chain show
-    first. Strict mode reads comment-free lines, where a commented ELSE cannot be seen.
+    `outcome` is else, commented or none, whichever shows first after the chain and before the end
+    of its step. Strict mode reads comment-free lines, where a commented ELSE cannot be seen.
     """
     maps = F.filter(C.value_maps(F.col("clean")), lambda m: m["src_var"].contains(MAPPED_VARIABLE))
     clean_lines = F.split("clean", "\n")
@@ -215,14 +247,15 @@ def _chains(strict: bool) -> Column:
 
     def chain(r: Column, c: Column) -> Column:
         tail = F.arrays_zip(
-            F.slice(r["clean"], c["last"] + 1, 5).alias("clean"), F.slice(r["raw"], c["last"] + 1, 5).alias("raw")
+            F.slice(r["clean"], c["last"] + 1, F.size(r["clean"])).alias("clean"),
+            F.slice(r["raw"], c["last"] + 1, F.size(r["clean"])).alias("raw"),
         )
 
         def seen(line: Column, i: Column) -> Column:
             word = F.upper(F.regexp_extract(line["clean"], r"(?Ui)^\s*ELSE\s+(\w*)", 1))
             kind = F.when((word != "") & word.startswith(c["tgt"]), "else").when(
                 line["raw"].rlike(r"(?Uid)/\*.*ELSE.*\*/"), "commented"
-            )
+            ).when(line["clean"].rlike(STEP_END), "none")
             return F.struct(kind.alias("kind"), (c["last"] + i + 1).alias("line"))
 
         hits = F.filter(F.transform(tail, seen), lambda x: x["kind"].isNotNull())
@@ -272,23 +305,55 @@ def _findings(hits: DataFrame, category: Column | str) -> DataFrame:
         category.alias("category"), F.col("filename").alias("program"), "line", "subject", "target",
         text.alias("description"),
         lookup({k: v[1] for k, v in CATEGORIES.items()}).alias("recommendation_type"),
+        lookup(IMPACTS).alias("impact"), lookup(ADVICE).alias("recommendation"),
     )
 
 
-def program_findings(programs: DataFrame, categories: list[str] | None = None, prepared: bool = False) -> DataFrame:
-    """Findings of the one-program rules from a single pass over the text."""
-    names = categories or list(PROGRAM_RULES)
-    df = programs if prepared else prepare(programs)
+def _hits(categories: list[str]) -> Column:
+    fields = ["line", "subject", "target"]
 
     def tagged(category: str) -> Column:
-        fields = ["line", "subject", "target"]
         return F.transform(
             PROGRAM_RULES[category](),
             lambda h: F.struct(F.lit(category).alias("category"), *[h[f].alias(f) for f in fields]),
         )
 
-    exploded = C.unnest(df, ["filename"], F.concat(*[tagged(c) for c in names]))
-    return _findings(exploded, F.col("category"))
+    return F.concat(*[tagged(c) for c in categories])
+
+
+def _mapped(section: str) -> Column:
+    """Values of the watched variable mapped in a section."""
+    return C.as_set(F.filter("watched", lambda m: m["section"] == section)["src_val"])
+
+
+def _watched(programs: DataFrame) -> DataFrame:
+    maps = F.filter(C.value_maps(F.col("content")), lambda m: m["src_var"].contains(MAPPED_VARIABLE))
+    return programs.withColumn("watched", maps)
+
+
+# What a program's row can hold besides its name, and how it is read off the text.
+FACTS = {
+    "hits": lambda: _hits(list(PROGRAM_RULES)),
+    "sections": lambda: C.sections(F.col("content")),
+    "accounts": lambda: C.accounts(F.col("content"))["assigned"],
+    "types": lambda: C.export_types(F.col("content")),
+    "general": lambda: _mapped("geral"),
+    "accepted": lambda: _mapped("aceito"),
+}
+
+
+def facts(programs: DataFrame, names: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
+    """One row per program: filename, the named facts (all of them without names) and columns to keep."""
+    names = names or list(FACTS)
+    df = prepare(programs) if "hits" in names else programs
+    df = _watched(df) if {"general", "accepted"} & set(names) else df
+    return df.select("filename", *keep, *[FACTS[n]().alias(n) for n in names])
+
+
+def program_findings(programs: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Findings of the one-program rules."""
+    found = _hits(categories or list(PROGRAM_RULES))
+    return _findings(C.unnest(prepare(programs), ["filename"], found), F.col("category"))
 
 
 # --- rules that compare programs ------------------------------------------------------------
@@ -298,11 +363,15 @@ def _corpus_row(hits: DataFrame, subject: Column) -> DataFrame:
     return hits.select("filename", F.lit(0).alias("line"), subject.alias("subject"), F.lit(None).cast("string").alias("target"))
 
 
-def section_missing(programs: DataFrame) -> DataFrame:
+def _lacking() -> Column:
+    """How many of the known values are missing; reshape.missing_values names them for one program."""
+    return F.format_string("%d of %d", "n_missing", "n_known")
+
+
+def section_missing(known: DataFrame) -> DataFrame:
     """Sections some programs with direct business have and others lack, one row per program that lacks one."""
     kinds = ["accepted", "summary", "reconciliation"]
-    read = cut(programs.select("filename", C.sections(F.col("content")).alias("s")))
-    flags = read.select("filename", "s.*").where("direct")
+    flags = known.select("filename", "sections.*").where("direct")
     counts = flags.agg(*[F.sum(F.col(k).cast("int")).alias(k) for k in kinds])
     present = {k: counts.select(k).scalar() for k in kinds}
     lacking = F.array_compact(F.array(*[F.when((present[k] > 0) & ~F.col(k), F.lit(k)) for k in kinds]))
@@ -310,45 +379,36 @@ def section_missing(programs: DataFrame) -> DataFrame:
     return _findings(_corpus_row(rows, F.col("section")), "SECAO_AUSENTE")
 
 
-def account_coverage(programs: DataFrame, at_least: int = 5) -> DataFrame:
+def account_coverage(known: DataFrame, at_least: int = 5) -> DataFrame:
     """Accounts that peer programs assign and this one does not."""
-    text = F.col("content")
-    read = cut(programs.select(
-        "filename", C.accounts(text)["assigned"].alias("accounts"), C.has(text, "section_direct").alias("direct")
-    ))
-    main = read.where(F.col("direct") & (F.size("accounts") >= at_least))
+    main = known.where(F.col("sections.direct") & (F.size("accounts") >= at_least))
     gaps = coverage_gaps(main.select("filename", F.explode("accounts").alias("account")), "filename", "account")
-    return _findings(_corpus_row(gaps, F.array_join("missing", ", ")), "CONTA_CONTABIL_AUSENTE")
+    return _findings(_corpus_row(gaps, _lacking()), "CONTA_CONTABIL_AUSENTE")
 
 
-def _mapped_values(programs: DataFrame) -> DataFrame:
-    """Per program the values of the watched variable mapped in each section."""
-    maps = F.filter(C.value_maps(F.col("content")), lambda m: m["src_var"].contains(MAPPED_VARIABLE))
-    out = cut(programs.select("filename", maps.alias("maps"))).where(F.size("maps") > 0)
-    of = lambda section: C.as_set(F.filter("maps", lambda m: m["section"] == section)["src_val"])
-    return out.select("filename", of("geral").alias("general"), of("aceito").alias("accepted"))
-
-
-def map_internal(programs: DataFrame) -> DataFrame:
+def map_internal(known: DataFrame) -> DataFrame:
     """Values mapped in the general section of a program but not in its accepted section."""
-    mapped = _mapped_values(programs)
+    mapped = known.where((F.size("general") > 0) | (F.size("accepted") > 0))
     several = mapped.agg(F.count(F.lit(1))).scalar() >= 2
     lost = F.array_except("general", "accepted")
     rows = mapped.where(several & (F.size("accepted") > 0) & (F.size(lost) > 0))
     return _findings(_corpus_row(rows, F.array_join(lost, ", ")), "MAPEAMENTO_INCONSISTENTE_INTERNO")
 
 
-def map_divergent(programs: DataFrame) -> DataFrame:
+def general_gaps(known: DataFrame) -> DataFrame:
+    """How many of the values that any program maps in its general section each program lacks."""
+    values = known.select("filename", F.explode("general").alias("value"))
+    return coverage_gaps(values, "filename", "value")
+
+
+def map_divergent(known: DataFrame) -> DataFrame:
     """Values other programs map in their general section and this one does not."""
-    values = _mapped_values(programs).select("filename", F.explode("general").alias("value"))
-    gaps = coverage_gaps(values, "filename", "value")
-    return _findings(_corpus_row(gaps, F.array_join("missing", ", ")), "MAPEAMENTO_DIVERGENTE_ENTRE_PROGRAMAS")
+    return _findings(_corpus_row(general_gaps(known), _lacking()), "MAPEAMENTO_DIVERGENTE_ENTRE_PROGRAMAS")
 
 
-def export_missing(programs: DataFrame) -> DataFrame:
+def export_missing(known: DataFrame) -> DataFrame:
     """Accepted-business files that some main program exports and this one does not; one row per program."""
-    read = cut(programs.select("filename", C.export_types(F.col("content")).alias("types")))
-    main = read.where(F.arrays_overlap("types", C.texts(*MAIN_EXPORTS)))
+    main = known.where(F.arrays_overlap("types", C.texts(*MAIN_EXPORTS)))
     seen = main.agg(*[F.max(F.array_contains("types", t)).alias(t) for t in ACCEPTED_EXPORTS])
     exported = {t: seen.select(t).scalar() for t in ACCEPTED_EXPORTS}
     lacking = F.array_compact(
@@ -358,12 +418,29 @@ def export_missing(programs: DataFrame) -> DataFrame:
     return _findings(_corpus_row(rows, F.array_join("lacking", ", ")), "EXPORT_AUSENTE")
 
 
-CORPUS_RULES = [section_missing, account_coverage, map_internal, map_divergent, export_missing]
+# Rules that compare programs, and the facts each one reads.
+CORPUS_RULES = {
+    section_missing: ["sections"],
+    account_coverage: ["sections", "accounts"],
+    map_internal: ["general", "accepted"],
+    map_divergent: ["general"],
+    export_missing: ["types"],
+}
+
+
+def corpus_findings(programs: DataFrame, rule) -> DataFrame:
+    """Findings of one rule that compares programs; only its facts are read off the text, once."""
+    return rule(stored(facts(programs, CORPUS_RULES[rule]), "facts"))
+
+
+def find_in(known: DataFrame) -> DataFrame:
+    """Findings of all rules from a table of facts."""
+    own = _findings(C.unnest(known, ["filename"], F.col("hits")), F.col("category"))
+    return reduce(lambda a, b: a.unionByName(b), [own, *[rule(known) for rule in CORPUS_RULES]])
 
 
 def find_all(programs: DataFrame) -> DataFrame:
-    parts = [program_findings(programs), *[rule(programs) for rule in CORPUS_RULES]]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return find_in(stored(facts(programs), "facts"))
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:

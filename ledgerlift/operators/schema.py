@@ -43,17 +43,25 @@ def map_types(columns: DataFrame, target: str = "lakehouse", strict_reference: b
 
 
 def cast_value(c: Column, target_type: str, length: int = 0) -> Column:
-    """Source number or text as its mapped type; dates count days, datetimes seconds, from 1960."""
-    if target_type == "DATE":
-        return F.date_add(F.lit(DAY_ZERO).cast("date"), c.cast("int"))
-    if target_type.startswith("TIMESTAMP"):
+    """Source number or text as its mapped type of either family; an unreadable value is missing.
+
+    Dates count days, datetimes seconds, from 1960. A text is cut to its declared width, that of
+    VARCHAR(n) if the metadata has none. An unknown type is an error.
+    """
+    kind, _, inside = target_type.upper().strip().rstrip(")").partition("(")
+    if kind == "DATE":
+        return F.date_add(F.lit(DAY_ZERO).cast("date"), c.try_cast("int"))
+    if kind in ("TIMESTAMP", "TIMESTAMP_NTZ"):
         epoch = F.lit("1960-01-01 00:00:00").cast("timestamp_ntz")
-        return epoch + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
-    if target_type.startswith("DECIMAL"):
-        return c.try_cast(target_type.lower())
-    if target_type == "DOUBLE":
+        return epoch + F.make_dt_interval(secs=c.try_cast("decimal(18,6)"))
+    if kind in ("DECIMAL", "NUMBER"):
+        return c.try_cast(f"decimal({inside or '38,0'})")
+    if kind in ("DOUBLE", "FLOAT"):
         return c.try_cast("double")
-    return F.substring(c.cast("string"), 1, length) if length else c.cast("string")
+    if kind in ("STRING", "VARCHAR"):
+        width = length or int(inside or 0)
+        return F.substring(c.cast("string"), 1, width) if width else c.cast("string")
+    raise ValueError(f"unknown target type {target_type}")
 
 
 def apply_schema(df: DataFrame, columns: list[dict]) -> DataFrame:

@@ -454,6 +454,11 @@ def entries(totals: DataFrame) -> DataFrame:
 
 def journal(accounts: DataFrame, st: Settings, business: str, company_code: int = 2) -> DataFrame:
     """Journal lines in the column order of the ledger import."""
+    return journal_of(account_totals(accounts), st, business, company_code)
+
+
+def journal_of(totals: DataFrame, st: Settings, business: str, company_code: int = 2) -> DataFrame:
+    """Journal lines from the account totals."""
     day = f"{st.ref_date[8:]}.{st.ref_date[5:7]}.{st.ref_date[:4]}"
     constants = {
         **JOURNAL_CONSTANTS,
@@ -465,7 +470,7 @@ def journal(accounts: DataFrame, st: Settings, business: str, company_code: int
         "texto_do_item": f"RVR {business} - {st.company} - {st.month}",
         **{b: None for b in JOURNAL_BLANKS},
     }
-    return add_constants(entries(account_totals(accounts)), constants).select(*JOURNAL_COLUMNS)
+    return add_constants(entries(totals), constants).select(*JOURNAL_COLUMNS)
 
 
 def conciliation_totals(accounts: DataFrame) -> DataFrame:
@@ -483,11 +488,11 @@ def conciliation_totals(accounts: DataFrame) -> DataFrame:
     return accounts.groupBy(*keys).agg(*[money_sum(F.col(m)).alias(f"sum_{m}") for m in measures])
 
 
-def conciliation(accounts: DataFrame, posted: DataFrame) -> DataFrame:
-    """Account totals of the detail against the journal lines, per segment and cost centre."""
-    names = account_names(accounts)
+def conciliation(totals: DataFrame, posted: DataFrame) -> DataFrame:
+    """Account totals of the detail against the lines in the ledger, per segment and cost centre."""
+    names = account_names(totals)
     detail = unpivot(
-        account_totals(accounts), ["segmento", "centro_de_custo"],
+        totals, ["segmento", "centro_de_custo"],
         {a: a[1:] for a in names}, "conta_contabil", "_total",
     ).withColumn("esperado", F.abs("_total")).drop("_total")
     booked = posted.groupBy("segmento", "centro_de_custo", "conta_contabil").agg(
@@ -525,6 +530,7 @@ def currency_base(df: DataFrame) -> DataFrame:
     )
 
 
+# Columns of the analytic base.
 ANALYTIC_COLUMNS = [
     "ano_mes", "cod_seguradora", "cod_apolice", "cod_produto", "cod_agencia", "cod_tp_emissao",
     "cod_moeda", "dt_inicio", "dt_fim", "qtde_parcelas", "dt_vencimento", "num_parcela",

@@ -45,15 +45,15 @@ JOIN {part} p ON l.l_partkey = p.p_partkey
 """
 
 VIEWS["reinsurance_pct"] = """
-SELECT DISTINCT p_size AS cod_ramo, p_partkey AS cod_produto,
+SELECT DISTINCT p_size AS cod_ramo, CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END AS cod_produto,
   CAST(p_partkey % 5 AS DOUBLE) / 10 AS percentual_sas
-FROM {part} WHERE p_partkey % 3 <> 0
+FROM {part}
 """
 
 VIEWS["calc_group"] = """
-SELECT DISTINCT p_size % 10 AS grupo_ramo, p_size AS cod_ramo,
+SELECT DISTINCT p_size % 10 AS grupo_ramo, CASE WHEN p_size = 50 THEN 1050 ELSE p_size END AS cod_ramo,
   concat('G', CAST(p_size % 4 AS VARCHAR(10))) AS grupo_calculo
-FROM {part} WHERE p_size <> 50
+FROM {part}
 """
 
 VIEWS["factors"] = """
@@ -80,10 +80,9 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """
 
 VIEWS["addresses"] = """
-SELECT c.c_custkey AS customer_id, n.n_name AS city, r.r_name AS state
+SELECT CASE WHEN c.c_custkey % 4 = 0 THEN -c.c_custkey ELSE c.c_custkey END AS customer_id, n.n_name AS city, r.r_name AS state
 FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 JOIN {region} r ON n.n_regionkey = r.r_regionkey
-WHERE c.c_custkey % 4 <> 0
 """
 
 VIEWS["policies"] = """
@@ -218,22 +217,12 @@ BASE_SCHEMAS = {
 BASE_TABLES = list(BASE_SCHEMAS)
 
 
-# Tables that grow with the scale factor and the key that spreads them.
-SPREAD_KEYS = {"part": "p_partkey", "lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
+# Views whose rows cost far more to work on than to move, and the key that deals them out evenly.
+DEALT = {"programs": "program_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a large input with fewer splits than cores, such as one unsplittable file, over them.
-
-    Inputs with splits enough, which is every input of size, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def refs(sql: str) -> list[str]:
@@ -245,7 +234,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
     sql = VIEWS[name]
-    return spark.sql(sql, **{r: view(spark, sf_dir, r) for r in refs(sql)})
+    df = spark.sql(sql, **{r: view(spark, sf_dir, r) for r in refs(sql)})
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), DEALT[name]) if name in DEALT else df
 
 
 def with_views(names: str, body: str) -> str:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
+from datetime import timedelta
 from fnmatch import translate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerlift.functions.informats import informat
 from ledgerlift.operators.catalog import row_counts
+from ledgerlift.session import stored
 
 META_SCHEMA = (
     "dataset_name string, row_count bigint, column_count int, size_bytes bigint, description string, "
@@ -40,10 +43,10 @@ def relative_path(path: Column, base: str) -> Column:
     return F.regexp_replace(path, r"^(?:[A-Za-z0-9]+:/*)?/*" + re.escape(base.strip("/")) + "/", "")
 
 
-def keep_path(path: Column, base: str, exclude: list[str], max_depth: int) -> Column:
-    """Not too deep, and no excluded text in the path nor excluded glob on a name from `base` down."""
+def keep_path(path: Column, base: str, exclude: list[str], max_depth: int | None) -> Column:
+    """Not below `max_depth` folders if one is given, and no excluded text in the path nor excluded glob on a name from `base` down."""
     rel = relative_path(path, base)
-    ok = (F.length(rel) - F.length(F.replace(rel, F.lit("/")))) < max_depth
+    ok = F.lit(True) if max_depth is None else (F.length(rel) - F.length(F.replace(rel, F.lit("/")))) < max_depth
     below = F.split(F.concat(F.lit(base.rstrip("/").split("/")[-1] + "/"), rel), "/")
     for pattern in exclude:
         glob = translate(pattern).replace(r"\Z", r"\z")
@@ -52,7 +55,7 @@ def keep_path(path: Column, base: str, exclude: list[str], max_depth: int) -> Co
     return ok
 
 
-def program_rows(files: DataFrame, base: str, exclude: list[str] = (), max_depth: int = 10) -> DataFrame:
+def program_rows(files: DataFrame, base: str, exclude: list[str] = (), max_depth: int | None = None) -> DataFrame:
     """Program inventory from rows (path, modificationTime, length, content)."""
     text = F.make_valid_utf8(F.col("content").cast("string"))
     ends = F.regexp_count(text, F.lit("\r\n|\n|\r"))
@@ -69,7 +72,7 @@ def program_rows(files: DataFrame, base: str, exclude: list[str] = (), max_depth
     )
 
 
-def dataset_rows(files: DataFrame, base: str, exclude: list[str] = (), max_depth: int = 10) -> DataFrame:
+def dataset_rows(files: DataFrame, base: str, exclude: list[str] = (), max_depth: int | None = None) -> DataFrame:
     """Dataset inventory from rows (path, length); contents are never read."""
     parts, name = F.split("path", "/"), F.element_at(F.split("path", "/"), -1)
     return files.where(keep_path(F.col("path"), base, list(exclude), max_depth)).select(
@@ -89,7 +92,7 @@ def _each(paths: list[str], build) -> DataFrame:
     return out
 
 
-def scan_programs(spark: SparkSession, paths: list[str], exclude: list[str] = (), max_depth: int = 10) -> DataFrame:
+def scan_programs(spark: SparkSession, paths: list[str], exclude: list[str] = (), max_depth: int | None = None) -> DataFrame:
     return _each(paths, lambda p: program_rows(_files(spark, p, "sas"), p, exclude, max_depth))
 
 
@@ -97,7 +100,7 @@ def scan_programs(spark: SparkSession, paths: list[str], exclude: list[str] = ()
 DATASET_EXTENSIONS = ["sas7bdat", "xpt", "sas7bcat"]
 
 
-def scan_dataset_files(spark: SparkSession, paths: list[str], exclude: list[str] = (), max_depth: int = 10,
+def scan_dataset_files(spark: SparkSession, paths: list[str], exclude: list[str] = (), max_depth: int | None = None,
                        extensions: list[str] = DATASET_EXTENSIONS) -> DataFrame:
     return _each(
         [(p, e) for p in paths for e in extensions],
@@ -105,7 +108,7 @@ def scan_dataset_files(spark: SparkSession, paths: list[str], exclude: list[str]
     )
 
 
-def scan_logs(spark: SparkSession, paths: list[str], exclude: list[str] = (), max_depth: int = 10,
+def scan_logs(spark: SparkSession, paths: list[str], exclude: list[str] = (), max_depth: int | None = None,
               extension: str = "log") -> DataFrame:
     """Log inventory; excluded folders are left out."""
     def rows(p: str) -> DataFrame:
@@ -232,45 +235,75 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+_FILE = ["file", "size", "modified"]
+
+
+def _listing(spark: SparkSession, src: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(src)
+    return files.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+    )
+
+
 def loaded_files(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The log: file, size, modified, load_id, loaded_at and the file's good and rejected rows."""
     log = f"{table_path}_load_log"
     return spark.read.parquet(log) if _exists(spark, log) else None
 
 
-def copy_into(spark: SparkSession, src: str, table_path: str, schema: str | StructType, on_error: str = "continue",
-              sep: str = ",") -> int:
+def copy_into(spark: SparkSession, src: str, table_path: str, schema: str | StructType | None = None,
+              on_error: str = "continue", sep: str = ",", merge_schema: bool = True) -> int:
     """Load CSV files not loaded before; returns how many files were new.
 
-    Rows go to a folder of their own load number and the log of file path, size and time is
-    written last. Readers see only logged loads, so a load that died half-way is invisible
-    and is simply done again.
+    Rows go to a folder of their own load id and the log, with each file's good and rejected
+    rows, is written last. Readers see only logged loads, so a load that died half-way is
+    invisible and is simply done again; if two loads run at the same time and both log a file,
+    readers take the one logged first. Which files are new is a join of the listing with the
+    log; no list of files goes through the driver. Without a schema it is inferred from the
+    new files. Columns the table does not have are an error unless `merge_schema` is on.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(src)
-        .select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    )
-    log = loaded_files(spark, table_path)
-    fresh = listing if log is None else listing.join(log, ["file", "size", "modified"], "left_anti")
-    files = [r["file"] for r in fresh.select("file").collect()]
-    if not files:
+    log, listing = loaded_files(spark, table_path), _listing(spark, src)
+    fresh = stored(listing if log is None else listing.join(log, _FILE, "left_anti"), "new-files")
+    number, oldest = fresh.agg(F.count(F.lit(1)), F.min("modified")).first()
+    if not number:
         return 0
-    number = 0 if log is None else log.agg(F.max("load_no")).first()[0] + 1
+    # older files need not be opened; two days allow for any time zone
+    since = (oldest - timedelta(days=2)).strftime("%Y-%m-%dT%H:%M:%S")
+    reader = (
+        spark.read.option("header", "true").option("sep", sep).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv").option("modifiedAfter", since)
+    )
+    if schema is None:
+        schema = reader.option("inferSchema", "true").csv(src).schema
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if log is not None and not merge_schema:
+        known = set(spark.read.option("mergeSchema", "true").parquet(table_path).columns)
+        if new := [f.name for f in fields if f.name not in known]:
+            raise ValueError(f"columns {new} are not in {table_path}")
     rows = (
-        spark.read.schema(schema).option("header", "true").option("sep", sep)
-        .option("mode", "DROPMALFORMED" if on_error == "continue" else "FAILFAST").csv(files)
+        reader.schema(StructType([*fields, StructField("_bad", StringType())])).option("columnNameOfCorruptRecord", "_bad")
+        .option("mode", "PERMISSIVE" if on_error == "continue" else "FAILFAST").csv(src)
+        .select("*", F.col("_metadata.file_path").alias("_file"))
     )
-    rows.write.mode("overwrite").parquet(f"{table_path}/load_no={number}")
-    spark.createDataFrame([(f,) for f in files], "file string").join(listing, "file").withColumn(
-        "load_no", F.lit(number)
-    ).write.mode("append").parquet(f"{table_path}_load_log")
-    return len(files)
+    load = f"load-{uuid.uuid4().hex}"
+    rows.join(fresh.select(F.col("file").alias("_file")), "_file", "left_semi").write.parquet(f"{table_path}/load_id={load}")
+    counts = spark.read.parquet(f"{table_path}/load_id={load}").groupBy(F.col("_file").alias("file")).agg(
+        F.count(F.when(F.col("_bad").isNull(), 1)).alias("good"), F.count("_bad").alias("rejected"))
+    logged = fresh.join(counts, "file", "left").fillna(0, ["good", "rejected"])
+    logged.withColumns({"load_id": F.lit(load), "loaded_at": F.current_timestamp()}).write.mode("append").parquet(f"{table_path}_load_log")
+    return number
 
 
 def read_loaded(spark: SparkSession, table_path: str) -> DataFrame:
-    """Rows of the logged loads, columns of all loads merged."""
-    loads = loaded_files(spark, table_path).select("load_no").distinct()
+    """Good rows of the logged loads, each file once, columns of all loads merged."""
+    log = loaded_files(spark, table_path)
+    if log is None:
+        raise ValueError(f"nothing has been loaded into {table_path}")
+    first = log.groupBy(*_FILE).agg(F.min(F.struct("loaded_at", "load_id"))["load_id"].alias("load_id"))
+    taken = first.select("load_id", F.col("file").alias("_file"))
     table = spark.read.option("mergeSchema", "true").parquet(table_path)
-    return table.join(loads, "load_no", "left_semi").drop("load_no")
+    return table.join(taken, ["load_id", "_file"], "left_semi").where("_bad is null").drop("load_id", "_file", "_bad")
 
 
 def overwrite_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> DataFrame:

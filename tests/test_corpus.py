@@ -98,7 +98,7 @@ def test_single_program_lineage(spark):
 def test_reachability_on_a_cycle_matches_a_walk(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")]
     edges = spark.createDataFrame(pairs, "source string, target string")
-    got = {(r["start"], r["node"]) for r in L.reachable(edges, edges.selectExpr("source node")).where("start <> node").collect()}
+    got = {(r["start"], r["node"]) for r in L.reachable(edges, edges.selectExpr("source node"), 9).where("start <> node").collect()}
     want = {(s, t) for s in "abc" for t in "abcd" if s != t}
     assert got == want
 
@@ -107,14 +107,44 @@ def test_program_impact_counts(spark):
     parsed = spark.createDataFrame(
         [("p1", ["a"], ["b"]), ("p2", ["b"], ["c"]), ("p3", ["b"], ["a"])],
         "filename string, datasets_read array<string>, datasets_written array<string>")
-    got = {r["label"]: (r["upstream"], r["downstream"]) for r in L.program_impact(L.lineage_nodes(parsed), L.lineage_edges(parsed)).collect()}
-    assert got == {"p1": (3, 5), "p2": (4, 1), "p3": (3, 5)}
+    impact = L.program_impact(L.lineage_nodes(parsed), L.lineage_edges(parsed))
+    got = {r["label"]: (r["upstream"], r["downstream"], r["readers"], r["total"]) for r in impact.collect()}
+    assert got == {"p1": (1, 1, 2, 2), "p2": (1, 1, 0, 2), "p3": (1, 1, 1, 2)}
 
 
-def test_closure_from_programs_and_datasets_matches_the_plain_search(spark):
+def test_closure_of_given_starts_stops_after_the_hops_asked_for(spark):
     parsed = spark.createDataFrame(
         [("p1", ["a"], ["b"]), ("p2", ["b", "x"], ["c", "d"]), ("p3", ["c"], ["a"]), ("p4", ["d"], ["e"])],
         "filename string, datasets_read array<string>, datasets_written array<string>")
     edges = L.lineage_edges(parsed)
-    plain = L.reachable(edges, edges.selectExpr("source node")).where("node <> start")
-    assert {tuple(r) for r in L.lineage_closure(edges).collect()} == {tuple(r) for r in plain.collect()}
+    starts = spark.createDataFrame([("dataset:b",)], "node string")
+    got = {(r["node"], r["direction"], r["hops"]) for r in L.lineage_closure(edges, starts, 2).collect()}
+    assert got == {("program:p1", "upstream", 1), ("dataset:a", "upstream", 2), ("program:p2", "downstream", 1),
+                   ("dataset:c", "downstream", 2), ("dataset:d", "downstream", 2)}
+    whole = L.downstream(edges, starts, 99)
+    assert {r["node"] for r in whole.collect()} == {f"program:p{i}" for i in (1, 2, 3, 4)} | {f"dataset:{c}" for c in "acde"}
+
+
+def test_section_of_a_mapping_is_the_last_one_named(spark):
+    line = 'IF cod_sistema_origem = "{}" THEN t = "1";\n'
+    text = line.format("A") + "/* ACEITO */\n" + "x = 1;\n" * 200 + line.format("B") + "/* resumo */\n" + line.format("C")
+    got = [(r["src_val"], r["line"], r["section"]) for r in C.value_maps_table(programs(spark, text)).orderBy("line").collect()]
+    assert got == [("A", 1, "geral"), ("B", 203, "aceito"), ("C", 205, "resumo")]
+
+
+def test_else_is_looked_for_to_the_end_of_the_step(spark):
+    chain = 'DATA a; SET b;\nIF cod_sistema_origem = "A" THEN t = "1";\n'
+    df = programs(spark, chain + "x = 1;\n" * 30 + 'ELSE t = "3";\nRUN;\n', chain + 'RUN;\nDATA c;\nELSE t = "3";\nRUN;\n')
+    got = {(r["program"], r["category"]) for r in R.program_findings(df, ["MAPEAMENTO_SEM_ELSE"]).collect()}
+    assert got == {("p1.sas", "MAPEAMENTO_SEM_ELSE")}
+
+
+def test_aliases_of_an_unfinished_create_are_all_found(spark):
+    text = "PROC SQL; CREATE TABLE w.t AS SELECT " + ", ".join(f"c{i} AS a{i}" for i in range(400))
+    row = C.sql_creates_table(programs(spark, text)).first()
+    assert len(row["aliases"]) == 400
+
+
+def test_findings_say_what_they_mean_and_what_to_do(spark):
+    rows = R.find_all(programs(spark, PROGRAM)).collect()
+    assert rows and all(r["impact"] and r["recommendation"] for r in rows)

@@ -2,6 +2,10 @@ import datetime as dt
 import json
 import os
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.sql import functions as F
 
 from ledgerlift.operators.reconcile import check_row_count, checksum, reconcile
 from ledgerlift.sources import files as X
@@ -80,13 +84,38 @@ def test_unlogged_load_is_invisible(spark, tmp_path):
     src, table = f"{tmp_path}/src", f"{tmp_path}/table"
     write(f"{src}/1.csv", "a\n1\n")
     X.copy_into(spark, src, table, "a int")
-    spark.createDataFrame([(7,)], "a int").write.parquet(f"{table}/load_no=1")
+    spark.createDataFrame([(7,)], "a int").withColumns({"_bad": F.lit(None).cast("string"), "_file": F.lit("x")}).write.parquet(f"{table}/load_id=load-1")
     assert [r["a"] for r in X.read_loaded(spark, table).collect()] == [1]
     write(f"{src}/2.csv", "a\n2\n")
     X.copy_into(spark, src, table, "a int")
     assert sorted(r["a"] for r in X.read_loaded(spark, table).collect()) == [1, 2]
 
 
+def test_two_loads_at_once_give_every_file_once(spark, tmp_path):
+    src, table = f"{tmp_path}/src", f"{tmp_path}/table"
+    for i in range(4):
+        write(f"{src}/{i}.csv", f"a\n{i}\nbad\n")
+    with ThreadPoolExecutor(2) as pool:
+        counts = list(pool.map(lambda _: X.copy_into(spark, src, table, "a int"), range(2)))
+    assert max(counts) == 4
+    assert sorted(r["a"] for r in X.read_loaded(spark, table).collect()) == [0, 1, 2, 3]
+    log = X.loaded_files(spark, table)
+    assert {(r["good"], r["rejected"]) for r in log.collect()} == {(1, 1)}
+    assert X.copy_into(spark, src, table, "a int") == 0
+
+
+def test_loads_without_schema_and_without_new_columns(spark, tmp_path):
+    src, table = f"{tmp_path}/src", f"{tmp_path}/table"
+    with pytest.raises(ValueError):
+        X.read_loaded(spark, table)
+    write(f"{src}/1.csv", "a,b\n1,x\n")
+    assert X.copy_into(spark, src, table) == 1
+    assert dict(X.read_loaded(spark, table).dtypes) == {"a": "int", "b": "string"}
+    write(f"{src}/2.csv", "a,b,c\n2,y,z\n")
+    with pytest.raises(ValueError, match="'c'"):
+        X.copy_into(spark, src, table, "a int, b string, c string", merge_schema=False)
+
+
 def test_stream_reads_only_new_files(spark, tmp_path):
     src, table, check = f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/check"
     write(f"{src}/1.csv", "a\n1\n2\n")

@@ -1,6 +1,7 @@
 import random
 from statistics import quantiles
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlift.operators import joins as J
@@ -70,16 +71,55 @@ def test_freq_cumulative(spark):
     assert got == {None: (1, 25.0, 1), "a": (1, 25.0, 2), "b": (2, 50.0, 4)}
 
 
-def test_coverage_gaps_is_the_same_for_any_bucket_size(spark):
+def test_coverage_gaps_count_and_name_what_is_missing(spark):
     data = [(f"e{i % 7}", f"v{i * i % 23}") for i in range(60)]
     df = spark.createDataFrame(data, "e string, v string")
     every = {v for _, v in data}
-    want = {(e, v) for e in {e for e, _ in data} for v in every - {b for a, b in data if a == e}}
-    for size in (3, 1000):
-        got = H.coverage_gaps(df, "e", "v", size).select("e", F.explode("missing")).collect()
-        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    own = {e: {b for a, b in data if a == e} for e, _ in data}
+    got = {tuple(r) for r in H.coverage_gaps(df, "e", "v").collect()}
+    assert got == {(e, len(every - have), len(every)) for e, have in own.items() if every - have}
+    assert {r[0] for r in H.missing_values(df, "e", "v", "e3").collect()} == every - own["e3"]
+    universe = {tuple(r) for r in H.coverage_universe(df, "v", "e").collect()}
+    assert universe == {(v, sum(v in have for have in own.values())) for v in every}
 
 
 def test_value_list(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "k string")
-    assert P.value_list(df, "k").first()[0] == "a b"
+    assert rows(P.value_list(df, "k")) == [(1, "a"), (2, "b")]
+
+
+def test_merge_with_a_hot_key(spark):
+    data = [("hot" if i % 10 else f"k{i}", i, i * 2) for i in range(2000)]
+    left = spark.createDataFrame(data, "k string, i int, s int")
+    right = spark.createDataFrame([("hot", 7, -1), ("k10", 8, -2), ("only b", 9, -3), (None, 5, -4)], "k string, w int, s int")
+    value = {"hot": (7, -1), "k10": (8, -2), "only b": (9, -3), None: (5, -4)}
+    both = {(k, i, value[k][1], value[k][0], True, True) for k, i, _ in data if k in value}
+    alone = {(k, i, s, None, True, False) for k, i, s in data if k not in value}
+    late = {(k, None, value[k][1], value[k][0], False, True) for k in ("only b", None)}
+    want = {"any": both | alone | late, "a": both | alone, "b": both | late, "ab": both}
+    for keep, expected in want.items():
+        out = J.merge_by(left, right, ["k"], keep).select("k", "i", "s", "w", "in_a", "in_b")
+        assert {tuple(r) for r in out.collect()} == expected, keep
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FullOuter" not in plan and "RightOuter" not in plan
+
+
+def test_merge_refuses_several_right_rows_of_a_key(spark):
+    left = spark.createDataFrame([("a", 1)], "k string, i int")
+    right = spark.createDataFrame([("a", 1), ("a", 2)], "k string, w int")
+    with pytest.raises(Exception, match="several rows of one key"):
+        J.merge_by(left, right, ["k"], "a").collect()
+
+
+def test_order_check_names_tied_groups(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "k string, i int")
+    assert rows(O.check_order(df, ["k"], ["i"])) == [("a", 1, 2)]
+
+
+def test_sketched_quantiles_are_within_their_error(spark):
+    df = spark.range(1, 20001).select((F.col("id") * 7919 % 20011).alias("v"))
+    exact = sorted(r[0] for r in df.collect())
+    got = P.approx_quantiles(df, ["v"], [0.25, 0.5, 0.75], 0.01).first()
+    for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        place = sum(v <= got[name] for v in exact) / len(exact)
+        assert abs(place - p) <= 0.01

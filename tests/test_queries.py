@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "aging_summary", "reserve_drag", "reserve_status", "journal", "freq_crosstab", "means_class", "univariate",
     "merge_by_full", "merge_by_many", "first_last", "fact_policies", "x_step_scopes", "complexity", "findings",
-    "lineage_closure", "program_impact", "catalog_summary", "reconcile", "read_zip_member", "copy_into",
+    "conciliation", "apply_schema_warehouse", "lineage_closure", "program_impact", "catalog_summary", "reconcile", "read_zip_member", "copy_into",
 ]
 
 
