@@ -52,7 +52,8 @@ QUERIES = {
     "univariate": lambda s, d: _stats(P.univariate(_cust(s, d), ["income", "risk_score"]), "median", "p25", "p75"),
     "univariate_by": lambda s, d: _stats(P.univariate(view(s, d, "lineitem"), ["l_extendedprice"], ["l_suppkey"]), "median", "p25", "p75"),
     "approx_quantiles": lambda s, d: P.approx_quantiles(view(s, d, "lineitem"), ["l_extendedprice", "l_quantity"]),
-    "describe": lambda s, d: P.describe(view(s, d, "orders"), ["o_totalprice", "o_orderstatus"]),
+    "describe": lambda s, d: P.describe(view(s, d, "orders"), ["o_totalprice", "o_orderstatus"]).select(
+        "summary", F.round(F.col("o_totalprice").try_cast("double"), 4).alias("o_totalprice"), "o_orderstatus"),
     "group_sums": lambda s, d: P.group_sums(view(s, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_suppkey"], {
         "sum_qty": money_sum(F.col("l_quantity")), "sum_price": money_sum(F.col("l_extendedprice")),
         "sum_net": money_sum(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4),
@@ -100,6 +101,10 @@ def _freq(source, cols, cross=False, where=""):
 
 
 ORACLE = {
+    "describe": " UNION ALL ".join(
+        f"SELECT '{n}' AS summary, round(CAST({f}(o_totalprice) AS DOUBLE), 4) AS o_totalprice, {g} AS o_orderstatus FROM orders"
+        for n, f, g in (("count", "count", "CAST(count(o_orderstatus) AS VARCHAR)"), ("mean", "avg", "NULL"), ("stddev", "stddev_samp", "NULL"),
+                        ("min", "min", "min(o_orderstatus)"), ("max", "max", "max(o_orderstatus)"))),
     "freq_oneway": with_views("customers_raw", _freq("customers_raw", ["status"])),
     "freq_oneway_no_missing": with_views("customers_raw", _freq("customers_raw", ["status"], where="WHERE status IS NOT NULL")),
     "freq_crosstab": with_views("customers_raw", _freq("customers_raw", ["segment", "status"], True)),

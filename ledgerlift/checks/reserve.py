@@ -27,7 +27,7 @@ def _drag(spark, d):
 
 
 def _grain(spark, d):
-    return R.policy_grain(view(spark, d, "installments"), ST)
+    return R.policy_grain(R.flags(view(spark, d, "installments"), ST))
 
 
 def _status(spark, d):

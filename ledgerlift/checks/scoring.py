@@ -10,9 +10,6 @@ from ledgerlift.operators import corpus as C
 from ledgerlift.operators import scoring as S
 from ledgerlift.plans.views import view, with_views
 
-MAPPED = ["raw"]
-
-
 def _parsed(s, d):
     return C.parse_programs(view(s, d, "programs"))
 
@@ -22,7 +19,7 @@ def _scored(s, d):
 
 
 def _mapping(s, d):
-    """Library targets, from a distinct read of the corpus: every library but dw is mapped."""
+    """Library targets from the corpus itself: every library but dw is mapped."""
     libs = _parsed(s, d).select(F.inline("libnames")).select(F.lower("name").alias("library")).distinct()
     return libs.where("library <> 'dw'").select("library", F.lit("sas_migration").alias("catalog"), F.concat(F.lit("bronze_"), "library").alias("schema"))
 
@@ -40,13 +37,14 @@ QUERIES = {
     "manual_review": lambda s, d: S.manual_review(_scored(s, d)),
     "manual_review_migration": lambda s, d: S.manual_review(_scored(s, d), S.REVIEW_PROCS_MIGRATION),
     "map_libraries": lambda s, d: S.map_libraries(_parsed(s, d), _mapping(s, d)),
-    "pattern_coverage": lambda s, d: S.pattern_coverage(_parsed(s, d), MAPPED).select(
+    "pattern_coverage": lambda s, d: S.pattern_coverage(_parsed(s, d), _mapping(s, d)).select(
         "program_id", "total_patterns", "covered_patterns", "coverage_pct"),
-    "inventory_view_coverage": lambda s, d: S.pattern_coverage(S.inventory_view(_parsed(s, d)), MAPPED).select(
+    "inventory_view_coverage": lambda s, d: S.pattern_coverage(S.inventory_view(_parsed(s, d)), _mapping(s, d)).select(
         "program_id", "total_patterns", "covered_patterns"),
     "gap_report": lambda s, d: S.gap_report(_parsed(s, d)),
+    "program_issues": lambda s, d: S.program_issues(_parsed(s, d), _mapping(s, d)),
     "gap_list": lambda s, d: S.gap_report(_parsed(s, d)).select("gap").distinct(),
-    "converted_ratio": lambda s, d: rounded(S.converted_ratio(_parsed(s, d), MAPPED), 4, "avg_coverage"),
+    "converted_ratio": lambda s, d: rounded(S.converted_ratio(_parsed(s, d), _mapping(s, d)), 4, "avg_coverage"),
     "score_factors": lambda s, d: S.score_factors(_parsed(s, d)),
     "feature_index": lambda s, d: S.feature_index(_parsed(s, d)),
     "macro_inventory": lambda s, d: S.macro_inventory(_parsed(s, d)),
@@ -99,7 +97,7 @@ def _review(procs):
 
 COVER = PARSED + """,
 cov AS (SELECT *, libs + steps + (merges >= 2)::INT + len(procs) + macros + hash::INT + dyn::INT AS total_patterns,
-  len(list_filter(lib_list, lambda l: l = 'RAW')) + CASE WHEN reads > 0 THEN steps ELSE 0 END + (merges >= 2)::INT
+  len(list_filter(lib_list, lambda l: l <> 'DW')) + CASE WHEN reads > 0 THEN steps ELSE 0 END + (merges >= 2)::INT
   + len(list_filter(procs, lambda x: x IN ('SORT', 'SQL', 'FREQ', 'MEANS', 'FORMAT', 'UNIVARIATE'))) + macros AS covered_patterns FROM f),
 pct AS (SELECT *, CASE WHEN total_patterns = 0 THEN 100.0e0 ELSE
   CAST(round_even(CAST(covered_patterns AS DOUBLE) / total_patterns * 100, 1) AS DOUBLE) END AS coverage_pct FROM cov)"""
@@ -125,6 +123,8 @@ ORACLE = {
     "inventory_view_coverage": p(f"""WITH {PARSED} SELECT program_id, steps + len(procs) + macros + hash::INT + dyn::INT AS total_patterns,
       len(list_filter(procs, lambda x: x IN ('SORT', 'SQL', 'FREQ', 'MEANS', 'FORMAT', 'UNIVARIATE'))) + macros AS covered_patterns FROM f"""),
     "gap_report": p(f"WITH {PARSED}, {GAP_SQL} SELECT * FROM gaps"),
+    "program_issues": p(f"""WITH {PARSED}, {GAP_SQL} SELECT program_id, 'GAP' AS kind, gap AS text FROM gaps UNION ALL
+      SELECT program_id, 'WARNING', 'No library mapping for ' || l FROM (SELECT program_id, unnest(lib_list) AS l FROM f) WHERE l = 'DW'"""),
     "gap_list": p(f"WITH {PARSED}, {GAP_SQL} SELECT DISTINCT gap FROM gaps"),
     "converted_ratio": p(f"""WITH {COVER} SELECT CAST(sum((NOT hash AND NOT dyn AND NOT list_has_any(procs, [{quoted(GAPS)}]))::INT) AS BIGINT) AS converted,
       count(*) AS total_programs, round(avg(coverage_pct), 4) AS avg_coverage FROM pct"""),

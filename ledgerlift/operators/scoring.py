@@ -151,12 +151,21 @@ def map_libraries(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def pattern_coverage(parsed: DataFrame, mapped: list[str]) -> DataFrame:
+def _mapped_libraries(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`parsed` with _known, the number of its libraries that the mapping table has a target for."""
+    libs = unnest(parsed, ["program_id"], F.transform("libnames", lambda l: F.struct(F.lower(l["name"]).alias("library"))))
+    hits = libs.join(mapping.where("schema is not null").select("library").distinct(), "library", "left_semi")
+    counts = hits.groupBy("program_id").agg(F.count(F.lit(1)).alias("_known"))
+    return parsed.join(counts, "program_id", "left").fillna(0, ["_known"])
+
+
+def pattern_coverage(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
     """Recognised and covered patterns per program and the covered share in percent.
 
-    `mapped` lists the libraries (lower case) that have a target.
+    `mapping` is the table that map_libraries takes.
     """
-    known = F.size(F.filter("libnames", lambda l: F.lower(l["name"]).isin(mapped)))
+    parsed = _mapped_libraries(parsed, mapping)
+    known = F.col("_known")
     used = F.col("procs_used")
     covered_procs = F.size(F.array_intersect(used, texts(*COVERED_PROCS)))
     has_source = F.size("datasets_read") > 0
@@ -170,7 +179,7 @@ def pattern_coverage(parsed: DataFrame, mapped: list[str]) -> DataFrame:
         "total_patterns": total,
         "covered_patterns": covered,
         "coverage_pct": F.when(total == 0, F.lit(100.0)).otherwise(F.bround(covered / total * 100, 1)),
-    })
+    }).drop("_known")
 
 
 def gap_report(parsed: DataFrame) -> DataFrame:
@@ -184,12 +193,19 @@ def gap_report(parsed: DataFrame) -> DataFrame:
     return unnest(parsed, ["program_id", "filename"], F.transform(gaps, lambda g: F.struct(g.alias("gap"))))
 
 
-def converted_ratio(parsed: DataFrame, mapped: list[str]) -> DataFrame:
+def program_issues(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One row per program and issue: gaps, and warnings about libraries without a target."""
+    gaps = gap_report(parsed).select("program_id", F.lit("GAP").alias("kind"), F.col("gap").alias("text"))
+    warnings = map_libraries(parsed, mapping).where("warning is not null")
+    return gaps.unionByName(warnings.select("program_id", F.lit("WARNING").alias("kind"), F.col("warning").alias("text")))
+
+
+def converted_ratio(parsed: DataFrame, mapping: DataFrame) -> DataFrame:
     """Programs without gaps, all programs, average coverage."""
     free = (
         ~F.arrays_overlap("procs_used", texts(*GAP_PROCS)) & ~F.col("has_hash_objects") & ~F.col("has_dynamic_sql")
     )
-    return pattern_coverage(parsed, mapped).agg(
+    return pattern_coverage(parsed, mapping).agg(
         F.sum(free.cast("bigint")).alias("converted"), F.count(F.lit(1)).alias("total_programs"),
         F.avg("coverage_pct").alias("avg_coverage"),
     )

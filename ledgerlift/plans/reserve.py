@@ -181,6 +181,7 @@ def original_parts(df: DataFrame) -> DataFrame:
     })
 
 
+# Keys of a policy, an insured and a factor.
 POLICY_KEYS = [
     "ano_mes", "cod_seguradora", "cod_tp_emissao", "cod_sistema_origem", "cod_produto",
     "cod_apolice", "cpf_cnpj",
@@ -193,9 +194,9 @@ def is_trigger() -> Column:
     return F.col("condicoes").isin("CONDICAO_1", "CONDICAO_3") & (F.col("inconsist") == "N")
 
 
-def policy_grain(installments: DataFrame, st: Settings) -> DataFrame:
+def policy_grain(flagged: DataFrame) -> DataFrame:
     """Per policy: latest end, earliest due date, charge, worst trigger; few columns are read."""
-    return flags(installments, st).groupBy(*POLICY_KEYS).agg(
+    return flagged.groupBy(*POLICY_KEYS).agg(
         F.max("dt_fim").alias("last_end"),
         F.min("dt_vencimento").alias("first_due"),
         money_total(F.col("val_cobranca")).alias("charge"),
@@ -224,14 +225,14 @@ def worst_per_insured(grain: DataFrame) -> DataFrame:
     return grain.where(F.col("worst").isNotNull()).groupBy("cpf_cnpj").agg(F.min("worst").alias("dias_min"))
 
 
-def contracts(installments: DataFrame, st: Settings) -> DataFrame:
+def contracts(flagged: DataFrame, st: Settings) -> DataFrame:
     """Everything an installment needs to know of its policy and its insured, one row per policy.
 
     The insured's values are joined to the policies, so the wide installments are shuffled
     once, on the policy: an insured holding a third of all rows is only met here, after the
     aggregation.
     """
-    grain = stored(policy_grain(installments, st), "policies")
+    grain = stored(policy_grain(flagged), "policies")
     over = lt(F.col("last_end"), S.next_period(st.ref))
     counted = F.col("charge") > 0
     rows = grain.select(
@@ -328,9 +329,13 @@ def factor(df: DataFrame, groups: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def with_status(installments: DataFrame, reinsurance: DataFrame, st: Settings) -> DataFrame:
-    """Installments with reserve, drag and delinquency."""
-    rows = base(installments, reinsurance, st)
-    return status(drag(attach_group_extreme(rows, contracts(installments, st), POLICY_KEYS)), st)
+    """Installments with reserve, drag and delinquency.
+
+    The flagged rows are written once; facts of policies and insured are aggregated from that table and
+    joined back to it.
+    """
+    rows = stored(base(installments, reinsurance, st), "flagged")
+    return status(drag(attach_group_extreme(rows, contracts(rows, st), POLICY_KEYS)), st)
 
 
 def pipeline(installments: DataFrame, reinsurance: DataFrame, groups: DataFrame, factors: DataFrame,
@@ -342,13 +347,12 @@ def pipeline(installments: DataFrame, reinsurance: DataFrame, groups: DataFrame,
 def postable(df: DataFrame) -> DataFrame:
     """Consistent rows with a positive reserve.
 
-    The row number keeps the filter above the reserve formula: pushed below it, the filter
-    would carry the whole formula, worked out in place of every name, and each row would be
-    computed twice. Select issue types before, so that those filters do reach the scan.
+    The rows are written first: pushed below the reserve formula, the filter would carry all of it,
+    worked out in place of every name, and each row would be computed twice. Select issue types
+    before.
     """
     usable = (F.col("inconsist") != "S") & (F.col("rvr_atu_negativa") != "SIM") & (F.col("rvr_atu") > 0)
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.where(usable & (F.col("_row") >= 0)).drop("_row")
+    return stored(df, "reserve-rows").where(usable)
 
 
 def segment(st: Settings, product_tail: bool = False) -> Column:

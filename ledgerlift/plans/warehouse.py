@@ -11,7 +11,7 @@ from ledgerlift.operators.procs import univariate
 
 
 def dim_customer(customers_raw: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Latest-loaded-first customer row with its address."""
+    """The customer row that was loaded first, with its address."""
     customers = nodupkey(customers_raw, ["customer_id"], ["load_seq"])
     return lookup_join(customers, addresses, ["customer_id"])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +32,37 @@ def shared_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    # one machine: a local session, as in tests
     fallback = tempfile.mkdtemp(prefix="ledgerlift-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
+_named: list[str] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared root; nothing is created yet."""
-    return f"{shared_root(spark)}/ledgerlift/{label}-{uuid.uuid4().hex[:12]}"
+    _named.append(f"{shared_root(spark)}/ledgerlift/{label}-{uuid.uuid4().hex[:12]}")
+    return _named[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Own the intermediate tables written inside the block and remove them at its end.
+
+    Results must have been written or collected by then. Checkpoints are removed by Spark where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    before = len(_named)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _named[before:]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _named[before:]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ def incremental_ingest(
 ) -> StreamingQuery:
     """Append the rows of files not seen before and stop; the checkpoint remembers the files.
 
-    `max_files` bounds the files of one micro-batch, so that a first run over a full folder
+    The schema may gain columns from one run to the next; files that lack them give missing
+    values. `max_files` bounds the files of one micro-batch, so that a first run over a full folder
     is cut into batches.
     """
     reader = spark.readStream.schema(schema).option("header", "true").option("sep", sep)
@@ -32,9 +33,9 @@ def incremental_ingest(
 
 
 def ingest(spark: SparkSession, src_dir: str, table_dir: str, schema, checkpoint: str, **options) -> DataFrame:
-    """Run an ingest to its end and return the table."""
+    """Run an ingest to its end and return the table, with the columns of every run so far."""
     incremental_ingest(spark, src_dir, table_dir, schema, checkpoint, **options).awaitTermination()
-    return spark.read.schema(schema).parquet(table_dir)
+    return spark.read.option("mergeSchema", "true").parquet(table_dir)
 
 
 def stream_then_reconcile(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.reconcile import check_row_count, checksum, reconcile
+from ledgerlift.session import scratch, stored
 from ledgerlift.sources import files as X
 from ledgerlift.streaming.ingest import ingest
 
@@ -125,6 +126,25 @@ def test_stream_reads_only_new_files(spark, tmp_path):
     assert sorted(r["a"] for r in again.collect()) == [1, 2, 3]
 
 
+def test_stream_admits_a_new_column(spark, tmp_path):
+    src, table, check = f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/check"
+    write(f"{src}/1.csv", "a\n1\n")
+    ingest(spark, src, table, "a int", check)
+    write(f"{src}/2.csv", "a,b\n2,x\n")
+    got = ingest(spark, src, table, "a int, b string", check)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(1, None), (2, "x")]
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    kept = stored(spark.range(3), "kept")
+    with scratch(spark):
+        inner = stored(spark.range(5), "inner")
+        assert inner.count() == 5
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
 def test_checks(spark):
     a = spark.createDataFrame([(1, 2.0), (2, None)], "k int, v double")
     b = spark.createDataFrame([(2, None), (1, 2.0)], "k int, v double")
