@@ -19,8 +19,8 @@ from ledgerlift.llm.common import keep_others, table
 from ledgerlift.session import stored
 
 SEQUENCE, END = 4096, 2
-#: Words and pieces that a Python worker remembers, and the bytes of text it encodes at a time.
-REMEMBERED, STEP_BYTES = 600_000, 4 << 20
+#: Words that a Python worker remembers (some 200 bytes each), and the bytes of text it encodes at a time.
+REMEMBERED, STEP_BYTES = 500_000, 4 << 20
 #: White space and control characters that words of bytes can hold though the tokenizer may cut there,
 #: and the first letter beyond which lower case and composition need the tokenizer's own rules.
 _ODD = regex.compile(r"[\x00-\x20\x7f-\xa0]")
@@ -52,16 +52,14 @@ class Encoder:
         # fixed value: the pattern of the vocabulary's pre-tokenizer
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.forget()
-        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def forget(self) -> None:
         self.words, self.flat, self.first = _Numbers(), array("I"), array("q", [0])
 
     def _learn(self, new: list[bytes]) -> None:
         """Add the ids of words that are numbered but not yet known, in their order."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known, parts, unseen = self.pieces, [], {}
+        parts: list = []
+        pieces: dict[str, int] = {}
         for raw in new:
             word = raw.decode()
             # most words are letters, perhaps with one mark behind them
@@ -75,23 +73,20 @@ class Encoder:
                 cut = None if _ODD.search(word) else self.cut.findall(word.lower())
             parts.append(cut)
             for piece in cut or ():
-                if piece not in known:
-                    unseen[piece] = None
-        todo = list(unseen)
+                pieces.setdefault(piece, len(pieces))
+        known: list[list[int]] = [[] for _ in pieces]
+        todo = list(pieces)
         for i in range(0, len(todo), 2000):
-            some = todo[i : i + 2000]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in some]
+            got = self.tokenizer.encode(" ".join(todo[i : i + 2000]), add_special_tokens=False)
             for at, token in zip(got.word_ids, got.ids):
-                ids[at].append(token)
-            self.pieces.update(zip(some, map(tuple, ids)))
+                known[i + at].append(token)
         flat, ends, base = array("I"), array("q"), len(self.flat)
         for raw, cut in zip(new, parts):
             if cut is None:
                 flat.extend(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
             else:
                 for piece in cut:
-                    flat.extend(known[piece])
+                    flat.extend(known[pieces[piece]])
             ends.append(base + len(flat))
         self.flat.extend(flat)
         self.first.extend(ends)
@@ -100,7 +95,8 @@ class Encoder:
         """The ids of each text."""
         if len(self.words) > REMEMBERED:
             self.forget()
-        cut = [t.split() for t in texts]
+        # the tokenizer lowers its text; letters A-Z lowered first make fewer words
+        cut = [t.lower().split() for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         seen = len(self.words)
         index = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
