@@ -213,13 +213,15 @@ def repeated_spans(docs: DataFrame, text: str, window: int, k: int) -> tuple[Dat
         F.count(F.lit(1)).alias("n"), F.count("sides").alias("inner"), F.min("sides").alias("lo"), F.max("sides").alias("hi")
     )
     graph = kinds.where("n > 1").select("node", ((F.col("inner") == F.col("n")) & (F.col("lo") == F.col("hi"))).cast("int").alias("straight"))
+    # both sides of the joins below are plain shuffles of tables, so Spark can split a hot k-mer or window
+    graph = stored(graph, "graph")
     coded = nodes.join(graph, "node").select("_a", "_b", (F.col("pos") * 2 + F.col("straight")).alias("code"))
     known = stored(coded.groupBy("_a", "_b").agg(F.array_sort(F.collect_set("code")).alias("known")), "repeated-nodes")
 
     near = keyed.join(known, ["_a", "_b"]).select("_a", "_b", "_text", "known")
     border = near.mapInArrow(_border(window, k), "h1 long, h2 long, _a long, _b long, pos int")
     border = stored(border, "border-windows")
-    twice = border.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    twice = stored(border.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "repeated-windows")
     found = border.join(twice, ["h1", "h2"]).groupBy("_a", "_b").agg(F.array_sort(F.collect_set("pos")).alias("found"))
     return known, found
 
