@@ -67,15 +67,17 @@ PATTERNS = {
     "format_like": r"(?Ui)^(?:COMMAX|COMMA|DDMMYY|MMDDYY|YYMMDD|DATE|DATETIME|BEST|DOLLAR|PERCENT|\$?CHAR|Z|FORMAT|INFORMAT)",
 }
 # Macro names that belong to the language.
-BUILTIN_MACROS = (
-    "if then else do end let put str scan substr eval sysevalf sysfunc nrstr bquote superq global "
-    "local mend macro include run quit length index upcase lowcase"
-).split()
+BUILTIN_MACROS = [
+    "if", "then", "else", "do", "end", "let", "put", "str", "scan", "substr", "eval", "sysevalf", "sysfunc",
+    "nrstr", "bquote", "superq", "global", "local", "mend", "macro", "include", "run", "quit", "length",
+    "index", "upcase", "lowcase",
+]
 # Words that are never variable names.
-KEYWORDS = (
-    "IF THEN ELSE DO END SET MERGE BY WHERE AND OR NOT IN AS FROM SELECT ON OUTPUT DELETE KEEP DROP "
-    "RENAME FORMAT INFORMAT LENGTH ATTRIB LABEL RUN QUIT DATA PROC NOTIN CALCULATED"
-).split()
+KEYWORDS = [
+    "IF", "THEN", "ELSE", "DO", "END", "SET", "MERGE", "BY", "WHERE", "AND", "OR", "NOT", "IN", "AS",
+    "FROM", "SELECT", "ON", "OUTPUT", "DELETE", "KEEP", "DROP", "RENAME", "FORMAT", "INFORMAT", "LENGTH",
+    "ATTRIB", "LABEL", "RUN", "QUIT", "DATA", "PROC", "NOTIN", "CALCULATED",
+]
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
