@@ -51,10 +51,27 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         # fixed value: the pattern of the vocabulary's pre-tokenizer
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.forget()
+        self.words, self.flat, self.first = _Numbers(), array("I"), array("q", [0])
+        self.uses = np.zeros(0, np.int64)
+
+    def _ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered words one after the other, and where each word's end."""
+        flat, first = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.first, np.int64)
+        long = first[index + 1] - first[index]
+        ends = np.cumsum(long)
+        return flat[np.repeat(first[index] - (ends - long), long) + np.arange(int(long.sum()))], ends
 
     def forget(self) -> None:
-        self.words, self.flat, self.first = _Numbers(), array("I"), array("q", [0])
+        """Keep the half that is used most."""
+        least = np.partition(self.uses, -(REMEMBERED // 2))[-(REMEMBERED // 2)]
+        keep = np.flatnonzero(self.uses > least)
+        ids, ends = self._ids(keep)
+        old, words = list(self.words), _Numbers()
+        for i in keep.tolist():
+            words[old[i]] = len(words)
+        self.words, self.uses = words, self.uses[keep]
+        self.flat, self.first = array("I", ids.tobytes()), array("q", [0])
+        self.first.frombytes(ends.astype(np.int64).tobytes())
 
     def _learn(self, new: list[bytes]) -> None:
         """Add the ids of words that are numbered but not yet known, in their order."""
@@ -101,12 +118,9 @@ class Encoder:
         seen = len(self.words)
         index = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         self._learn(list(islice(self.words, seen, None)))
-        flat, first = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.first, np.int64)
-        long = first[index + 1] - first[index]
-        ends = np.cumsum(long)
-        ids = flat[np.repeat(first[index] - (ends - long), long) + np.arange(int(long.sum()))]
+        self.uses = np.bincount(index, minlength=len(self.words)) + np.pad(self.uses, (0, len(self.words) - seen))
+        ids, ends = self._ids(index)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        del flat, first  # the arrays may grow again
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
