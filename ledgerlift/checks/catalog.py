@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import functions as F
-
 from ledgerlift.operators import catalog as K
 from ledgerlift.plans.views import BASE_SCHEMAS, BASE_TABLES, view, with_views
 from ledgerlift.checks.rules import ALL

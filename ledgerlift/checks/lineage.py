@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlift.checks.corpus import MERGE_LIST, READS, STEPS_LIST, MACROS, ex, srt, trim_all
+from ledgerlift.checks.corpus import READS, STEPS_LIST, MACROS, ex, srt, trim_all
 from ledgerlift.operators import corpus as C
 from ledgerlift.operators import lineage as L
 from ledgerlift.plans.views import view, with_views

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlift.checks.common import rounded
-from ledgerlift.checks.corpus import LINES, MERGE_LIST, READS, STEPS_LIST, ex, joined, pat, srt, upper_all
+from ledgerlift.checks.corpus import LINES, MERGE_LIST, READS, STEPS_LIST, ex, pat, srt, upper_all
 from ledgerlift.operators import corpus as C
 from ledgerlift.operators import scoring as S
 from ledgerlift.plans.views import view, with_views
