@@ -171,7 +171,9 @@ def nearest(
     for row in cells.groupBy("i", "j").count().collect():
         sizes[row["i"], row["j"]] = row["count"]
     enough = max(share * n, 10 * most + 1)
-    probes = asked.mapInPandas(_probes(books, half, sizes, enough), "query_id long, q array<double>, i int, js array<int>")
+    # walking is far dearer than its rows are large: deal the queries out whatever their bytes
+    dealt = asked.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    probes = dealt.mapInPandas(_probes(books, half, sizes, enough), "query_id long, q array<double>, i int, js array<int>")
 
     # entry blocks by row of the grid: a table of `centroids` numbers
     blocks = [max(1, math.ceil(int(s) / BLOCK)) for s in sizes.sum(axis=1)]

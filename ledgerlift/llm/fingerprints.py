@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ledgerlift.llm.common import table
 from ledgerlift.session import stored
 
-#: Cells of the first sketch, growth on failure, cells per digest, rounds of peeling before a retry.
-CELLS, GROWTH, HASHES, ROUNDS = 24, 4, 3, 6
+#: Cells of the smallest sketch, growth on failure, cells per digest, rounds of peeling before a retry, and cells
+#: per digest of two versions in the first try. Cells without a digest have no row, so a roomy sketch costs no more.
+CELLS, GROWTH, HASHES, ROUNDS, ROOM = 24, 4, 3, 4, 4
+LONG_LINE = 300
 #: Rows that are put in order together, and the most blocks (then blocks grow; their sort spills).
 BLOCK_ROWS, MOST_BLOCKS = 4096, 4096
 _ROW = ["_block", "_rn"]
@@ -19,9 +21,13 @@ _LOWEST = -(2**63)
 
 
 def paragraphs(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs: its lines that hold more than blanks."""
-    lines = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
-    return F.array_distinct(F.transform(lines, lambda p: F.xxhash64(p)))
+    """Distinct 64-bit digests of a text's paragraphs that hold more than blanks.
+
+    A paragraph is a line; a line of more than LONG_LINE characters is cut behind its sentences.
+    """
+    cut = lambda line: F.when(F.length(line) > LONG_LINE, F.split(line, r"(?<=[.!?]) ")).otherwise(F.array(line))
+    parts = F.filter(F.flatten(F.transform(F.split(text, "\n"), cut)), lambda p: F.trim(p) != "")
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,16 +70,19 @@ def _check(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed + 1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _places(key: Column, cells: int, seed: int) -> list[Column]:
+def _places(key: Column, cells: Column, seed: int) -> list[Column]:
     """A digest's cells: one in each third of the table."""
-    third = cells // HASHES
+    third = (cells / HASHES).cast("bigint")
     return [
-        (F.pmod(F.xxhash64(key, F.lit(seed + 11 * (h + 1))), F.lit(third)) + h * third).cast("int") for h in range(HASHES)
+        (F.pmod(F.xxhash64(key, F.lit(seed + 11 * (h + 1))), third) + h * third).cast("int") for h in range(HASHES)
     ]
 
 
-def sketch(rows: DataFrame, by: list[str], cells: int, seed: int = 0) -> DataFrame:
-    """Cells (by, cell, n, k, c) of the digests in column `digests`: count, xor of digests, xor of checks."""
+def sketch(rows: DataFrame, by: list[str], cells: Column, seed: int = 0) -> DataFrame:
+    """Cells (by, cell, n, k, c) of the digests in column `digests`: count, xor of digests, xor of checks.
+
+    `cells`, the size of a row's table, is made of columns in `by`. Cells without a digest have no row.
+    """
     one = rows.select(*by, F.explode("digests").alias("d"))
     entry = lambda place: F.struct(place.alias("cell"), F.lit(1).alias("n"), F.col("d").alias("k"), F.col("check").alias("c"))
     spread = one.withColumn("check", _check(F.col("d"), seed)).select(
@@ -86,7 +95,7 @@ def _sum(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
 
 
-def peel(cells: DataFrame, by: list[str], size: int, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+def peel(cells: DataFrame, by: list[str], size: Column, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """(by, delta, failed) of subtracted sketches: the number of digests recovered, and whether cells remain.
 
     A cell that holds one digest (count of 1 or -1 and a check that fits) gives it up; it is then taken out
@@ -118,7 +127,14 @@ def peel(cells: DataFrame, by: list[str], size: int, seed: int = 0, rounds: int
     )
 
 
-def differences(versions: DataFrame, cells: int = CELLS) -> DataFrame:
+def _size(x: str, y: str, attempt: int) -> Column:
+    """Cells for a pair: the first size with ROOM for its digests, GROWTH times larger with every attempt."""
+    both = ROOM * (F.size(x) + F.size(y)).cast("double")
+    steps = F.greatest(F.ceil(F.log(both / CELLS) / F.log(F.lit(float(GROWTH)))), F.lit(0))
+    return (CELLS * F.pow(F.lit(float(GROWTH)), F.when(both > 0, steps).otherwise(0) + attempt)).cast("bigint")
+
+
+def differences(versions: DataFrame) -> DataFrame:
     """(_block, _rn, pair, delta): how many paragraph digests tell two versions apart, for every row and pair.
 
     `versions` has _block, _rn and the digest arrays a, b and c; pair 1 is a against b, pair 2 a against c.
@@ -127,28 +143,28 @@ def differences(versions: DataFrame, cells: int = CELLS) -> DataFrame:
     have no row.
     """
     todo = versions.select(*_ROW, "a", "b", "c", F.lit(True).alias("one"), F.lit(True).alias("two"))
+    # digests are few bytes and make many rows: tasks are cut by documents
+    tasks = max(int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-versions.count() // BLOCK_ROWS))
     done, attempt = [], 0
+    by = [*_ROW, "pair", "size"]
     while True:
-        size = cells * GROWTH**attempt
         seed = 1000 * attempt
-        placed = todo.repartition(*_ROW)
-        part = lambda v, col: F.struct(F.lit(v).alias("v"), F.col(col).alias("digests"))
-        each = placed.select(*_ROW, "one", "two", F.inline(F.array(part("a", "a"), part("b", "b"), part("c", "c"))))
-        each = each.where("v = 'a' or v = 'b' and one or v = 'c' and two")
-        sides = sketch(each, [*_ROW, "one", "two", "v"], size, seed)
-        sign = lambda p, s: F.struct(F.lit(p).alias("pair"), F.lit(s).alias("sign"))
-        to = F.when(F.col("v") == "b", F.array(sign(1, -1))).when(F.col("v") == "c", F.array(sign(2, -1))).otherwise(
-            F.array(sign(1, 1), sign(2, 1))
+        sides = [(1, "a", "b", "one"), (2, "a", "c", "two")]
+        part = lambda pair, x, y, on, v: F.struct(
+            F.lit(pair).alias("pair"), F.lit(1 if v == "a" else -1).alias("sign"), F.col(on).alias("on"),
+            _size(x, y, attempt).alias("size"), F.col(v).alias("digests"),
         )
-        pairs = sides.select("*", F.inline(to)).where("pair = 1 and one or pair = 2 and two")
-        by = [*_ROW, "pair"]
-        less = _sum(pairs.withColumn("n", F.col("n") * F.col("sign")), [*by, "cell"]).where("n != 0 or k != 0 or c != 0")
-        got = stored(peel(less, by, size, seed), "peeled")
-        done.append(got.where("not failed").select(*by, "delta"))
-        failed = got.where("failed").groupBy(*_ROW).agg(F.max(F.col("pair") == 1).alias("one"), F.max(F.col("pair") == 2).alias("two"))
-        if got.where("failed").isEmpty():
+        placed = todo.repartition(tasks, *_ROW)
+        each = placed.select(*_ROW, F.inline(F.array(*[part(*s, v) for s in sides for v in s[1:3]]))).where("on")
+        cells = sketch(each, [*by, "sign"], F.col("size"), seed)
+        less = _sum(cells.withColumn("n", F.col("n") * F.col("sign")), [*by, "cell"]).where("n != 0 or k != 0 or c != 0")
+        got = stored(peel(less, by, F.col("size"), seed), "peeled")
+        done.append(got.where("not failed").select(*_ROW, "pair", "delta"))
+        again = got.where("failed")
+        if again.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        todo = versions.select(*_ROW, "a", "b", "c").join(failed, _ROW)
+        again = again.groupBy(*_ROW).agg(F.max(F.col("pair") == 1).alias("one"), F.max(F.col("pair") == 2).alias("two"))
+        todo = versions.select(*_ROW, "a", "b", "c").join(again, _ROW)
         attempt += 1
 
 
@@ -170,7 +186,7 @@ def likeness(x: Column, y: Column, delta: Column) -> Column:
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are.
 
-    A paragraph is a line. A null text is empty; the fingerprint of a text without paragraphs is an empty
+    A null text is empty; the fingerprint of a text without paragraphs is an empty
     sketch, `iblt24`. Equal texts have equal fingerprints; texts of the same distinct paragraphs do too.
     Repeated rows each have a row; an empty table gives none; other columns are not read.
     """
@@ -189,7 +205,7 @@ def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     base = versions.repartition(*_ROW)
     part = lambda v: F.struct(F.lit(v).alias("v"), F.col(v).alias("digests"))
     each = base.select(*_ROW, F.inline(F.array(part("a"), part("b"))))
-    marks = written(sketch(each, [*_ROW, "v"], CELLS), [*_ROW, "v"])
+    marks = written(sketch(each, [*_ROW, "v"], F.lit(CELLS)), [*_ROW, "v"])
     marks = marks.groupBy(*_ROW).agg(
         F.max(F.when(F.col("v") == "a", F.col("fingerprint"))).alias("fa"), F.max(F.when(F.col("v") == "b", F.col("fingerprint"))).alias("fb")
     )

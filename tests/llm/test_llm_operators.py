@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import os
+import re
 import sys
 import zlib
 
@@ -70,7 +71,8 @@ def test_shards_are_written_as_folders(spark, docs, tmp_path):
 
 
 def lines(text):
-    return {p for p in (text or "").split("\n") if p.strip(" ")}
+    cut = [re.split(r"(?<=[.!?]) ", line) if len(line) > fingerprints.LONG_LINE else [line] for line in (text or "").split("\n")]
+    return {p for part in cut for p in part if p.strip(" ")}
 
 
 def jaccard(a, b):
@@ -89,6 +91,7 @@ def test_fingerprints_recover_the_true_likeness(spark, tmp_path, monkeypatch):
     for i in range(23):
         text = "\n".join(f"line {rng.integers(60)}" for _ in range(rng.integers(0, 90)))
         rows.append((i * 3, text, None, None, None))
+    rows.append((99, "\n".join(" ".join(f"One {i} is {j}." for j in range(40)) for i in range(3)), None, None, None))
     rows += [(100, None, None, None, None), (101, "", None, None, None), (102, rows[0][1], None, None, None)]
     got = {r.doc_id: r for r in fingerprint_rows(spark, tmp_path, rows)}
     order = sorted(rows, key=lambda r: -r[0])
