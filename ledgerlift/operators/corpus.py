@@ -349,7 +349,7 @@ def matches(text: Column, name: str, sections: bool = False) -> Column:
         def step(acc: Column, p: Column) -> Column:
             line, place = acc["line"] + _line_ends(p["gap"]), acc["place"] + F.length(p["gap"])
             if sections:
-                word = F.regexp_extract(F.lower(F.concat(acc["before"], p["gap"])), f"(?s).*({'|'.join(SECTION_WORDS)})", 1)
+                word = F.regexp_extract(F.lower(F.concat(acc["before"], p["gap"])), f"(?s)\\A.*({'|'.join(SECTION_WORDS)})", 1)
                 section = F.when(word == "", acc["section"]).otherwise(word)
             else:
                 section = acc["section"]
