@@ -20,8 +20,8 @@ NARROW = 0.002
 UNKNOWN = "und"
 
 
-#: Bytes of the dictionary's tail that go ahead of every text.
-LEAD_BYTES = 512
+#: Bytes of the dictionary's tail that go ahead of every block of text, and of text in a block.
+LEAD_BYTES, BLOCK_BYTES = 512, 16 << 10
 
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -33,7 +33,10 @@ def letters(text: str) -> bytes:
 
 
 def _coder(content: bytes):
-    """The number of bytes that a text adds after a dictionary."""
+    """The number of bytes that a text adds after a dictionary, which goes ahead of each of its blocks.
+
+    So the dictionary is as near to the end of a long text as to its start, and what it saves grows with the text.
+    """
     params = zstandard.ZstdCompressionParameters(
         strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=3, hash_log=17, chain_log=16, window_log=18,
         write_checksum=0, write_content_size=0, write_dict_id=0,
@@ -41,10 +44,12 @@ def _coder(content: bytes):
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
     code = zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
-    # a tail of the dictionary goes ahead of every text: alone, a short text would be stored as it is
+    # a tail of the dictionary goes ahead of every block: alone, a short text would be stored as it is
     lead = content[-LEAD_BYTES:]
     base = len(code(lead))
-    return lambda raw: len(code(lead + raw)) - base
+    return lambda raw: sum(
+        len(code(lead + raw[at : at + BLOCK_BYTES])) - base for at in range(0, max(1, len(raw)), BLOCK_BYTES)
+    )
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -109,9 +114,9 @@ def _predict(dictionaries: dict[str, bytes]):
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
     """Rows of `df` with lang_pred, score and rejected added; input columns of these names are replaced.
 
-    A text's letters, in lower case, are compressed once per language, each time after that language's dictionary, and the language
-    of the smallest result wins (the first by name where two are equal). score is the share by which it is
-    smaller than the next best, and a score below NARROW is rejected. A null text, and one without any
+    A text's letters, in lower case, are compressed once per language, each block of BLOCK_BYTES after that language's
+    dictionary, and the language of the smallest sum wins (the first by name where two are equal). score is the share
+    by which it is smaller than the next best, and a score below NARROW is rejected; it does not fall with length. A null text, and one without any
     letter, is `und` with score 0 and rejected; so is every text if no language was learned. Whole texts
     are read, one at a time, whatever their length.
     """
