@@ -13,9 +13,14 @@ from ledgerlift.session import stored
 #: Cells of the smallest sketch, growth on failure, cells per digest, rounds of peeling before a retry, and cells
 #: per digest of two versions in the first try. Cells without a digest have no row, so a roomy sketch costs no more.
 CELLS, GROWTH, HASHES, ROUNDS, ROOM = 24, 4, 3, 4, 4
-LONG_LINE = 300
+#: Lines of more characters than this are cut: every line is.
+LONG_LINE = 0
+#: Words at a sentence's start that end no paragraph; of later ones one in RUN_WORDS does, told by its hash.
+FIRST_WORDS, RUN_WORDS = 8, 8
 #: Rows that are put in order together, and the most blocks (then blocks grow; their sort spills).
 BLOCK_ROWS, MOST_BLOCKS = 4096, 4096
+#: Digests of all versions that one task sketches and peels.
+TASK_DIGESTS = 1 << 17
 _ROW = ["_block", "_rn"]
 _LOWEST = -(2**63)
 
@@ -23,10 +28,15 @@ _LOWEST = -(2**63)
 def paragraphs(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs that hold more than blanks.
 
-    A paragraph is a line; a line of more than LONG_LINE characters is cut behind its sentences.
+    A line is cut behind its sentences, and these behind every word after the first FIRST_WORDS whose hash is a
+    multiple of RUN_WORDS. No cut depends on what follows, nor on lengths, and one inside a longer run depends
+    on its word alone, so equal starts have equal paragraphs, as have equal stretches of long runs.
     """
-    cut = lambda line: F.when(F.length(line) > LONG_LINE, F.split(line, r"(?<=[.!?]) ")).otherwise(F.array(line))
-    parts = F.filter(F.flatten(F.transform(F.split(text, "\n"), cut)), lambda p: F.trim(p) != "")
+    ends = lambda w, i: (i >= FIRST_WORDS) & (F.pmod(F.xxhash64(w), F.lit(RUN_WORDS)) == 0)
+    words = lambda s: F.array_join(F.transform(F.split(s, " "), lambda w, i: F.when(ends(w, i), F.concat(w, F.lit("\n"))).otherwise(w)), " ")
+    cut = lambda s: F.split(F.replace(words(s), F.lit("\n "), F.lit("\n")), "\n")
+    sentences = F.split(F.regexp_replace(text, r"(?<=[.!?]) ", "\n"), "\n")
+    parts = F.filter(F.flatten(F.transform(sentences, cut)), lambda p: F.trim(p) != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -143,8 +153,9 @@ def differences(versions: DataFrame) -> DataFrame:
     have no row.
     """
     todo = versions.select(*_ROW, "a", "b", "c", F.lit(True).alias("one"), F.lit(True).alias("two"))
-    # digests are few bytes and make many rows: tasks are cut by documents
-    tasks = max(int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-versions.count() // BLOCK_ROWS))
+    # digests are few bytes and make many rows: tasks are cut by their number
+    digests = versions.agg(F.sum(F.size("a") + F.size("b") + F.size("c"))).first()[0] or 0
+    tasks = max(int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-digests // TASK_DIGESTS))
     done, attempt = [], 0
     by = [*_ROW, "pair", "size"]
     while True:

@@ -108,6 +108,26 @@ def test_fingerprints_recover_the_true_likeness(spark, tmp_path, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_fingerprints_share_the_first_half_at_any_length(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for i, (n, run) in enumerate([(40, 8), (44, 8), (100, 12), (600, 10**6), (900, 10**6), (30, 5)] * 4):
+        words = [word() + ("." if k % run == run - 1 else "") for k in range(n)]
+        rows.append((i, " ".join(words), None, None, None))
+    got = fingerprint_rows(spark, tmp_path, rows)
+    assert len(got) == len(rows) and min(r.near_edited for r in got) > 0
+    assert max(r.near_next for r in got) == 0
+
+
+def test_paragraphs_of_a_stretch_do_not_depend_on_its_place(spark):
+    rng = np.random.default_rng(5)
+    run = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400))
+    df = spark.createDataFrame([(run, "other words ahead of " + run + " and behind it", "")], "a string, b string, c string")
+    r = df.select(*[fingerprints.paragraphs(F.col(c)).alias(c) for c in "abc"]).first()
+    assert len(r.a) > 10 and len(set(r.a) & set(r.b)) >= len(r.a) - 2 and r.c == []
+
+
 def test_fingerprints_of_odd_tables(spark, tmp_path):
     assert fingerprint_rows(spark, tmp_path / "none", []) == []
     one = fingerprint_rows(spark, tmp_path / "one", [(5, "a\nb", None, None, None)])[0]
