@@ -15,6 +15,8 @@ from ledgerlift.llm.common import keep_others, table
 
 #: Bytes of text in a language's dictionary, and the most rows that are read for one.
 DICTIONARY_BYTES, SAMPLE_ROWS = 96 << 10, 400
+#: A longer text gives its share in pieces of at most so many bytes, and in so many pieces at least.
+PIECE_BYTES, PIECES = 256, 4
 #: A text whose best language saves less than this share over the next one is rejected.
 NARROW = 0.002
 UNKNOWN = "und"
@@ -57,12 +59,47 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _spread(raw: bytes, share: int) -> bytes:
+    """At most `share` bytes of a text, in pieces at even distances from its start to its end."""
+    if len(raw) <= share:
+        return raw
+    n = min(max(PIECES, -(-share // PIECE_BYTES)), (share + 1) // 2)
+    if n < 2:
+        return raw[:share]
+    size = (share - n + 1) // n
+    return b" ".join(raw[at : at + size] for at in ((len(raw) - size) * i // (n - 1) for i in range(n)))
+
+
+def _share(sizes: list[int]) -> int:
+    """The bytes that each of the texts may give to fill a dictionary: what short ones leave goes to longer ones."""
+    left = DICTIONARY_BYTES
+    for k, size in enumerate(sizes := sorted(sizes)):
+        if (size + 1) * (len(sizes) - k) > left:
+            return max(0, left // (len(sizes) - k) - 1)
+        left -= size + 1
+    return DICTIONARY_BYTES
+
+
+def _mapped(what, kind: pa.DataType):
+    """For mapInArrow: (lang, draw, text) to (lang, draw, what(lang, the text's letters))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, draws, texts = batch.columns
+            made = [what(lang, letters(text)) for lang, text in zip(langs.to_pylist(), (x.as_py() for x in texts))]
+            yield pa.RecordBatch.from_arrays([langs, draws, pa.array(made, kind)], names=["lang", "draw", "made"])
+
+    return run
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """A raw-content dictionary per language, from at most about SAMPLE_ROWS of its rows.
 
     Rows are drawn by a hash of their key against the language's row count, so a common language
-    brings no more than a rare one. What reaches the driver is bounded by languages times
-    SAMPLE_ROWS texts cut to DICTIONARY_BYTES in all; a language is a label in use, a few hundred at most.
+    brings no more than a rare one. The drawn texts share DICTIONARY_BYTES evenly, and what short ones
+    leave goes to the longer, which give pieces spread over their whole length: a language whose drawn
+    texts hold that many bytes of letters fills its dictionary. What reaches the driver is a number per
+    drawn row and a dictionary per language; a language is a label in use, a few hundred at most.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
@@ -70,16 +107,19 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return {}
     chance = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_ROWS / n))]), F.col(lang))
     draw = F.pmod(F.xxhash64(F.lit("language"), key, text), F.lit(1 << 30)) / float(1 << 30)
-    share = DICTIONARY_BYTES // 32
-    rows = (
-        known.where(draw < chance).select(lang, draw.alias("_draw"), F.substring(F.col(text), 1, share).alias("_text"))
-        .orderBy("_draw", "_text").collect()
+    drawn = known.where(draw < chance).select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text"))
+    sizes: dict[str, list[int]] = {}
+    for code, _, size in drawn.mapInArrow(_mapped(lambda _, raw: len(raw), pa.int64()), "lang string, draw double, made long").collect():
+        sizes.setdefault(code, []).append(size)
+    shares = {code: _share(held) for code, held in sizes.items()}
+    pieces = drawn.mapInArrow(
+        _mapped(lambda code, raw: _spread(raw, shares[code]), pa.binary()), "lang string, draw double, made binary"
     )
     out: dict[str, bytes] = {}
-    for code, _, text_ in rows:
+    for code, _, piece in pieces.orderBy("draw", "made").collect():
         held = out.get(code, b"")
         if len(held) < DICTIONARY_BYTES:
-            out[code] = held + letters(text_)[: DICTIONARY_BYTES - len(held)] + b" "
+            out[code] = held + bytes(piece)[: DICTIONARY_BYTES - len(held)] + b" "
     return out
 
 

@@ -352,6 +352,18 @@ def test_language_of_held_out_texts(spark, nothing):
     assert {r.lang_pred for r in langid.identify(df, {}).collect()} == {"und"}
 
 
+def test_few_long_texts_fill_a_dictionary(spark):
+    notice = "licence terms apply to every copy " * 300
+    book = lambda n: notice + " ".join(f"start{'abcdefghij'[n]}" if k < 5000 else f"end{'abcdefghij'[n]}" for k in range(20_000))
+    rows = [(i, book(i), "xx", "s", 0) for i in range(3)] + [(9, "short one", "xx", "s", 0)]
+    rows += [(100 + i, f"some words of text {i} " * 40, "en", "s", 0) for i in range(500)]
+    learned = langid.learn(cases.frame(spark, rows))
+    assert all(langid.DICTIONARY_BYTES * 0.95 <= len(v) <= langid.DICTIONARY_BYTES + 1 for v in learned.values())
+    words = collections.Counter(learned["xx"].decode().split())
+    assert all(words[f"{part}{c}"] > 500 for part in ("start", "end") for c in "abc") and words["short"] == 1
+    assert words["licence"] < 500
+
+
 # chats
 
 
