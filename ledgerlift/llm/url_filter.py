@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm.common import keep_others, table
+from ledgerlift.session import stored
 
 #: Most rows that the trees are fitted on, drawn by a hash of the url.
 SAMPLE_ROWS = 20_000
@@ -81,16 +82,14 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 class UrlFilter:
-    """Fitted trees and the suffix statistics that two of their features come from."""
+    """Fitted trees and the suffix statistics (suffix, suffix_rate, suffix_share) that two of their features come from."""
 
-    def __init__(self, model: GBTClassificationModel | None, suffixes: dict[str, tuple[float, float]], rate: float):
+    def __init__(self, model: GBTClassificationModel | None, suffixes: DataFrame | None, rate: float):
         self.model, self.suffixes, self.rate = model, suffixes, rate
 
     def features(self, df: DataFrame) -> DataFrame:
-        look = lambda i, other: reduce(
-            lambda rest, kv: F.when(F.col("suffix") == kv[0], F.lit(kv[1][i])).otherwise(rest), self.suffixes.items(), F.lit(other)
-        )
-        rows = df.withColumns({"suffix_rate": look(0, self.rate), "suffix_share": look(1, 0.0)})
+        rows = df.drop("suffix_rate", "suffix_share").join(self.suffixes, "suffix", "left")
+        rows = rows.fillna({"suffix_rate": self.rate, "suffix_share": 0.0})
         return VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows)
 
     def judge(self, df: DataFrame) -> DataFrame:
@@ -103,25 +102,28 @@ class UrlFilter:
         return out.withColumn("blocked_score", vector_to_array("probability")[1])
 
 
-def fit(labelled: DataFrame, label: str = "label", url: str = "url", most_suffixes: int = 50, rounds: int = 12, depth: int = 4) -> UrlFilter:
-    """Trees for `label` (1: block) from rows with host, path and lexical features.
+def fit(rows: DataFrame, label: str = "label", url: str = "url", rounds: int = 12, depth: int = 4) -> UrlFilter:
+    """Trees for `label` (1: block, null: not known) from rows with host, path and lexical features.
 
-    At most about SAMPLE_ROWS rows are used, drawn by a hash of the url. Suffix statistics are the smoothed
-    share of blocked urls and the share of all urls, for the most frequent suffixes (the last label of
-    the host); any other suffix gets the overall rate. With no rows, or one label alone, there are no
-    trees and every url gets that label's rate.
+    The trees are fitted on at most about SAMPLE_ROWS labelled rows, drawn by a hash of the url. Suffix
+    statistics are the smoothed share of blocked urls among all labelled ones and the share of all urls,
+    counted over all rows for every suffix (the last label of the host). With no labelled rows, or one
+    label alone, there are no trees and every url gets that label's rate.
     """
-    n, rate = labelled.agg(F.count(F.lit(1)), F.avg(label)).first()
+    labelled = rows.where(F.col(label).isNotNull())
+    total, n, rate = rows.agg(F.count(F.lit(1)), F.count(label), F.avg(label)).first()
     if not n:
-        return UrlFilter(None, {}, 0.0)
+        return UrlFilter(None, None, 0.0)
     if rate in (0.0, 1.0):
-        return UrlFilter(None, {}, float(rate))
+        return UrlFilter(None, None, float(rate))
     chance = min(1.0, SAMPLE_ROWS / n)
     sample = labelled.where(F.pmod(F.xxhash64(F.lit("url"), url), F.lit(1 << 30)) < int(chance * (1 << 30)))
-    rows = sample.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k"))
-    top = rows.orderBy(F.desc("n"), "suffix").limit(most_suffixes).collect()
-    total = sum(r["n"] for r in top) or 1
-    stats = {r["suffix"]: ((r["k"] + 10 * rate) / (r["n"] + 10), r["n"] / total) for r in top}
+    blocked = F.coalesce(F.sum(label), F.lit(0.0)) + 10 * rate
+    stats = rows.groupBy("suffix").agg(
+        (blocked / (F.count(label) + 10)).alias("suffix_rate"), (F.count(F.lit(1)) / total).alias("suffix_share")
+    )
+    # written, so that a join knows its size
+    stats = stored(stats, "suffixes")
     empty = UrlFilter(None, stats, float(rate))
     trees = GBTClassifier(
         labelCol=label, featuresCol="_features", maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=64, seed=5
@@ -146,8 +148,9 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     rest = keep_others(df, added + FEATURES + ["rule_verdict", "suffix", "_features", "rawPrediction", "probability", "prediction"])
     rows = df.select(*rest).withColumns(host_and_path(url)).withColumns(by_rules(rules))
     rows = lexical(rows, url)
-    known = rows.where(F.col("rule_verdict").isNotNull()).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
-    scored = fit(known, url=url).judge(rows)
+    # null where no rule fits
+    labels = rows.withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    scored = fit(labels, url=url).judge(rows)
     verdict = F.coalesce("rule_verdict", F.when(F.col("blocked_score") >= 0.5, "block").otherwise("allow"))
     return scored.withColumn("verdict", verdict).select(*rest, *added)
 

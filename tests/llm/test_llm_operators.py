@@ -208,6 +208,15 @@ def test_trees_learn_what_the_features_show(spark):
     assert np.mean([(r.blocked_score >= 0.5) == (r.label == 1.0) for r in test]) > 0.98
 
 
+def test_suffix_statistics_count_all_rows(spark):
+    names = [f"s{i}" for i in range(60)] + ["net"] * 140
+    rows = [(i, f"http://h.{s}/", float(i % 2) if i < 120 else None) for i, s in enumerate(names)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label double").withColumns(url_filter.host_and_path())
+    fitted = url_filter.fit(url_filter.lexical(df), rounds=1)
+    got = {r.suffix: (r.suffix_rate, r.suffix_share) for r in fitted.suffixes.collect()}
+    assert got["net"] == pytest.approx((0.5, 0.7)) and got["s59"] == pytest.approx((6 / 11, 1 / 200)) and len(got) == 61
+
+
 # nearest neighbours
 
 
