@@ -25,10 +25,6 @@ def _corpus(s, d):
     return C.extract(view(s, d, "programs"), *fields).drop("content")
 
 
-#: The test flows are chains of ten datasets and ten programs.
-HOPS = 40
-
-
 def _hubs(s, d):
     return L.hubs(*_graph(s, d)).select("node")
 
@@ -38,9 +34,9 @@ QUERIES = {
     "lineage_edges": lambda s, d: _graph(s, d)[1],
     "lineage_nodes_corpus": lambda s, d: L.lineage_nodes(_corpus(s, d)),
     "lineage_edges_corpus": lambda s, d: L.lineage_edges(_corpus(s, d)),
-    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _hubs(s, d), HOPS),
-    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _hubs(s, d), HOPS),
-    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _hubs(s, d), HOPS),
+    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _hubs(s, d)),
+    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _hubs(s, d)),
+    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _hubs(s, d)),
     "roots_leaves": lambda s, d: L.roots_leaves(*_graph(s, d)),
     "graph_stats": lambda s, d: L.graph_stats(*_graph(s, d)),
     "edge_type_counts": lambda s, d: L.edge_type_counts(L.lineage_edges(_corpus(s, d))),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +62,10 @@ def lineage_nodes(parsed: DataFrame) -> DataFrame:
     return merged.select("id", "type", F.col("first")["label"].alias("label"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
-    """(start, node, hops): what each start reaches along source -> target in at most `max_hops` steps.
+def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(start, node, hops): what each start reaches along source -> target, in at most `max_hops` steps if given.
+
+    Without max_hops it ends where nothing new is found; a bound that leaves paths unfollowed is warned of.
 
     Breadth first from the starts the caller names (column node). Each round joins only the
     pairs found in the round before, drops the pairs already known and writes the rest as one
@@ -73,29 +78,34 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     pairs = starts.select(F.col("node").alias("start"), "node").distinct()
     pairs.write.parquet(f"{path}/hop=0")
     known = lambda: spark.read.schema("start string, node string, hop int").parquet(path)
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         reached = (
             known().where(F.col("hop") == hop - 1).select("start", F.col("node").alias("source")).join(steps, "source")
             .select("start", F.col("target").alias("node")).distinct()
         )
-        reached.join(known().select("start", "node"), ["start", "node"], "left_anti").write.parquet(f"{path}/hop={hop}")
+        new = reached.join(known().select("start", "node"), ["start", "node"], "left_anti")
+        if max_hops is not None and hop > max_hops:
+            if not new.isEmpty():
+                warnings.warn(f"paths go on after max_hops={max_hops}; nodes beyond are left out", stacklevel=2)
+            break
+        new.write.parquet(f"{path}/hop={hop}")
         if known().where(F.col("hop") == hop).isEmpty():
             break
     return known().where("hop > 0").select("start", "node", F.col("hop").alias("hops"))
 
 
-def downstream(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
+def downstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Descendants of each start, the start itself left out."""
     return reachable(edges, starts, max_hops).where("node <> start")
 
 
-def upstream(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Ancestors of each start, the start itself left out."""
     turned = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     return downstream(turned, starts, max_hops)
 
 
-def lineage_closure(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
+def lineage_closure(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(start, node, direction, hops): all that the starts depend on and all that depends on them."""
     part = lambda df, name: df.select("start", "node", F.lit(name).alias("direction"), "hops")
     return part(upstream(edges, starts, max_hops), "upstream").unionByName(

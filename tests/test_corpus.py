@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlift.operators import corpus as C
@@ -103,6 +104,14 @@ def test_reachability_on_a_cycle_matches_a_walk(spark):
     assert got == want
 
 
+def test_reachability_has_no_bound_unless_given(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(44)], "source string, target string")
+    starts = spark.createDataFrame([("n0",)], "node string")
+    assert L.reachable(edges.where("source in ('n0', 'n1')"), starts).count() == 2
+    with pytest.warns(UserWarning, match="max_hops=1"):
+        assert L.reachable(edges, starts, 1).count() == 1
+
+
 def test_program_impact_counts(spark):
     parsed = spark.createDataFrame(
         [("p1", ["a"], ["b"]), ("p2", ["b"], ["c"]), ("p3", ["b"], ["a"])],
