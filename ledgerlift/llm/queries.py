@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlift.llm import ann, chat, fingerprints, langid, minhash, mixing, packing, sharding, substring, url_filter
+from ledgerlift.llm import (
+    ann, chat, exact, fingerprints, langid, lexical, minhash, mixing, negatives, packing, sharding, substring, url_filter,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_exact_dedup": exact.op11_exact_dedup,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
-ORACLE = {**chat.ORACLE, **mixing.ORACLE}
+ORACLE = {**chat.ORACLE, **mixing.ORACLE, **exact.ORACLE, **lexical.ORACLE, **negatives.ORACLE}

@@ -30,6 +30,10 @@ COLUMNS = {
     "op9_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op10_chat_formatting": {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint",
                              "loss_sha256": "string", "formatted_chars": "bigint"},
+    "op11_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op12_lexical_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op13_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint",
+                            "positive_score": "bigint", "negative_score": "bigint"},
 }
 
 
@@ -67,7 +71,7 @@ def test_every_query_has_a_contract():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_as_sql(out, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(queries.ORACLE[name])
     names = [d[0] for d in cur.description]
