@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ledgerlift.checks.common import msum, total
@@ -363,15 +361,19 @@ ORACLE = {
     "journal_life": with_views(IF, _journal(LIFE_SQL, LIFE, "DIRETO", 20)),
     "reserve_conciliation": with_views(IF, _conc(DIRECT_SQL, DIRECT)),
     "reserve_conciliation_accepted": with_views(IF, _conc(ACCEPTED_SQL, ACCEPTED)),
-    "conciliation": re.sub(r"\bAS \(", "AS MATERIALIZED (", with_views(IF, f"""WITH {DIRECT_SQL}{_entries(DIRECT)},
-      booked AS (SELECT segmento, centro_de_custo, conta_contabil,
-        CASE WHEN conta_contabil = '1131900000' THEN montante + 1 ELSE montante END AS montante FROM lines WHERE conta_contabil <> '2125190000')
-      SELECT coalesce(a.segmento, b.segmento) AS segmento, coalesce(a.centro_de_custo, b.centro_de_custo) AS centro_de_custo,
-        coalesce(a.conta_contabil, b.conta_contabil) AS conta_contabil, CAST(round(abs(a.total), 2) AS DOUBLE) AS esperado,
-        round(b.montante, 2) AS lancado,
-        CASE WHEN abs(coalesce(abs(a.total), 0) - coalesce(CAST(b.montante AS DECIMAL(18,6)), 0)) <= 0.01 THEN 'PASS' ELSE 'FAIL' END AS status
-      FROM long a FULL JOIN booked b ON a.segmento = b.segmento AND a.centro_de_custo = b.centro_de_custo
-        AND a.conta_contabil = b.conta_contabil""")),
+    "conciliation": with_views(IF, f"""WITH {DIRECT_SQL},
+      totals AS (SELECT segmento, centro_de_custo, {', '.join(f"{total(a)} AS {a}" for a in DIRECT)} FROM acc GROUP BY segmento, centro_de_custo),
+      long AS (SELECT segmento, centro_de_custo, unnest([{', '.join(f"'{a[1:]}'" for a in DIRECT)}]) AS conta_contabil,
+        unnest([{', '.join(DIRECT)}]) AS total FROM totals),
+      booked AS (SELECT segmento, centro_de_custo, conta_contabil, CAST(round(abs(total), 2) AS DOUBLE)
+          + CASE WHEN conta_contabil = '1131900000' THEN 1 ELSE 0 END AS montante
+        FROM long WHERE conta_contabil <> '2125190000' AND (total IS NULL OR total <> 0)),
+      sides AS (SELECT segmento, centro_de_custo, conta_contabil, abs(total) AS esperado, CAST(NULL AS DOUBLE) AS lancado FROM long
+        UNION ALL SELECT segmento, centro_de_custo, conta_contabil, NULL, montante FROM booked)
+      SELECT segmento, centro_de_custo, conta_contabil, CAST(round(max(esperado), 2) AS DOUBLE) AS esperado,
+        round(max(lancado), 2) AS lancado,
+        CASE WHEN abs(coalesce(max(esperado), 0) - coalesce(CAST(max(lancado) AS DECIMAL(18,6)), 0)) <= 0.01 THEN 'PASS' ELSE 'FAIL' END AS status
+      FROM sides GROUP BY segmento, centro_de_custo, conta_contabil"""),
     "analytic_base": with_views(IF, f"WITH {FACTOR_SQL} SELECT {ANALYTIC} FROM final"),
     "analytic_base_overdue": with_views(IF, f"WITH {FACTOR_SQL} SELECT {ANALYTIC} FROM final WHERE venc_vinc = 'Vencido'"),
     "currency_base": with_views(IF, f"""WITH {FACTOR_SQL} SELECT ano_mes, cod_tp_emissao, cod_moeda,
