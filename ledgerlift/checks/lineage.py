@@ -8,6 +8,7 @@ from ledgerlift.checks.corpus import READS, STEPS_LIST, MACROS, ex, srt, trim_al
 from ledgerlift.operators import corpus as C
 from ledgerlift.operators import lineage as L
 from ledgerlift.plans.views import view, with_views
+from ledgerlift.session import stored
 
 
 def _flows(s, d):
@@ -25,8 +26,9 @@ def _corpus(s, d):
     return C.extract(view(s, d, "programs"), *fields).drop("content")
 
 
-def _hubs(s, d):
-    return L.hubs(*_graph(s, d)).select("node")
+def _starts(s, d, end):
+    """One start for each connected flow."""
+    return stored(L.flow_ends(*_graph(s, d)).select(F.col(end).alias("node")), "starts")
 
 
 QUERIES = {
@@ -34,9 +36,9 @@ QUERIES = {
     "lineage_edges": lambda s, d: _graph(s, d)[1],
     "lineage_nodes_corpus": lambda s, d: L.lineage_nodes(_corpus(s, d)),
     "lineage_edges_corpus": lambda s, d: L.lineage_edges(_corpus(s, d)),
-    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _hubs(s, d)),
-    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _hubs(s, d)),
-    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _hubs(s, d)),
+    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _starts(s, d, "tail")),
+    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _starts(s, d, "head")),
+    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _starts(s, d, "flow")),
     "roots_leaves": lambda s, d: L.roots_leaves(*_graph(s, d)),
     "graph_stats": lambda s, d: L.graph_stats(*_graph(s, d)),
     "edge_type_counts": lambda s, d: L.edge_type_counts(L.lineage_edges(_corpus(s, d))),
@@ -44,6 +46,8 @@ QUERIES = {
     "leaf_outputs": lambda s, d: L.leaf_outputs(*_graph(s, d)),
     "degree": lambda s, d: L.degree(*_graph(s, d)),
     "hubs": lambda s, d: L.hubs(*_graph(s, d)),
+    "lineage_flows": lambda s, d: L.lineage_flows(*_graph(s, d)),
+    "flow_ends": lambda s, d: L.flow_ends(*_graph(s, d)),
 }
 
 EDGES = """e AS (SELECT DISTINCT * FROM (SELECT 'dataset:' || lower(ds_read) AS source, 'program:' || filename AS target, 'reads' AS relationship FROM lineage_input
@@ -70,16 +74,26 @@ HUBS = """SELECT node, count(*) AS degree FROM (SELECT source AS node FROM e UNI
   ORDER BY degree DESC, node LIMIT 20"""
 
 
-def _hops(*directions):
-    """Level by level from the hubs; the shortest way in a chain of ten datasets and ten programs is below forty steps."""
+#: Smallest node a node is connected with, by walking from the datasets (a flow without one is a lone node).
+FLOWS = """links AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
+met AS (SELECT DISTINCT a AS start, a AS node FROM links WHERE a LIKE 'dataset:%' UNION
+  SELECT met.start, links.b FROM met JOIN links ON links.a = met.node),
+flows AS (SELECT n.id AS node, coalesce(min(met.start), n.id) AS flow FROM n LEFT JOIN met ON met.node = n.id GROUP BY n.id)"""
+ENDS = """ends AS (SELECT flow, count(*) AS nodes,
+  coalesce(min(node) FILTER (node NOT IN (SELECT target FROM e)), min(node)) AS head,
+  coalesce(min(node) FILTER (node NOT IN (SELECT source FROM e)), min(node)) AS tail FROM flows GROUP BY flow)"""
+
+
+def _hops(end, *directions):
+    """Level by level from one node of each flow; the longest shortest way, down a chain of ten datasets and ten programs, is below forty steps."""
     walks, parts = [], []
     for name in directions:
         a, b = ("source", "target") if name == "downstream" else ("target", "source")
-        walks.append(f"""{name} AS (SELECT node AS start, node, 0 AS hops FROM st UNION
+        walks.append(f"""{name} AS (SELECT {end} AS start, {end} AS node, 0 AS hops FROM ends UNION
           SELECT w.start, e.{b}, w.hops + 1 FROM {name} w JOIN e ON e.{a} = w.node WHERE w.hops < 40)""")
         label = f"'{name}' AS direction, " if len(directions) > 1 else ""
         parts.append(f"SELECT start, node, {label}min(hops) AS hops FROM {name} WHERE node <> start GROUP BY start, node")
-    return q(f"WITH RECURSIVE {EDGES}, st AS ({HUBS}), {', '.join(walks)} {' UNION ALL '.join(parts)}")
+    return q(f"WITH RECURSIVE {EDGES}, {NODES}, {FLOWS}, {ENDS}, {', '.join(walks)} {' UNION ALL '.join(parts)}")
 
 
 ORACLE = {
@@ -91,9 +105,11 @@ ORACLE = {
     "lineage_edges_corpus": with_views("programs", f"""WITH {MENTIONS} SELECT DISTINCT
       CASE WHEN relationship IN ('reads', 'calls', 'includes') THEN id ELSE prog END AS source,
       CASE WHEN relationship IN ('reads', 'calls', 'includes') THEN prog ELSE id END AS target, relationship FROM g"""),
-    "upstream": _hops("upstream"),
-    "downstream": _hops("downstream"),
-    "lineage_closure": _hops("upstream", "downstream"),
+    "upstream": _hops("tail", "upstream"),
+    "downstream": _hops("head", "downstream"),
+    "lineage_closure": _hops("flow", "upstream", "downstream"),
+    "lineage_flows": q(f"WITH RECURSIVE {EDGES}, {NODES}, {FLOWS} SELECT * FROM flows"),
+    "flow_ends": q(f"WITH RECURSIVE {EDGES}, {NODES}, {FLOWS}, {ENDS} SELECT * FROM ends"),
     "hubs": q(f"WITH {EDGES} {HUBS}"),
     "roots_leaves": q(f"""WITH {EDGES}, {NODES} SELECT id, type, 'root' AS role FROM n WHERE id NOT IN (SELECT target FROM e)
       UNION ALL SELECT id, type, 'leaf' FROM n WHERE id NOT IN (SELECT source FROM e)"""),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -62,36 +63,48 @@ def lineage_nodes(parsed: DataFrame) -> DataFrame:
     return merged.select("id", "type", F.col("first")["label"].alias("label"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(start, node, hops): what each start reaches along source -> target, in at most `max_hops` steps if given.
-
-    Without max_hops it ends where nothing new is found; a bound that leaves paths unfollowed is warned of.
+def _walk(ways: dict[str, tuple[DataFrame, DataFrame]], max_hops: int | None) -> DataFrame:
+    """(way, start, node, hops): breadth first over the edges and from the starts of each way, all ways at once.
 
-    Breadth first from the starts the caller names (column node). Each round joins only the
-    pairs found in the round before, drops the pairs already known and writes the rest as one
-    more partition, hop=n, of a table in the shared folder: cycles end, the plan of a round does not
-    grow with the rounds before, and a lost executor costs at most one round.
+    Each round joins only the pairs found in the round before, drops the pairs already known and
+    writes the rest as one more partition, hop=n, of a table in the shared folder: cycles end, the plan of
+    a round does not grow with the rounds before, and a lost executor costs at most one round.
     """
-    spark = edges.sparkSession
-    steps = stored(edges.select("source", "target").distinct(), "steps")
+    tagged = [
+        (F.lit(way).alias("way"), edges.select("source", "target").distinct(), starts) for way, (edges, starts) in ways.items()
+    ]
+    steps = stored(reduce(DataFrame.unionByName, [e.select(w, "source", "target") for w, e, _ in tagged]), "steps")
+    first = [s.select(w, F.col("node").alias("start"), "node").distinct() for w, _, s in tagged]
+    spark = steps.sparkSession
     path = shared_dir(spark, "reached")
-    pairs = starts.select(F.col("node").alias("start"), "node").distinct()
-    pairs.write.parquet(f"{path}/hop=0")
-    known = lambda: spark.read.schema("start string, node string, hop int").parquet(path)
+    reduce(DataFrame.unionByName, first).write.parquet(f"{path}/hop=0")
+    known = lambda: spark.read.schema("way string, start string, node string, hop int").parquet(path)
     for hop in count(1):
         reached = (
-            known().where(F.col("hop") == hop - 1).select("start", F.col("node").alias("source")).join(steps, "source")
-            .select("start", F.col("target").alias("node")).distinct()
+            known().where(F.col("hop") == hop - 1).select("way", "start", F.col("node").alias("source"))
+            .join(steps, ["way", "source"]).select("way", "start", F.col("target").alias("node")).distinct()
         )
-        new = reached.join(known().select("start", "node"), ["start", "node"], "left_anti")
+        new = reached.join(known().select("way", "start", "node"), ["way", "start", "node"], "left_anti")
         if max_hops is not None and hop > max_hops:
             if not new.isEmpty():
-                warnings.warn(f"paths go on after max_hops={max_hops}; nodes beyond are left out", stacklevel=2)
+                warnings.warn(f"paths go on after max_hops={max_hops}; nodes beyond are left out", stacklevel=3)
             break
         new.write.parquet(f"{path}/hop={hop}")
         if known().where(F.col("hop") == hop).isEmpty():
             break
-    return known().where("hop > 0").select("start", "node", F.col("hop").alias("hops"))
+    return known().where("hop > 0").select("way", "start", "node", F.col("hop").alias("hops"))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(start, node, hops): what each start (column node) reaches along source -> target, in at most `max_hops` steps if given.
+
+    Without max_hops it ends where nothing new is found; a bound that leaves paths unfollowed is warned of.
+    """
+    return _walk({"on": (edges, starts)}, max_hops).drop("way")
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
 def downstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -101,16 +114,48 @@ def downstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None)
 
 def upstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Ancestors of each start, the start itself left out."""
-    turned = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return downstream(turned, starts, max_hops)
+    return downstream(_turned(edges), starts, max_hops)
 
 
 def lineage_closure(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(start, node, direction, hops): all that the starts depend on and all that depends on them."""
-    part = lambda df, name: df.select("start", "node", F.lit(name).alias("direction"), "hops")
-    return part(upstream(edges, starts, max_hops), "upstream").unionByName(
-        part(downstream(edges, starts, max_hops), "downstream")
-    )
+    """(start, node, direction, hops): all that the starts depend on and all that depends on them, in one walk."""
+    ways = {"upstream": (_turned(edges), starts), "downstream": (edges, starts)}
+    walked = _walk(ways, max_hops).where("node <> start")
+    return walked.select("start", "node", F.col("way").alias("direction"), "hops")
+
+
+def lineage_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, flow): the connected flow a node belongs to, named by its smallest node; a node without edges is its own.
+
+    Edges are rewired until every flow is a star around its smallest node: each node links its larger neighbours to
+    its smallest one, then its smaller neighbours and itself. Few rounds are needed (their number grows with the
+    logarithm of a flow's length), a round is two aggregations joined back to the pairs, and only the pairs of one
+    round are kept: a node with a third of all edges is met by partial aggregates, and its pairs may be split.
+    """
+    ends = edges.where("source <> target").select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b"))
+    pairs, seen = stored(ends.distinct(), "flow-pairs"), None
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        larger = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = larger.groupBy("a").agg(F.min("b").alias("m"))
+        smaller = larger.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = stored(smaller.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "flow-pairs")
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+    stars = pairs.select(F.col("a").alias("id"), F.col("b").alias("flow"))
+    return nodes.select("id").join(stars, "id", "left").select(F.col("id").alias("node"), F.coalesce("flow", "id").alias("flow"))
+
+
+def flow_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(flow, nodes, head, tail): a flow's size, its first root and first leaf; its smallest node where it has none (a cycle)."""
+    ends = lambda df, name: df.select(F.col("id").alias("node"), F.lit(True).alias(name))
+    flows = stored(lineage_flows(nodes, edges), "flows")
+    marked = flows.join(ends(roots(nodes, edges), "root"), "node", "left").join(ends(leaves(nodes, edges), "leaf"), "node", "left")
+    first = lambda flag: F.coalesce(F.min(F.when(F.col(flag), F.col("node"))), F.min("node"))
+    return marked.groupBy("flow").agg(F.count(F.lit(1)).alias("nodes"), first("root").alias("head"), first("leaf").alias("tail"))
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
