@@ -64,6 +64,7 @@ PATTERNS = {
     "infile_path": r"""(?Ui)INFILE\s+['"]([^;'"]+)""",
     "import_datafile": r"""(?Uis)PROC\s+IMPORT.*?DATAFILE\s*=\s*['"]?([^;'"]+)""",
     "formula": r"(?Udm)^\s*([A-Za-z_]\w*)\s*=\s*(.+?);\s*$",
+    "step": r"(?Uis)\bPROC\s+\w+\b.*?\b(?:RUN|QUIT)\s*;|\bDATA\s+[^;=\s][^;]*;.*?\bRUN\s*;|\bLIBNAME\s+\w+[^;]*;|%MACRO\s+\w+[^;]*;",
     "format_like": r"(?Ui)^(?:COMMAX|COMMA|DDMMYY|MMDDYY|YYMMDD|DATE|DATETIME|BEST|DOLLAR|PERCENT|\$?CHAR|Z|FORMAT|INFORMAT)",
 }
 # Macro names that belong to the language.
