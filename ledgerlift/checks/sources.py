@@ -12,6 +12,7 @@ from ledgerlift.functions.informats import put_commax, put_ddmmyy
 from ledgerlift.plans.views import view, with_views
 from ledgerlift.session import shared_dir
 from ledgerlift.sources import files as X
+from ledgerlift.sources import workbooks as W
 from ledgerlift.streaming.ingest import ingest, stream_then_reconcile
 
 c = F.col
@@ -57,6 +58,23 @@ def _zipped(s, d):
     return X.parse_lines(X.zip_members(_zip_rows(s, d), r".*\.txt"), LAYOUT)
 
 
+BOOK = [("id", "BEST12."), ("day", "DDMMYY10."), ("serial", "DATE9."), ("total", "COMMAX13."), ("price", "BEST12."), ("status", "$CHAR1."), ("note", "$CHAR3.")]
+
+
+def _books(s, d):
+    """Orders as workbooks of 500 rows: texts beside numbers, and days counted from the spreadsheet's day zero."""
+    texts = _texts(s, d).withColumn("id", c("id").cast("double"))
+    orders = view(s, d, "orders").select(
+        c("o_orderkey").cast("double").alias("id"), c("o_totalprice").alias("price"),
+        F.date_diff(c("o_orderdate").cast("date"), F.lit(W.DAY_ZERO[False]).cast("date")).alias("serial"))
+    rows = texts.join(orders, "id").select(*[name for name, _ in BOOK])
+    return W.workbooks(rows, "orders", "data", 500)
+
+
+def _workbooks(s, d):
+    return W.sheet_table(W.sheet_rows(_books(s, d), "data"), BOOK)
+
+
 def _program_files(s, d):
     """The corpus as file rows in three folders, one of them excluded and one too deep."""
     k = c("program_id")
@@ -130,6 +148,7 @@ QUERIES = {
     "read_dataset_meta": _meta,
     "read_delimited": _delimited,
     "read_zip_member": _zipped,
+    "read_workbooks": _workbooks,
     "copy_into": _copy_into,
     "overwrite_table": lambda s, d: X.overwrite_table(_orders(s, d), shared_dir(s, "table"), ["o_orderstatus"]),
     "export_csv": _export,
@@ -149,6 +168,9 @@ ORACLE = {
     "read_dataset_meta": with_views("columns_meta", "SELECT dataset_name, name, type, length, format, label FROM columns_meta"),
     "read_delimited": TYPED,
     "read_zip_member": TYPED,
+    "read_workbooks": """SELECT CAST(o_orderkey AS DOUBLE) AS id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
+      CAST(o_orderdate AS DATE) AS serial, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS total, o_totalprice AS price,
+      o_orderstatus AS status, rtrim(substr(o_orderpriority, 1, 3)) AS note FROM orders""",
     "copy_into": ORDERS,
     "overwrite_table": ORDERS,
     "export_csv": ORDERS,
