@@ -12,6 +12,7 @@ from ledgerlift.functions.informats import put_commax, put_ddmmyy
 from ledgerlift.plans.views import view, with_views
 from ledgerlift.session import shared_dir
 from ledgerlift.sources import files as X
+from ledgerlift.sources import transport as P
 from ledgerlift.sources import workbooks as W
 from ledgerlift.streaming.ingest import ingest, stream_then_reconcile
 
@@ -75,6 +76,28 @@ def _workbooks(s, d):
     return W.sheet_table(W.sheet_rows(_books(s, d), "data"), BOOK)
 
 
+def _transport(s, d):
+    """Orders as transport files: days and seconds by their formats, missing totals, texts cut to their widths."""
+    k = c("o_orderkey")
+    return view(s, d, "orders").select(
+        k.cast("double").alias("id"), c("o_orderdate").cast("date").alias("day"), c("o_orderdate").alias("at"),
+        F.when(k % 13 != 0, c("o_totalprice")).alias("total"), (-c("o_totalprice") / 3e9).alias("tiny"),
+        c("o_orderstatus").alias("status"), c("o_orderpriority").alias("prio"))
+
+
+def _transport_rows(s, d):
+    rows = _transport(s, d)
+    columns = [{"name": n, "type": "char" if t == "string" else "num", "format": {"day": "DATE9.", "at": "DATETIME20."}.get(n)} for n, t in rows.dtypes]
+    return P.member_table(P.member_rows(P.transport_of(rows, "ORDERS", widths={"status": 1, "prio": 3})), columns)
+
+
+def _transport_meta(s, d):
+    """Columns of the data sets in the files, and the rows of all files together."""
+    meta = P.member_meta(P.transport_of(_transport(s, d), "ORDERS", widths={"status": 1, "prio": 3}))
+    columns = meta.select("dataset_name", "row_count", F.inline("columns"))
+    return columns.groupBy("dataset_name", "position", "name", "type", "length", "format").agg(F.sum("row_count").alias("row_count"))
+
+
 def _program_files(s, d):
     """The corpus as file rows in three folders, one of them excluded and one too deep."""
     k = c("program_id")
@@ -149,6 +172,8 @@ QUERIES = {
     "read_delimited": _delimited,
     "read_zip_member": _zipped,
     "read_workbooks": _workbooks,
+    "read_transport": _transport_rows,
+    "read_transport_meta": _transport_meta,
     "copy_into": _copy_into,
     "overwrite_table": lambda s, d: X.overwrite_table(_orders(s, d), shared_dir(s, "table"), ["o_orderstatus"]),
     "export_csv": _export,
@@ -171,6 +196,13 @@ ORACLE = {
     "read_workbooks": """SELECT CAST(o_orderkey AS DOUBLE) AS id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
       CAST(o_orderdate AS DATE) AS serial, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS total, o_totalprice AS price,
       o_orderstatus AS status, rtrim(substr(o_orderpriority, 1, 3)) AS note FROM orders""",
+    "read_transport": """SELECT CAST(o_orderkey AS DOUBLE) AS id, CAST(o_orderdate AS DATE) AS day, o_orderdate AS at,
+      CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS total, -o_totalprice / 3e9 AS tiny, o_orderstatus AS status,
+      rtrim(substr(o_orderpriority, 1, 3)) AS prio FROM orders""",
+    "read_transport_meta": """SELECT 'ORDERS' AS dataset_name, CAST(position AS INTEGER) AS position, name, type, CAST(length AS INTEGER) AS length, format, k AS row_count
+      FROM (VALUES (0, 'ID', 'num', 8, ''), (1, 'DAY', 'num', 8, 'DATE9.'), (2, 'AT', 'num', 8, 'DATETIME20.'), (3, 'TOTAL', 'num', 8, ''),
+        (4, 'TINY', 'num', 8, ''), (5, 'STATUS', 'char', 1, ''), (6, 'PRIO', 'char', 3, '')) t(position, name, type, length, format),
+      (SELECT count(*) AS k FROM orders)""",
     "copy_into": ORDERS,
     "overwrite_table": ORDERS,
     "export_csv": ORDERS,
