@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ledgerlift.llm.common import table
 from ledgerlift.session import stored
 
-#: Cells of the smallest sketch, growth on failure, cells per digest, rounds of peeling before a retry, and cells
+#: Cells of the smallest sketch, growth on failure, cells per digest, passes of peeling before a retry, and cells
 #: per digest of two versions in the first try. Cells without a digest have no row, so a roomy sketch costs no more.
-CELLS, GROWTH, HASHES, ROUNDS, ROOM = 24, 4, 3, 4, 4
+CELLS, GROWTH, HASHES, PASSES, ROOM = 24, 4, 3, 6, 4
 #: Lines of more characters than this are cut: every line is.
 LONG_LINE = 0
 #: Words at a sentence's start that end no paragraph; of later ones one in RUN_WORDS does, told by its hash.
@@ -41,11 +41,12 @@ def paragraphs(text: Column) -> Column:
 
 
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, next_text, _block, _rn: every row beside the next by descending key, the last beside the first.
+    """key, text, digests, next_text, next_digests, _block, _rn: every row beside the next by descending key, the last beside the first.
 
     Rows are cut into blocks at quantiles of the key and sorted within; the first row of a block also goes
     to the end of the block above it (the very first to the end of the last), so no task sees more than its
-    block. Null keys come last; equal keys are in order of their texts' hashes.
+    block. Null keys come last; equal keys are in order of their texts' hashes. Digests are worked out once for
+    each row of a block, behind the shuffle, which carries texts only.
     """
     k = F.coalesce(F.col(key).cast("bigint"), F.lit(_LOWEST))
     keys = df.select(k.alias("k"))
@@ -69,11 +70,9 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
         "key", "text", "_k", F.inline(F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there)))
     )
     order = Window.partitionBy("_block").orderBy("guest", F.desc("_k"), F.xxhash64("text"), "text")
-    return (
-        rows.withColumns({"next_text": F.lead("text").over(order), "_rn": F.row_number().over(order)})
-        .where(~F.col("guest"))
-        .select("key", "text", "next_text", "_block", "_rn")
-    )
+    rows = rows.repartition("_block").withColumn("digests", paragraphs(F.col("text")))
+    after = {"next_text": F.lead("text").over(order), "next_digests": F.lead("digests").over(order), "_rn": F.row_number().over(order)}
+    return rows.withColumns(after).where(~F.col("guest")).select("key", "text", "digests", *after, "_block")
 
 
 def _check(key: Column, seed: int) -> Column:
@@ -88,13 +87,15 @@ def _places(key: Column, cells: Column, seed: int) -> list[Column]:
     ]
 
 
-def sketch(rows: DataFrame, by: list[str], cells: Column, seed: int = 0) -> DataFrame:
+def sketch(rows: DataFrame, by: list[str], cells: Column, seed: int = 0, sign: Column | None = None) -> DataFrame:
     """Cells (by, cell, n, k, c) of the digests in column `digests`: count, xor of digests, xor of checks.
 
-    `cells`, the size of a row's table, is made of columns in `by`. Cells without a digest have no row.
+    `cells`, the size of a row's table, is made of columns in `by`. Cells without a digest have no row. Rows of
+    `sign` -1 are taken away: the sketches of two versions, one less the other, in one aggregation.
     """
-    one = rows.select(*by, F.explode("digests").alias("d"))
-    entry = lambda place: F.struct(place.alias("cell"), F.lit(1).alias("n"), F.col("d").alias("k"), F.col("check").alias("c"))
+    sign = F.lit(1) if sign is None else sign
+    one = rows.select(*by, sign.alias("sign"), F.explode("digests").alias("d"))
+    entry = lambda place: F.struct(place.alias("cell"), F.col("sign").alias("n"), F.col("d").alias("k"), F.col("check").alias("c"))
     spread = one.withColumn("check", _check(F.col("d"), seed)).select(
         *by, F.inline(F.array(*[entry(p) for p in _places(F.col("d"), cells, seed)]))
     )
@@ -102,38 +103,34 @@ def sketch(rows: DataFrame, by: list[str], cells: Column, seed: int = 0) -> Data
 
 
 def _sum(cells: DataFrame, by: list[str]) -> DataFrame:
-    return cells.groupBy(*by).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    """Cells added up; those that come to nothing have no row."""
+    added = cells.groupBy(*by).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    return added.where("cell < 0 or n != 0 or k != 0 or c != 0")
 
 
-def peel(cells: DataFrame, by: list[str], size: Column, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+def peel(cells: DataFrame, by: list[str], size: Column, seed: int = 0, passes: int = PASSES) -> DataFrame:
     """(by, delta, failed) of subtracted sketches: the number of digests recovered, and whether cells remain.
 
-    A cell that holds one digest (count of 1 or -1 and a check that fits) gives it up; it is then taken out
-    of its other cells, which may free more. Every round is two aggregations over the rows at hand, all of
-    them within the partitions that `cells` has by `by`. Recovered digests ride along as cell -1.
+    A cell that holds one digest (count of 1 or -1, a check that fits, and this the digest's place) gives it up; it is then
+    taken out of its other cells, which may free more. A pass frees the cells of one third of the table, the
+    thirds in turn: a digest has one cell in each, so none is found twice in a pass, and a pass is one
+    aggregation over the cells that are left, within the partitions that `cells` has by `by`. Recovered digests are counted in cell -1.
     """
-    now = cells.withColumn("found", F.lit(None).cast("bigint"))
-    for _ in range(rounds):
-        key = F.col("k")
-        pure = (F.col("cell") >= 0) & (F.abs("n") == 1) & (F.col("c") == _check(key, seed))
-        row = lambda cell, n, k, c, found: F.struct(
-            cell.alias("cell"), n.alias("n"), k.alias("k"), c.alias("c"), found.alias("found"), F.lit(None).cast("bigint").alias("gone")
-        )
-        out = lambda cell: F.struct(
-            cell.alias("cell"), (-F.col("n")).alias("n"), key.alias("k"), F.col("c").alias("c"),
-            F.lit(None).cast("bigint").alias("found"), key.alias("gone"),
-        )
-        itself = row(F.col("cell"), F.col("n"), key, F.col("c"), F.col("found"))
-        won = row(F.lit(-1), F.col("n"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), key)
-        rows = F.when(pure, F.array(itself, won, *[out(p) for p in _places(key, size, seed)])).otherwise(F.array(itself))
-        spread = now.select(*by, F.inline(rows))
-        # a digest alone in two cells is found once and goes once
-        once = spread.groupBy(*by, "cell", "found", "gone").agg(
-            F.max("n").alias("n"), F.max("k").alias("k"), F.max("c").alias("c")
-        )
-        now = _sum(once, [*by, "cell", "found"]).where("cell < 0 or n != 0 or k != 0 or c != 0")
+    now, third = cells, (size / HASHES).cast("bigint")
+    for p in range(passes):
+        t, key = p % HASHES, F.col("k")
+        places = _places(key, size, seed)
+        pure = (F.col("cell") >= t * third) & (F.col("cell") < (t + 1) * third) & (F.abs("n") == 1)
+        pure = pure & (F.col("c") == _check(key, seed)) & (F.col("cell") == places[t])
+        row = lambda cell, n, k, c: F.struct(cell.alias("cell"), n.alias("n"), k.alias("k"), c.alias("c"))
+        none = F.lit(0).cast("bigint")
+        taken = [row(F.lit(-1), F.lit(1), none, none)]
+        taken += [row(place, -F.col("n"), key, F.col("c")) for h, place in enumerate(places) if h != t]
+        itself = row(F.col("cell"), F.col("n"), key, F.col("c"))
+        spread = now.select(*by, F.inline(F.when(pure, F.array(*taken)).otherwise(F.array(itself))))
+        now = _sum(spread, [*by, "cell"])
     return now.groupBy(*by).agg(
-        F.count(F.when(F.col("cell") < 0, 1)).alias("delta"), F.max(F.col("cell") >= 0).alias("failed")
+        F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("delta"), F.max(F.col("cell") >= 0).alias("failed")
     )
 
 
@@ -167,8 +164,7 @@ def differences(versions: DataFrame) -> DataFrame:
         )
         placed = todo.repartition(tasks, *_ROW)
         each = placed.select(*_ROW, F.inline(F.array(*[part(*s, v) for s in sides for v in s[1:3]]))).where("on")
-        cells = sketch(each, [*by, "sign"], F.col("size"), seed)
-        less = _sum(cells.withColumn("n", F.col("n") * F.col("sign")), [*by, "cell"]).where("n != 0 or k != 0 or c != 0")
+        less = sketch(each, by, F.col("size"), seed, F.col("sign"))
         got = stored(peel(less, by, F.col("size"), seed), "peeled")
         done.append(got.where("not failed").select(*_ROW, "pair", "delta"))
         again = got.where("failed")
@@ -207,21 +203,22 @@ def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     versions = docs.withColumn("edited", edited).select(
         F.col("key").alias("doc_id"), *_ROW, n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("b"), paragraphs(F.col("next_text")).alias("c"),
+        F.col("digests").alias("a"), paragraphs(F.col("edited")).alias("b"), F.col("next_digests").alias("c"),
     )
     versions = stored(versions, "versions")
     delta = differences(versions).groupBy(*_ROW).agg(
         F.max(F.when(F.col("pair") == 1, F.col("delta"))).alias("one"), F.max(F.when(F.col("pair") == 2, F.col("delta"))).alias("two")
     )
-    base = versions.repartition(*_ROW)
     part = lambda v: F.struct(F.lit(v).alias("v"), F.col(v).alias("digests"))
-    each = base.select(*_ROW, F.inline(F.array(part("a"), part("b"))))
+    each = versions.select(*_ROW, "a", "b").repartition(*_ROW).select(*_ROW, F.inline(F.array(part("a"), part("b"))))
     marks = written(sketch(each, [*_ROW, "v"], F.lit(CELLS)), [*_ROW, "v"])
     marks = marks.groupBy(*_ROW).agg(
         F.max(F.when(F.col("v") == "a", F.col("fingerprint"))).alias("fa"), F.max(F.when(F.col("v") == "b", F.col("fingerprint"))).alias("fb")
     )
     name = lambda c: F.concat_ws(" ", F.lit(f"iblt{CELLS}"), F.col(c))
-    size = lambda c: F.size(c)
+    sizes = [F.size(v).alias(f"n_{v}") for v in "abc"]
+    base = versions.select(*_ROW, "doc_id", "n_chars", "edited_sha256", *sizes)
+    size = lambda v: F.col(f"n_{v}")
     out = base.join(marks, _ROW, "left").join(delta, _ROW, "left")
     diff = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
