@@ -26,9 +26,10 @@ def _corpus(s, d):
     return C.extract(view(s, d, "programs"), *fields).drop("content")
 
 
-def _starts(s, d, end):
-    """One start for each connected flow."""
-    return stored(L.flow_ends(*_graph(s, d)).select(F.col(end).alias("node")), "starts")
+def _walk(s, d, end, walk):
+    """`walk` over the graph from one node of each connected flow: its head, its tail or the node that names it."""
+    nodes, edges = (stored(x, "graph") for x in _graph(s, d))
+    return walk(edges, stored(L.flow_ends(nodes, edges).select(F.col(end).alias("node")), "starts"))
 
 
 QUERIES = {
@@ -36,9 +37,9 @@ QUERIES = {
     "lineage_edges": lambda s, d: _graph(s, d)[1],
     "lineage_nodes_corpus": lambda s, d: L.lineage_nodes(_corpus(s, d)),
     "lineage_edges_corpus": lambda s, d: L.lineage_edges(_corpus(s, d)),
-    "upstream": lambda s, d: L.upstream(_graph(s, d)[1], _starts(s, d, "tail")),
-    "downstream": lambda s, d: L.downstream(_graph(s, d)[1], _starts(s, d, "head")),
-    "lineage_closure": lambda s, d: L.lineage_closure(_graph(s, d)[1], _starts(s, d, "flow")),
+    "upstream": lambda s, d: _walk(s, d, "tail", L.upstream),
+    "downstream": lambda s, d: _walk(s, d, "head", L.downstream),
+    "lineage_closure": lambda s, d: _walk(s, d, "flow", L.lineage_closure),
     "roots_leaves": lambda s, d: L.roots_leaves(*_graph(s, d)),
     "graph_stats": lambda s, d: L.graph_stats(*_graph(s, d)),
     "edge_type_counts": lambda s, d: L.edge_type_counts(L.lineage_edges(_corpus(s, d))),

@@ -128,23 +128,21 @@ def lineage_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, flow): the connected flow a node belongs to, named by its smallest node; a node without edges is its own.
 
     Edges are rewired until every flow is a star around its smallest node: each node links its larger neighbours to
-    its smallest one, then its smaller neighbours and itself. Few rounds are needed (their number grows with the
-    logarithm of a flow's length), a round is two aggregations joined back to the pairs, and only the pairs of one
-    round are kept: a node with a third of all edges is met by partial aggregates, and its pairs may be split.
+    its smallest one, then its smaller neighbours and itself, until no node has two links or stands between two others. Few
+    rounds are needed (their number grows with the logarithm of a flow's length), a round is two aggregations
+    joined back to the pairs: a node with a third of all edges is met by partial aggregates, and its pairs may be split.
     """
     ends = edges.where("source <> target").select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b"))
-    pairs, seen = stored(ends.distinct(), "flow-pairs"), None
-    while True:
+    pairs = stored(ends.distinct(), "flow-pairs")
+    inner = pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi")
+    while not inner.isEmpty() or pairs.groupBy("a").count().where("count > 1").limit(1).count():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        larger = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        larger = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "flow-pairs")
         least = larger.groupBy("a").agg(F.min("b").alias("m"))
         smaller = larger.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = stored(smaller.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "flow-pairs")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        inner = pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi")
     stars = pairs.select(F.col("a").alias("id"), F.col("b").alias("flow"))
     return nodes.select("id").join(stars, "id", "left").select(F.col("id").alias("node"), F.coalesce("flow", "id").alias("flow"))
 
