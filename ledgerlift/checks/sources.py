@@ -112,6 +112,21 @@ def _scan(s, d):
         "filename", "absolute_path", "relative_path", "size_bytes", "line_count", "encoding")
 
 
+def _data_files(s, d):
+    """A file for every described dataset, in the folder of its library; some lie in a backup folder or too deep."""
+    n = F.regexp_extract("dataset_name", r"(\d+)$", 1).cast("bigint")
+    library = F.when(n % 5 == 0, "raw").when(n % 7 == 0, "raw/backup").when(n % 11 == 0, "a/b/c/d").otherwise("dw")
+    kind = F.when(n % 3 == 0, ".xpt").otherwise(".sas7bdat")
+    return view(s, d, "datasets_meta").select(
+        F.concat(F.lit("file:/lib/"), library, F.lit("/"), "dataset_name", kind).alias("path"), (n * 10).alias("length"))
+
+
+def _log_files(s, d):
+    """A log for every program, where the program lies."""
+    return _program_files(s, d).select(
+        F.regexp_replace("path", r"\.sas$", ".log").alias("path"), (F.col("length") * 2).alias("length"), "modificationTime")
+
+
 def _meta(s, d):
     cols = view(s, d, "columns_meta").select("dataset_name", F.struct("position", "name", "type", "length", "format", "label").alias("c"))
     grouped = cols.groupBy("dataset_name").agg(F.array_sort(F.collect_list("c")).alias("columns"))
@@ -168,6 +183,8 @@ def _stream_reconcile(s, d):
 
 QUERIES = {
     "scan_programs": _scan,
+    "scan_datasets": lambda s, d: X.dataset_rows(_data_files(s, d), "/lib", ["backup"], max_depth=4),
+    "scan_logs": lambda s, d: X.log_rows(_log_files(s, d), "/code", ["backup", "old_*"], max_depth=3).drop("last_modified"),
     "read_dataset_meta": _meta,
     "read_delimited": _delimited,
     "read_zip_member": _zipped,
@@ -190,6 +207,13 @@ ORACLE = {
     "scan_programs": with_views("programs", """SELECT filename, 'file:/code/' || rel AS absolute_path, rel AS relative_path, size_bytes, line_count, 'utf-8' AS encoding
       FROM (SELECT filename, 'etl/' || filename AS rel, strlen(content) AS size_bytes,
         length(content) - length(replace(content, chr(10), '')) AS line_count FROM programs WHERE program_id % 10 > 1)"""),
+    "scan_datasets": with_views("datasets_meta", """WITH f AS (SELECT dataset_name, CAST(regexp_extract(dataset_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM datasets_meta),
+      g AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'raw' WHEN n % 7 = 0 THEN 'raw/backup' WHEN n % 11 = 0 THEN 'a/b/c/d' ELSE 'dw' END AS lib,
+        CASE WHEN n % 3 = 0 THEN 'xpt' ELSE 'sas7bdat' END AS file_type FROM f)
+      SELECT dataset_name || '.' || file_type AS filename, dataset_name, 'file:/lib/' || lib || '/' || dataset_name || '.' || file_type AS absolute_path,
+        lib AS inferred_library, file_type, n * 10 AS size_bytes FROM g WHERE lib IN ('raw', 'dw')"""),
+    "scan_logs": with_views("programs", """SELECT replace(filename, '.sas', '.log') AS filename, 'file:/code/etl/' || replace(filename, '.sas', '.log') AS absolute_path,
+      2 * strlen(content) AS size_bytes FROM programs WHERE program_id % 10 > 1"""),
     "read_dataset_meta": with_views("columns_meta", "SELECT dataset_name, name, type, length, format, label FROM columns_meta"),
     "read_delimited": TYPED,
     "read_zip_member": TYPED,

@@ -111,6 +111,69 @@ def check_exists(spark: SparkSession, table: str) -> DataFrame:
     )
 
 
+# --- whole libraries at once, from their metadata ------------------------------------------------
+
+
+def check_schemas(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Columns of every dataset of two libraries, given as rows (dataset_name, name, type): counts, and what is missing, extra or of another type.
+
+    Names are compared without case. A dataset that one side lacks has a count of 0 there. One join of the
+    column tables answers all datasets; nothing is looped over.
+    """
+    side = lambda df, mark: df.select(F.col("dataset_name").alias("dataset"), F.lower("name").alias("key"), F.col("name").alias(f"{mark}_name"),
+                                      F.col("type").alias(f"{mark}_type"))
+    both = side(expected, "want").join(side(actual, "have"), ["dataset", "key"], "full")
+    missing, extra = F.col("have_name").isNull(), F.col("want_name").isNull()
+    other = ~missing & ~extra & ~F.col("want_type").eqNullSafe(F.col("have_type"))
+    number = lambda present: present.cast("int").cast("double")
+    found = both.where(missing | extra | other).select(
+        "dataset", F.when(missing, "schema_missing").when(extra, "schema_extra").otherwise("schema_type").alias("check"),
+        F.coalesce("want_name", "have_name").alias("column"), number(~extra).alias("expected"), number(~missing).alias("actual"),
+        F.lit("FAIL").alias("status"),
+    )
+    counted = both.groupBy("dataset").agg(F.count("want_name").cast("double").alias("expected"), F.count("have_name").cast("double").alias("actual"))
+    counts = counted.select(
+        "dataset", F.lit("schema").alias("check"), F.lit("").alias("column"), "expected", "actual",
+        _verdict(F.col("expected") == F.col("actual")).alias("status"),
+    )
+    return counts.unionByName(found)
+
+
+def check_row_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Row counts of every dataset of the first library, both given as (dataset_name, row_count), against the second.
+
+    An unknown expected count (null or negative) gives status UNKNOWN; a dataset the second lacks fails.
+    """
+    want = expected.select(F.col("dataset_name").alias("dataset"), F.col("row_count").cast("double").alias("expected"))
+    have = actual.select(F.col("dataset_name").alias("dataset"), F.col("row_count").cast("double").alias("actual"))
+    known = F.coalesce(F.col("expected") >= 0, F.lit(False))
+    return want.join(have, "dataset", "left").select(
+        "dataset", F.lit("row_count").alias("check"), F.lit("").alias("column"), F.when(known, F.col("expected")).alias("expected"), "actual",
+        F.when(~known, "UNKNOWN").otherwise(_verdict(F.col("expected").eqNullSafe(F.col("actual")))).alias("status"),
+    )
+
+
+def check_tables(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row for every dataset_name of the first library: PASS if the second has it, else WARNING."""
+    there = actual.select(F.col("dataset_name").alias("dataset"), F.lit(1.0).alias("_there")).distinct()
+    found = F.coalesce("_there", F.lit(0.0))
+    return expected.select(F.col("dataset_name").alias("dataset")).distinct().join(there, "dataset", "left").select(
+        "dataset", F.lit("exists").alias("check"), F.lit("").alias("column"), F.lit(1.0).alias("expected"), found.alias("actual"),
+        F.when(found == 1.0, "PASS").otherwise("WARNING").alias("status"),
+    )
+
+
+def reconcile_library(
+    datasets: DataFrame, columns: DataFrame, loaded_datasets: DataFrame, loaded_columns: DataFrame
+) -> DataFrame:
+    """Existence, row counts and columns of a whole library against what was loaded, from the metadata of both."""
+    return (
+        check_tables(datasets, loaded_datasets)
+        .unionByName(check_row_counts(datasets, loaded_datasets))
+        .unionByName(check_schemas(columns, loaded_columns))
+    )
+
+
 def reconcile(source: DataFrame, target: DataFrame, name: str) -> DataFrame:
     """Every check of one pair of tables as one result."""
     checks = [

@@ -108,16 +108,18 @@ def scan_dataset_files(spark: SparkSession, paths: list[str], exclude: list[str]
     )
 
 
+def log_rows(files: DataFrame, base: str, exclude: list[str] = (), max_depth: int | None = None) -> DataFrame:
+    """Log inventory from rows (path, length, modificationTime); contents are never read."""
+    return files.where(keep_path(F.col("path"), base, list(exclude), max_depth)).select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("absolute_path"),
+        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"))
+
+
 def scan_logs(spark: SparkSession, paths: list[str], exclude: list[str] = (), max_depth: int | None = None,
               extension: str = "log") -> DataFrame:
     """Log inventory; excluded folders are left out."""
-    def rows(p: str) -> DataFrame:
-        files = _files(spark, p, extension).select("path", "length", "modificationTime")
-        return files.where(keep_path(F.col("path"), p, list(exclude), max_depth)).select(
-            F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("absolute_path"),
-            F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"))
-
-    return _each(paths, rows)
+    read = lambda p: _files(spark, p, extension).select("path", "length", "modificationTime")
+    return _each(paths, lambda p: log_rows(read(p), p, exclude, max_depth))
 
 
 # --- metadata sidecars ----------------------------------------------------------------------

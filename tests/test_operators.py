@@ -123,3 +123,25 @@ def test_sketched_quantiles_are_within_their_error(spark):
     for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
         place = sum(v <= got[name] for v in exact) / len(exact)
         assert abs(place - p) <= 0.01
+
+
+def test_library_checks_name_what_differs(spark):
+    from ledgerlift.operators import reconcile as V
+
+    cols = "dataset_name string, name string, type string"
+    want = spark.createDataFrame([("t", "A", "num"), ("t", "b", "char"), ("t", "c", None), ("gone", "x", "num")], cols)
+    have = spark.createDataFrame([("t", "a", "num"), ("t", "B", "num"), ("t", "c", None), ("t", "d", "num"), ("new", "x", "num")], cols)
+    got = {tuple(r) for r in V.check_schemas(want, have).collect()}
+    assert got == {
+        ("t", "schema", "", 3.0, 4.0, "FAIL"), ("gone", "schema", "", 1.0, 0.0, "FAIL"), ("new", "schema", "", 0.0, 1.0, "FAIL"),
+        ("t", "schema_type", "b", 1.0, 1.0, "FAIL"), ("t", "schema_extra", "d", 0.0, 1.0, "FAIL"), ("gone", "schema_missing", "x", 1.0, 0.0, "FAIL"),
+        ("new", "schema_extra", "x", 0.0, 1.0, "FAIL"),
+    }
+    counts = "dataset_name string, row_count long"
+    known = spark.createDataFrame([("t", 5), ("u", 5), ("v", -1), ("w", None), ("gone", 1)], counts)
+    loaded = spark.createDataFrame([("t", 5), ("u", 4), ("v", 7), ("w", 8)], counts)
+    assert {(r.dataset, r.expected, r.actual, r.status) for r in V.check_row_counts(known, loaded).collect()} == {
+        ("t", 5.0, 5.0, "PASS"), ("u", 5.0, 4.0, "FAIL"), ("v", None, 7.0, "UNKNOWN"), ("w", None, 8.0, "UNKNOWN"), ("gone", 1.0, None, "FAIL")}
+    assert {(r.dataset, r.status) for r in V.check_tables(known, loaded).collect()} == {
+        ("t", "PASS"), ("u", "PASS"), ("v", "PASS"), ("w", "PASS"), ("gone", "WARNING")}
+    assert V.reconcile_library(known, want, loaded, have).count() == 17
