@@ -21,6 +21,13 @@ def uniform(key: Column, seed: str = "mix") -> Column:
     return (whole + 0.5) / float(16**_DIGITS)
 
 
+def _worth(worth: str | None) -> Column:
+    if worth is None:
+        return F.lit(1.0)
+    value = F.col(worth).cast("double")
+    return F.when((value > 0) & (value < float("inf")), value).otherwise(F.lit(0.0))
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """`sources` (source, source_size, weight) with `target`: shares of all sizes by weight.
 
@@ -45,7 +52,33 @@ def targets(sources: DataFrame) -> DataFrame:
     )
 
 
-def mixture(df: DataFrame, weights=(1, 2, 3), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def scales(drawn: DataFrame) -> DataFrame:
+    """(source, scale): what a document's worth is multiplied by to be its chance of one more copy.
+
+    `drawn` holds source, size, worth (above 0) and rest, the words its source still takes. A chance stops at 1: such
+    documents are certain, their words are taken off, and the others' chances grow until no further one is certain. Each round is
+    one aggregate per source. Where all of a source are certain, the scale is that of the last round.
+    """
+    drawn = stored(drawn, "drawn")
+    scale, sure = drawn.select("source").distinct().withColumn("scale", F.lit(0.0)), -1
+    while True:
+        known = drawn.join(scale.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        full = F.col("worth") * F.col("scale") >= 1
+        found = stored(known.groupBy("source").agg(
+            F.max("rest").alias("rest"), F.max("scale").alias("before"), F.count(F.when(full, 1)).alias("sure"),
+            F.sum(F.when(full, F.col("size")).otherwise(0)).alias("fixed"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("size") * F.col("worth"))).alias("open"),
+        ), "scales")
+        now = found.agg(F.sum("sure")).first()[0] or 0
+        if now == sure:
+            return scale
+        grown = F.greatest((F.col("rest") - F.col("fixed")) / F.nullif(F.col("open"), F.lit(0.0)), F.col("before"))
+        scale, sure = found.select("source", F.coalesce(grown, "before").alias("scale")), now
+
+
+def mixture(
+    df: DataFrame, weights=(1, 2, 3), key: str = "doc_id", text: str = "text", source: str = "source", worth: str | None = None
+) -> DataFrame:
     """All rows of `df` with size (words), source_size, target (of the source, in words), taken and copies.
 
     Sources take `weights` in turn, by code point, null last, and share the words of all documents. A
@@ -54,6 +87,11 @@ def mixture(df: DataFrame, weights=(1, 2, 3), key: str = "doc_id", text: str = "
     of their chance, u a hash of the key, and the first ones are taken until their words are nearest to what
     the certain copies leave open. So a source's words miss its target by half a document at most.
 
+    Without `worth`, chances are equal within a source. With it, a column of numbers, the chance of one more copy is in
+    proportion to a document's worth: those whose chance would be above 1 get the copy for certain, the others
+    are drawn by their own odds. Null, negative and non-finite worths are 0 and get no copy beyond the whole ones; a source whose
+    documents of worth hold fewer words than are open takes each once more and stays below its target.
+
     The ranks are summed over range blocks (key, rank), so a source that holds a third of all rows is
     spread; what is joined back to the documents is one row per source. Rows without text or words have size
     0 and take nothing. A null source is a source, null keys draw like an empty key, repeated rows are drawn
@@ -68,8 +106,9 @@ def mixture(df: DataFrame, weights=(1, 2, 3), key: str = "doc_id", text: str = "
         word_count(F.col(text)).alias("size"),
         (u / (1 - u)).alias("_odds"),
         F.xxhash64(key, text).alias("_tie"),
+        _worth(worth).alias("_worth"),
     )
-    light = stored(tied.select(F.col(source).alias("source"), "size", "_odds", "_tie"), "sizes")
+    light = stored(tied.select(F.col(source).alias("source"), "size", "_odds", "_tie", "_worth"), "sizes")
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = row_numbers(sizes.withColumn("_last", F.col("source").isNull()), [], ["_last", "source"], "_no")
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("_no") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -79,12 +118,19 @@ def mixture(df: DataFrame, weights=(1, 2, 3), key: str = "doc_id", text: str = "
         "source", "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(expected)).otherwise(0).cast("bigint").alias("_whole"),
     ).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    chance = F.try_divide("_rest", "source_size")
-    odds = F.try_divide(F.col("_odds"), F.try_divide(chance, 1 - chance))
+    sourced = lambda plan: light.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    if worth is None:
+        chance = F.try_divide("_rest", "source_size")
+        odds = F.try_divide(F.col("_odds"), F.try_divide(chance, 1 - chance))
+    else:
+        open_ = sourced(plan).where("_rest > 0 and size > 0 and _worth > 0")
+        scale = scales(open_.select("source", "size", F.col("_worth").alias("worth"), F.col("_rest").alias("rest")))
+        plan = plan.join(scale.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        chance = F.coalesce(F.least(F.col("_worth") * F.col("scale"), F.lit(1.0)), F.lit(0.0))
+        odds = F.when(chance > 0, F.col("_odds") * (1 - chance) / chance)  # the certain ones come first
     rank = F.struct(odds.alias("q"), F.col("_tie").alias("tie"))
 
-    drawn = light.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.where("_rest > 0 and size > 0").select(
+    drawn = sourced(plan).where(F.expr("_rest > 0 and size > 0") & odds.isNotNull()).select(
         "source", "size", "_rest", odds.alias("_q"), "_tie"
     )
     summed = running_total(drawn, ["source"], ["_q", "_tie"], "size", "_upto")
@@ -94,7 +140,7 @@ def mixture(df: DataFrame, weights=(1, 2, 3), key: str = "doc_id", text: str = "
     plan = stored(
         plan.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mixture-plan"
     ).withColumnRenamed("source", "_source")
-    more = (F.col("_rest") > 0) & (F.col("size") > 0) & F.coalesce(rank <= F.col("_cut"), F.lit(False))
+    more = (F.col("_rest") > 0) & (F.col("size") > 0) & odds.isNotNull() & F.coalesce(rank <= F.col("_cut"), F.lit(False))
     copies = F.col("_whole") + more.cast("bigint")
     return (
         tied.join(plan, F.col(source).eqNullSafe(F.col("_source")))

@@ -330,6 +330,28 @@ def test_mixture_keeps_its_targets(docs, nothing):
     assert mixing.mixture(nothing).count() == 0
 
 
+def test_mixture_draws_by_worth(spark):
+    rng = np.random.default_rng(12)
+    worths = [1.0, 2.0, 4.0, 400.0, 0.0, -3.0, float("nan"), None]
+    rows = [(i, "w " * int(rng.integers(1, 6)), None, "big" if i % 3 else "small", None) for i in range(6000)]
+    df = cases.frame(spark, rows).withColumn("worth", F.element_at(F.array(*map(F.lit, worths)), (F.col("doc_id") % 8 + 1).cast("int")))
+    got = mixing.mixture(df, weights=(1, 3), worth="worth").collect()
+    assert len(got) == len(rows) and all(r.taken == r.size * r.copies for r in got)
+    for name in ("big", "small"):
+        part = [r for r in got if r.source == name]
+        target, size = part[0].target, part[0].source_size
+        whole = int(target / size)
+        assert abs(sum(r.taken for r in part) - target) <= 2.5
+        extra = {k: np.mean([r.copies - whole for r in part if r.doc_id % 8 == k]) for k in range(8)}
+        # hundreds of the smallest worth: certain; the others in proportion to theirs; without worth nothing more
+        assert extra[3] == 1 and [extra[k] for k in (4, 5, 6, 7)] == [0] * 4
+        assert extra[1] == pytest.approx(2 * extra[0], rel=0.35)
+        assert extra[2] == (1 if name == "big" else pytest.approx(4 * extra[0], rel=0.35))
+    few = cases.frame(spark, [(i, "one two", None, "s", None) for i in range(10)]).withColumn("worth", F.when(F.col("doc_id") < 2, 1.0))
+    assert sum(r.taken for r in mixing.mixture(few, worth="worth").collect()) == 20  # the whole copies meet the target
+    assert mixing.mixture(cases.frame(spark, []).withColumn("worth", F.lit(1.0)), worth="worth").count() == 0
+
+
 def test_targets_share_the_excess(spark):
     sources = spark.createDataFrame([("a", 10, 1), ("b", 1, 2), ("c", 100, 3), ("d", 2, 1), (None, 0, 2)], "source string, source_size long, weight int")
     got = {r.source: r.target for r in mixing.targets(sources).collect()}
