@@ -98,10 +98,7 @@ def _result(statement: Column | None, status: Column | str, note: Column | str |
 def _whole(statement: Column, lacking: str) -> Column:
     """Converted where every operand was found, otherwise left for review."""
     found = statement.isNotNull()
-    return F.array(F.struct(
-        statement.alias("statement"), F.when(found, CONVERTED).otherwise(REVIEW).alias("status"),
-        F.when(~found, lacking).alias("note"),
-    ))
+    return F.array(_result(statement, F.when(found, CONVERTED).otherwise(REVIEW), F.when(~found, lacking)))
 
 
 def _sort(step: Column, create: str, libraries: dict[str, str]) -> Column:
@@ -145,15 +142,12 @@ def _statistics(step: Column, libraries: dict[str, str], quartiles: bool) -> Col
     variables = _list(_one(step, r"(?is);\s*VAR\s+([^;/]+)"))
     functions = [("n", "count({0})"), ("mean", "avg({0})"), ("std", "stddev({0})"), ("min", "min({0})"), ("max", "max({0})")]
     if quartiles:
-        at = "percentile_cont({1}) WITHIN GROUP (ORDER BY {{0}})"
-        functions += [(name, at.replace("{1}", p).replace("{{0}}", "{0}")) for name, p in (("p25", "0.25"), ("median", "0.5"), ("p75", "0.75"))]
+        shares = (("p25", "0.25"), ("median", "0.5"), ("p75", "0.75"))
+        functions += [(name, f"percentile_cont({p}) WITHIN GROUP (ORDER BY {{0}})") for name, p in shares]
 
     def of(v: Column) -> Column:
-        parts = []
-        for name, f in functions:
-            before, after = f.split("{0}")
-            parts += [_lit(before, v, after, " AS ", v, f"_{name}")]
-        return F.concat_ws(", ", *parts)
+        ends = [(name, *f.split("{0}")) for name, f in functions]
+        return F.concat_ws(", ", *[_lit(before, v, after, " AS ", v, f"_{name}") for name, before, after in ends])
 
     grouped = F.when(classes == "", "").otherwise(_lit(" GROUP BY ", classes, " ORDER BY ", classes))
     led = F.when(classes == "", "").otherwise(F.concat(classes, F.lit(", ")))
@@ -206,12 +200,11 @@ def _files(step: Column, create: str, libraries: dict[str, str], export: bool) -
         out = _named(_one(step, r"(?i)\bOUT\s*=\s*([\w.]+)"), libraries)
         text = _lit(create, out, " USING csv OPTIONS ('path' '", path, "', 'header' 'true', 'sep' '", separator, "')")
     readable = dbms.isin(*DELIMITED)
-    other = F.array(F.struct(F.lit(None).cast("string").alias("statement"), F.lit(GAP).alias("status"),
-                             _lit("files of kind ", F.coalesce(dbms, F.lit("unknown")), " need another reader").alias("note")))
+    other = F.array(_result(None, GAP, _lit("files of kind ", F.coalesce(dbms, F.lit("unknown")), " need another reader")))
     return F.when(F.coalesce(readable, F.lit(False)), _whole(text, "path or data set not named")).otherwise(other)
 
 
-# Statements of a step that its SELECT carries.
+#: Statements of a DATA step that its SELECT carries.
 CARRIED = r"(?is)\b(?:SET|MERGE|BY|WHERE|KEEP|DROP)\b[^;]*;|\bIF\s+(?:NOT\s+)?\w+(?:\s+AND\s+\w+)*\s*;|\bRUN\s*;"
 
 

@@ -174,7 +174,11 @@ def member_rows(files: DataFrame, dataset: str = r".*") -> DataFrame:
 def _typed(value: Column, fmt: str) -> Column:
     """A number by its display format: days or seconds since 1960, else as it is."""
     form = _FORMAT.fullmatch(fmt.strip())
-    kind, plain = form[1].lower() if form else "", lambda names: {n.rstrip("0123456789") for n in names}
+    kind = form[1].lower() if form else ""
+
+    def plain(names: list[str]) -> set[str]:
+        return {n.rstrip("0123456789") for n in names}
+
     if kind in plain(DATETIME_FORMATS):
         return F.lit(f"{DAY_ZERO} 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=value.cast("decimal(18,6)"))
     if kind in plain(DATE_FORMATS):
@@ -241,8 +245,10 @@ def transport_of(df: DataFrame, dataset: str, formats: dict[str, str] | None = N
         if len(name) > 8:
             raise ValueError(f"{name} is longer than 8 letters")
         number = kind in ("double", "float", "bigint", "int", "smallint", "tinyint", "date", "timestamp_ntz") or kind.startswith("decimal")
-        value, fmt = F.col(name).cast("double") if number and kind not in ("date", "timestamp_ntz") else F.col(name).cast("string"), formats.get(name, "")
-        if kind == "date":
+        value, fmt = F.col(name).cast("string"), formats.get(name, "")
+        if number and kind not in ("date", "timestamp_ntz"):
+            value = F.col(name).cast("double")
+        elif kind == "date":
             value, fmt = F.date_diff(F.col(name), F.lit(DAY_ZERO).cast("date")).cast("double"), fmt or "DATE9."
         elif kind == "timestamp_ntz":
             days = F.date_diff(F.col(name).cast("date"), F.lit(DAY_ZERO).cast("date"))

@@ -13,6 +13,8 @@ NAMES = [
     "aging_summary", "reserve_drag", "reserve_status", "journal", "freq_crosstab", "means_class", "univariate",
     "merge_by_full", "merge_by_many", "first_last", "fact_policies", "x_step_scopes", "complexity", "findings",
     "conciliation", "apply_schema_warehouse", "lineage_closure", "program_impact", "catalog_summary", "reconcile", "read_zip_member", "copy_into",
+    "convert_steps", "converted_programs", "create_statements_lakehouse", "check_statements_warehouse", "load_statements_lakehouse_recurring",
+    "check_schema", "reconcile_library", "read_workbooks", "read_transport", "scan_datasets", "scan_logs", "flow_ends",
 ]
 
 
