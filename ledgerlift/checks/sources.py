@@ -69,7 +69,9 @@ def _books(s, d):
         c("o_orderkey").cast("double").alias("id"), c("o_totalprice").alias("price"),
         F.date_diff(c("o_orderdate").cast("date"), F.lit(W.DAY_ZERO[False]).cast("date")).alias("serial"))
     rows = texts.join(orders, "id").select(*[name for name, _ in BOOK])
-    return W.workbooks(rows, "orders", "data", 500)
+    # writing and parsing sheets is far dearer than the rows are large: deal them out whatever their bytes
+    dealt = rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "id")
+    return W.workbooks(dealt, "orders", "data", 500)
 
 
 def _workbooks(s, d):

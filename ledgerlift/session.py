@@ -21,8 +21,6 @@ def local_session(app: str = "ledgerlift", cores: str = "8", memory: str = "12g"
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        # the JVM compiles no method of more bytes than this: wide steps run operator by operator instead of interpreted
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
