@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.corpus import unnest
-from ledgerlift.session import shared_dir, stored
+from ledgerlift.session import bucket_table, bucketed, buckets, stored
 
 # The facts of a program that become edges, in the order nodes are first seen:
 # fact, node type, relationship, whether the fact is the edge's source.
@@ -63,36 +63,58 @@ def lineage_nodes(parsed: DataFrame) -> DataFrame:
     return merged.select("id", "type", F.col("first")["label"].alias("label"))
 
 
+def _key(seed: int, way: str, name: str) -> Column:
+    """A number for the name of a node on a way; none for no name."""
+    return F.when(F.col(name).isNotNull(), F.xxhash64(F.lit(seed), F.lit(way), F.col(name)))
+
+
+def _keyed(*named: tuple[str, DataFrame, str]) -> tuple[int, DataFrame]:
+    """(seed, names): the first seed by which `_key` tells all names apart, and (key, way, id) of each.
+
+    Names come as (way, table, column). Two names of one number are looked for, not hoped against.
+    """
+    ids = [df.select(F.lit(way).alias("way"), F.col(c).alias("id")) for way, df, c in named]
+    names = stored(reduce(DataFrame.unionByName, ids).where("id is not null").distinct(), "names")
+    ways = sorted({way for way, _, _ in named})
+    for seed in count(1):
+        key = reduce(lambda other, w: F.when(F.col("way") == w, _key(seed, w, "id")).otherwise(other), ways, F.lit(None).cast("bigint"))
+        keyed = names.select(key.alias("key"), "way", "id")
+        if keyed.groupBy("key").count().where("count > 1").isEmpty():
+            return seed, keyed
+
+
 def _walk(ways: dict[str, tuple[DataFrame, DataFrame]], max_hops: int | None) -> DataFrame:
     """(way, start, node, hops): breadth first over the edges and from the starts of each way, all ways at once.
 
-    Each round joins only the pairs found in the round before, drops the pairs already known and
-    writes the rest as one more partition, hop=n, of a table in the shared folder: cycles end, the plan of
-    a round does not grow with the rounds before, and a lost executor costs at most one round.
+    Nodes are numbers on the way. Each round joins only the pairs found in the round before with the steps, which lie in
+    buckets by their source, drops the pairs already known, which lie in buckets by the pair, and adds the rest to
+    them: only the pairs of a round and what they reach are shuffled, neither the steps nor what is known. Cycles
+    end, the plan of a round does not grow with the rounds before, and a lost executor costs at most one round.
     """
-    tagged = [
-        (F.lit(way).alias("way"), edges.select("source", "target").distinct(), starts) for way, (edges, starts) in ways.items()
-    ]
-    steps = stored(reduce(DataFrame.unionByName, [e.select(w, "source", "target") for w, e, _ in tagged]), "steps")
-    first = [s.select(w, F.col("node").alias("start"), "node").distinct() for w, _, s in tagged]
-    spark = steps.sparkSession
-    path = shared_dir(spark, "reached")
-    reduce(DataFrame.unionByName, first).write.parquet(f"{path}/hop=0")
-    known = lambda: spark.read.schema("way string, start string, node string, hop int").parquet(path)
+    seed, names = _keyed(*[x for w, (edges, starts) in ways.items() for x in ((w, edges, "source"), (w, edges, "target"), (w, starts, "node"))])
+    spark = names.sparkSession
+    steps = [e.select(_key(seed, w, "source").alias("source"), _key(seed, w, "target").alias("target")) for w, (e, _) in ways.items()]
+    steps = reduce(DataFrame.unionByName, steps).where("source is not null").repartition(buckets(spark), "source").distinct()
+    steps = bucketed(steps, "steps", "source")
+    begun = stored(reduce(DataFrame.unionByName, [
+        s.select(_key(seed, w, "node").alias("start"), F.lit(w).alias("way"), F.col("node").alias("named")).distinct() for w, (_, s) in ways.items()
+    ]), "starts")
+    at = lambda df, hop: df.select("start", "node", F.lit(hop).alias("hop"))
+    table = bucket_table(at(begun.withColumn("node", F.col("start")), 0), "reached", "start", "node")
+    known = lambda: spark.table(table)
     for hop in count(1):
-        reached = (
-            known().where(F.col("hop") == hop - 1).select("way", "start", F.col("node").alias("source"))
-            .join(steps, ["way", "source"]).select("way", "start", F.col("target").alias("node")).distinct()
-        )
-        new = reached.join(known().select("way", "start", "node"), ["way", "start", "node"], "left_anti")
+        met = known().where(F.col("hop") == hop - 1).select("start", F.col("node").alias("source"))
+        reached = steps.join(met, "source").select("start", F.col("target").alias("node")).distinct()
+        new = reached.join(known().select("start", "node"), ["start", "node"], "left_anti")
         if max_hops is not None and hop > max_hops:
             if not new.isEmpty():
                 warnings.warn(f"paths go on after max_hops={max_hops}; nodes beyond are left out", stacklevel=3)
             break
-        new.write.parquet(f"{path}/hop={hop}")
+        bucket_table(at(new, hop), "reached", "start", "node", name=table)
         if known().where(F.col("hop") == hop).isEmpty():
             break
-    return known().where("hop > 0").select("way", "start", "node", F.col("hop").alias("hops"))
+    found = known().where("hop > 0").join(begun, "start").join(names.select(F.col("key").alias("node"), "id"), "node", "left")
+    return found.select("way", F.col("named").alias("start"), F.col("id").alias("node"), F.col("hop").alias("hops"))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -127,24 +149,39 @@ def lineage_closure(edges: DataFrame, starts: DataFrame, max_hops: int | None =
 def lineage_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, flow): the connected flow a node belongs to, named by its smallest node; a node without edges is its own.
 
-    Edges are rewired until every flow is a star around its smallest node: each node links its larger neighbours to
-    its smallest one, then its smaller neighbours and itself, until no node has two links or stands between two others. Few
-    rounds are needed (their number grows with the logarithm of a flow's length), a round is two aggregations
-    joined back to the pairs: a node with a third of all edges is met by partial aggregates, and its pairs may be split.
+    Nodes are numbers in no order. In a round every node goes over to the least number among itself and its neighbours, and links
+    become links of those they went to, numbered anew: both the nodes and the links left shrink by a
+    share in every round, so all rounds together move a small multiple of the edges. A round is two aggregations
+    joined back to the links: a node with a third of all edges is met by partial aggregates, and its links may be split.
     """
-    ends = edges.where("source <> target").select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b"))
-    pairs = stored(ends.distinct(), "flow-pairs")
-    inner = pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi")
-    while not inner.isEmpty() or pairs.groupBy("a").count().where("count > 1").limit(1).count():
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        larger = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "flow-pairs")
-        least = larger.groupBy("a").agg(F.min("b").alias("m"))
-        smaller = larger.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = stored(smaller.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "flow-pairs")
-        inner = pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi")
-    stars = pairs.select(F.col("a").alias("id"), F.col("b").alias("flow"))
-    return nodes.select("id").join(stars, "id", "left").select(F.col("id").alias("node"), F.coalesce("flow", "id").alias("flow"))
+    links = edges.where("source <> target")
+    seed, names = _keyed(("", nodes, "id"), ("", links, "source"), ("", links, "target"))
+    pair = lambda df, x, y: stored(df.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "flow-links")
+    # of a number alone this hash is one to one, so numbering anew keeps nodes apart
+    anew = lambda c: F.xxhash64(F.col(c))
+    now, rounds = pair(links, _key(seed, "", "source"), _key(seed, "", "target")), []
+    while not now.isEmpty():
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        went = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "flow-round")
+        rounds.append(went)
+        side = lambda c: went.select(F.col("a").alias(c), anew("to").alias(f"to_{c}"))
+        moved = now.join(side("a"), "a").join(side("b"), "b").where("to_a <> to_b")
+        now = pair(moved, F.col("to_a"), F.col("to_b"))
+    own = nodes.select(F.col("id").alias("node"))
+    if not rounds:
+        return own.withColumn("flow", F.col("node"))
+    flows = None
+    for i, went in reversed(list(enumerate(rounds))):
+        # a flow is told by the round that left it one node, and that node's number there
+        here = went.select("a", anew("to").alias("end"), F.lit(i).alias("round"))
+        if flows is not None:
+            on = flows.select(F.col("a").alias("end"), F.col("round").alias("later"), F.col("end").alias("last"))
+            here = here.join(on, "end", "left").select("a", F.coalesce("last", "end").alias("end"), F.coalesce("later", "round").alias("round"))
+        flows = stored(here, "flow-ends")
+    members = stored(names.join(flows, names["key"] == flows["a"]).select("id", "end", "round"), "flow-members")
+    least = members.groupBy("end", "round").agg(F.min("id").alias("flow"))
+    named = members.join(least, ["end", "round"]).select(F.col("id").alias("node"), "flow")
+    return own.join(named, "node", "left").select("node", F.coalesce("flow", "node").alias("flow"))
 
 
 def flow_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:

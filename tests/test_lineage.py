@@ -75,3 +75,47 @@ def test_closure_walks_both_ways_at_once(spark):
     }
     assert got == {tuple(r) for r in L.upstream(edges, starts).selectExpr("start", "node", "'upstream'", "hops").collect()} | {
         tuple(r) for r in L.downstream(edges, starts).selectExpr("start", "node", "'downstream'", "hops").collect()}
+
+
+def test_links_shrink_from_round_to_round(spark, monkeypatch):
+    nodes = [f"n{i:03d}" for i in range(300)]
+    sizes, stored = [], L.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "flow-links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "stored", counted)
+    edges = list(zip(nodes, nodes[1:]))
+    assert {r.flow for r in L.lineage_flows(*frames(spark, nodes, edges)).collect()} == {"n000"}
+    assert sizes[0] == 299 and sizes[-1] == 0 and sum(sizes) < 4 * 299
+
+
+def test_two_names_of_one_number_are_told_apart(spark, monkeypatch):
+    key = L._key
+    monkeypatch.setattr(L, "_key", lambda seed, way, name: L.F.lit(7).cast("bigint") if seed == 1 else key(seed, way, name))
+    nodes, edges = frames(spark, list("abcd"), [("a", "b"), ("b", "c")])
+    assert {tuple(r) for r in L.lineage_flows(nodes, edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")}
+    starts = spark.createDataFrame([("a",)], "node string")
+    assert {tuple(r) for r in L.downstream(edges, starts).collect()} == {("a", "b", 1), ("a", "c", 2)}
+
+
+def test_rounds_shuffle_neither_steps_nor_known_pairs(spark, monkeypatch):
+    plans, write = [], L.bucket_table
+
+    def kept(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args, **kw)
+
+    monkeypatch.setattr(L, "bucket_table", kept)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, edges = frames(spark, list("abc"), [("a", "b"), ("b", "c")])
+        L.reachable(edges, spark.createDataFrame([("a",)], "node string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    rounds = [p for p in plans if "LeftAnti" in p]
+    assert rounds and all(p.count("Bucketed: true") >= 2 and p.count("Exchange hashpartitioning") == 2 for p in rounds)
