@@ -24,6 +24,8 @@ SIMILAR = (75, 100)
 LIKELY = 0.55
 #: Rows of a block whose signatures are held, and rows that stream by them in one task.
 HELD, STREAMED = 512, 65536
+#: Rows whose texts and sets are in a worker's hands at once.
+AT_ONCE = 1024
 _U = np.uint64
 _XOR = mix(np.arange(1, FUNCTIONS + 1, dtype=_U) * _U(77))
 _ODD = mix(np.arange(1, FUNCTIONS + 1, dtype=_U) * _U(191)) | _U(1)
@@ -85,9 +87,16 @@ def _sketch(size: int):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of AT_ONCE rows, so what a worker makes of one does not depend on Spark's batches."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(first, AT_ONCE)
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wide = 2 * FUNCTIONS
-    for batch in batches:
+    for batch in _pieces(batches):
         x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, wide) for i in (2, 3))
         near = (x == y).mean(axis=1) >= LIKELY
         yield pa.RecordBatch.from_arrays(
@@ -99,7 +108,7 @@ def _confirm(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane = Lane(6, fold_case=True)
         sets = lambda text: [s for part in slices(text) for s in shingle_sets(part, lane, size)]
-        for batch in batches:
+        for batch in _pieces(batches):
             left = batch.column(2).dictionary_encode()
             known, code = sets(left.dictionary), left.indices.to_numpy(zero_copy_only=False)
             other = sets(batch.column(3))
@@ -152,7 +161,7 @@ def _across(size: int):
             known.update(zip(new, sets_of(texts[new])))
 
         block, key = _Block(), None
-        for batch in batches:
+        for batch in _pieces(batches):
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
             first, ids, roots, out = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
             sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, wide)

@@ -231,3 +231,18 @@ def test_products_are_exact():
     top = negatives.LONGEST
     assert negatives.products(a, b).tolist() == [[11, 3 * 2**40 - 15, top], [7 * 2**40 + 2, top, top]]
     assert negatives.products(np.array([[2.0**31, 1.0]]), np.array([[2.0**30, 1.0]])).tolist() == [[2**61 + 1]]
+
+
+def test_near_copies_are_confirmed_in_pieces():
+    import pyarrow as pa
+
+    from ledgerlift.llm import minhash
+
+    n = 2 * minhash.AT_ONCE + 5
+    text = "one two three four five six seven eight nine ten"
+    other = [text if i % 3 else "nothing of this is said above at all" for i in range(n)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([text] * n), pa.array(other)], names=["a", "b", "text_a", "text_b"])
+    out = list(minhash._confirm(minhash.SHINGLE)(iter([batch])))
+    assert len(out) == 3 and max(b.num_rows for b in out) <= minhash.AT_ONCE
+    assert [i for b in out for i in b.column(1).to_pylist()] == [i for i in range(n) if i % 3]
