@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from ledgerlift.functions import scalars as S
+from ledgerlift.functions.semantics import money_sum, money_total
 from ledgerlift.plans import reserve as R
 
 ST = R.Settings(letters={"X": "B"}, undivided_system="X")
@@ -72,3 +73,40 @@ def test_posted_rows_are_filtered_above_the_formula(spark, monkeypatch):
         {"rvr_atu": S.F.col("rvr") * 1.5, "rvr_atu_negativa": S.F.lit("NAO")})
     want = [r for r in rows.collect() if r.inconsist != "S" and r.rvr_atu is not None and r.rvr_atu > 0]
     assert 0 < len(want) < 401 and sorted(map(str, R.postable(rows).collect())) == sorted(map(str, want))
+
+
+def test_wide_rows_are_dealt_out_by_no_lookup(spark):
+    """Only narrow keys and facts are shuffled; the small tables of groups and factors are known to be small."""
+    groups = spark.range(5000).selectExpr("cast(id as int) % 3 as grupo_ramo", "cast(id as int) % 5 as cod_ramo", "'G1' as grupo_calculo").distinct()
+    keys = {k: "6238" if k == "cod_seguradora" else "-1" if k == "agging_meses" else "'D'" for k in R.FACTOR_KEYS}
+    factors = spark.range(500000).selectExpr(*[f"{v} as {k}" for k, v in keys.items()], "id / 1e6 as fator")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = R.pipeline(installments(spark), shares(spark), groups, factors, ST)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not any("Exchange hash" in a and "val_cobranca" in b for a, b in zip(plan, plan[1:]))
+
+
+def test_shares_that_come_twice_or_without_a_product(spark):
+    rows = installments(spark)
+    twice = spark.createDataFrame([(3, 1, 0.2), (3, 1, 0.3), (3, None, 0.4)], "cod_ramo int, cod_produto long, percentual_sas double")
+    some = ["cod_apolice", "num_parcela", "cpf_cnpj", "percentual_sas", "rvr"]
+    want = R.base(rows, twice, ST).select(*some).collect()
+    assert len(want) > 401 and sorted(map(str, R.with_status(rows, twice, ST).select(*some).collect())) == sorted(map(str, want))
+
+
+def test_one_issue_type_keeps_the_insured_of_all(spark):
+    rows = installments(spark).withColumn("cod_tp_emissao", S.F.expr("if(num_parcela % 2 = 0, 'A', 'D')"))
+    every = R.with_status(rows, shares(spark), ST).where("cod_tp_emissao = 'A'").collect()
+    assert sorted(map(str, R.with_status(rows, shares(spark), ST, "A").collect())) == sorted(map(str, every))
+
+
+def test_money_sum_rounds_as_decimals_do(spark):
+    amounts = [0.0, 0.005, -0.005, 0.004999, -0.015, 1.005, -2.675, 123456.785, 9e8, -9e8, 3e12, -7e12, None]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(amounts)] + [(99, 0.005), (99, None), (99, 0.01)], "k int, a double")
+    for digits in (0, 2, 6, 8):
+        exact = S.F.round(money_total(S.F.col("a")), digits).cast("double")
+        for r in df.groupBy("k").agg(money_sum(S.F.col("a"), digits).alias("got"), exact.alias("want")).collect():
+            assert r.got == r.want, r
