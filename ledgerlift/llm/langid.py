@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm.common import keep_others, table
+from ledgerlift.session import small_batches
 
 #: Bytes of text in a language's dictionary, and the most rows that are read for one.
 DICTIONARY_BYTES, SAMPLE_ROWS = 96 << 10, 400
@@ -160,6 +161,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
     letter, is `und` with score 0 and rejected; so is every text if no language was learned. Whole texts
     are read, one at a time, whatever their length.
     """
+    small_batches(df.sparkSession)
     cols = [c for c in keep_others(df, ["lang_pred", "score", "rejected"]) if c != text]
     rows = df.select(*cols, text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["lang_pred string", "score double"])

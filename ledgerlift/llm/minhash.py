@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlift.llm.common import table
 from ledgerlift.llm.graph import components
 from ledgerlift.llm.words import Lane, Slice, mix, slices
-from ledgerlift.session import stored
+from ledgerlift.session import small_batches, stored
 
 SHINGLE = 5
 #: 64 hash functions give a minimum and a maximum each: 128 values in 32 bands of 4. A pair at 0.75 shares
@@ -255,6 +255,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     linked with nothing, has no component and is kept. Rows that share a key are one document. Keys are
     integers. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     sketches = stored(docs.mapInArrow(_sketch(size), "id long, n long, d1 long, d2 long, sig binary"), "sketches")
     named = sketches.where("n > 0 and id is not null")

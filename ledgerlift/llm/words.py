@@ -1,7 +1,7 @@
 """Words of whole texts as arrays: byte spans and hashes, many documents at a time.
 
 A word is a run of bytes other than space and 0x09-0x0D. All work is on arrays over a slice of a
-batch, so no Python loop runs per word, and a slice holds a few MB however long a batch is.
+batch, so no Python loop runs per word, and a slice holds half a MB of text (its arrays: some 30 MB), or one longer text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _U = np.uint64
 
 

@@ -273,6 +273,41 @@ def test_near_duplicates_against_all_pairs(docs, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_whole_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from ledgerlift.llm import words
+    from ledgerlift.session import BATCH_BYTES
+
+    docs = spark.range(0, 200, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 9000) as text")
+
+    def sketch(size):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([b.nbytes] * n), pa.array([0] * n), pa.array([0] * n), pa.array([bytes(512)] * n)],
+                    names=["id", "n", "d1", "d2", "sig"])
+        return run
+
+    def predict(dictionaries):
+        def run(batches):
+            for b in batches:
+                new = [pa.array([str(b.nbytes)] * b.num_rows), pa.array([0.0] * b.num_rows)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "lang_pred", "score"])
+        return run
+
+    monkeypatch.setattr(minhash, "_sketch", sketch)
+    monkeypatch.setattr(langid, "_predict", predict)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    assert langid.identify(docs, {}).agg(F.max(F.col("lang_pred").cast("long"))).first()[0] < 2 * BATCH_BYTES
+    spark.conf.unset(name)
+    assert minhash.near_duplicates(docs).agg(F.max("n_shingles")).first()[0] < 2 * BATCH_BYTES
+    parts = list(words.slices(pa.array(["some words " * 900] * 400)))
+    assert sum(p.n for p in parts) == 400 and max(len(p.data) for p in parts) <= 1 << 20
+
+
 def test_chains_of_copies_are_one_component(spark):
     """Each text is like the next, the ends are not alike: links between any two must be found."""
     rng = np.random.default_rng(4)
