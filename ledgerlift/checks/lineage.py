@@ -8,7 +8,7 @@ from ledgerlift.checks.corpus import READS, STEPS_LIST, MACROS, ex, srt, trim_al
 from ledgerlift.operators import corpus as C
 from ledgerlift.operators import lineage as L
 from ledgerlift.plans.views import view, with_views
-from ledgerlift.session import stored
+from ledgerlift.session import buckets, stored
 
 
 def _flows(s, d):
@@ -26,12 +26,25 @@ def _corpus(s, d):
     return C.extract(view(s, d, "programs"), *fields).drop("content")
 
 
+def _with_flows(s, d):
+    """(nodes, edges, flows) of the graph, each written once; of the nodes only the names."""
+    parsed = stored(_flows(s, d).repartition(buckets(s), "filename"), "parsed")
+    nodes, edges = stored(L.lineage_nodes(parsed).select("id"), "graph"), stored(L.lineage_edges(parsed), "graph")
+    return nodes, edges, stored(L.lineage_flows(nodes, edges), "flows")
+
+
 def _walk(s, d, end, walk):
-    """`walk` over the graph from one node of each connected flow: its head, its tail or the node that names it."""
+    """`walk` over the graph from one node of each connected flow: its head or its tail."""
     nodes, edges = (stored(x, "graph") for x in _graph(s, d))
     return walk(edges, stored(L.flow_ends(nodes, edges).select(F.col(end).alias("node")), "starts"))
 
 
+def _closure(s, d):
+    """The closure of every node."""
+    _, edges, flows = _with_flows(s, d)
+    return L.lineage_closure(edges, flows=flows)
+
+
 QUERIES = {
     "lineage_nodes": lambda s, d: _graph(s, d)[0],
     "lineage_edges": lambda s, d: _graph(s, d)[1],
@@ -39,7 +52,7 @@ QUERIES = {
     "lineage_edges_corpus": lambda s, d: L.lineage_edges(_corpus(s, d)),
     "upstream": lambda s, d: _walk(s, d, "tail", L.upstream),
     "downstream": lambda s, d: _walk(s, d, "head", L.downstream),
-    "lineage_closure": lambda s, d: _walk(s, d, "flow", L.lineage_closure),
+    "lineage_closure": _closure,
     "roots_leaves": lambda s, d: L.roots_leaves(*_graph(s, d)),
     "graph_stats": lambda s, d: L.graph_stats(*_graph(s, d)),
     "edge_type_counts": lambda s, d: L.edge_type_counts(L.lineage_edges(_corpus(s, d))),
@@ -85,16 +98,16 @@ ENDS = """ends AS (SELECT flow, count(*) AS nodes,
   coalesce(min(node) FILTER (node NOT IN (SELECT source FROM e)), min(node)) AS tail FROM flows GROUP BY flow)"""
 
 
-def _hops(end, *directions):
-    """Level by level from one node of each flow; the longest shortest way, down a chain of ten datasets and ten programs, is below forty steps."""
+def _hops(end, *directions, among="ends", steps=(FLOWS, ENDS)):
+    """Level by level from one node of each flow, or all nodes; the longest shortest way, down a chain of ten datasets and ten programs, is below forty steps."""
     walks, parts = [], []
     for name in directions:
         a, b = ("source", "target") if name == "downstream" else ("target", "source")
-        walks.append(f"""{name} AS (SELECT {end} AS start, {end} AS node, 0 AS hops FROM ends UNION
+        walks.append(f"""{name} AS (SELECT {end} AS start, {end} AS node, 0 AS hops FROM {among} UNION
           SELECT w.start, e.{b}, w.hops + 1 FROM {name} w JOIN e ON e.{a} = w.node WHERE w.hops < 40)""")
         label = f"'{name}' AS direction, " if len(directions) > 1 else ""
         parts.append(f"SELECT start, node, {label}min(hops) AS hops FROM {name} WHERE node <> start GROUP BY start, node")
-    return q(f"WITH RECURSIVE {EDGES}, {NODES}, {FLOWS}, {ENDS}, {', '.join(walks)} {' UNION ALL '.join(parts)}")
+    return q(f"WITH RECURSIVE {', '.join([EDGES, NODES, *steps, *walks])} {' UNION ALL '.join(parts)}")
 
 
 ORACLE = {
@@ -108,7 +121,7 @@ ORACLE = {
       CASE WHEN relationship IN ('reads', 'calls', 'includes') THEN prog ELSE id END AS target, relationship FROM g"""),
     "upstream": _hops("tail", "upstream"),
     "downstream": _hops("head", "downstream"),
-    "lineage_closure": _hops("flow", "upstream", "downstream"),
+    "lineage_closure": _hops("id", "upstream", "downstream", among="n", steps=()),
     "lineage_flows": q(f"WITH RECURSIVE {EDGES}, {NODES}, {FLOWS} SELECT * FROM flows"),
     "flow_ends": q(f"WITH RECURSIVE {EDGES}, {NODES}, {FLOWS}, {ENDS} SELECT * FROM ends"),
     "hubs": q(f"WITH {EDGES} {HUBS}"),

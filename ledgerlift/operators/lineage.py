@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,14 @@ EDGE_FACTS = [
     ("macro_calls", "macro", "calls", True),
     ("includes", "include", "includes", True),
 ]
+#: Links (two numbers) that one task joins into flows at most; more go through rounds first.
+FEW_LINKS = 2_000_000
+#: Edges of a flow that one task walks over at most; a larger flow is walked over in rounds.
+FLOW_EDGES = 1 << 18
+#: Pairs of a start and a node of its flow that a walk marks at once.
+CELLS = 1 << 22
+#: Edges and starts, of whole flows, taken up at once.
+TAKEN = 1 << 16
 
 
 def _mentions(parsed: DataFrame) -> DataFrame:
@@ -83,7 +94,7 @@ def _keyed(*named: tuple[str, DataFrame, str]) -> tuple[int, DataFrame]:
             return seed, keyed
 
 
-def _walk(ways: dict[str, tuple[DataFrame, DataFrame]], max_hops: int | None) -> DataFrame:
+def _rounds(ways: dict[str, tuple[DataFrame, DataFrame]], max_hops: int | None = None) -> DataFrame:
     """(way, start, node, hops): breadth first over the edges and from the starts of each way, all ways at once.
 
     Nodes are numbers on the way. Each round joins only the pairs found in the round before with the steps, which lie in
@@ -108,7 +119,7 @@ def _walk(ways: dict[str, tuple[DataFrame, DataFrame]], max_hops: int | None) ->
         new = reached.join(known().select("start", "node"), ["start", "node"], "left_anti")
         if max_hops is not None and hop > max_hops:
             if not new.isEmpty():
-                warnings.warn(f"paths go on after max_hops={max_hops}; nodes beyond are left out", stacklevel=3)
+                warnings.warn(f"paths go on after max_hops={max_hops}; nodes beyond are left out", stacklevel=4)
             break
         bucket_table(at(new, hop), "reached", "start", "node", name=table)
         if known().where(F.col("hop") == hop).isEmpty():
@@ -117,6 +128,124 @@ def _walk(ways: dict[str, tuple[DataFrame, DataFrame]], max_hops: int | None) ->
     return found.select("way", F.col("named").alias("start"), F.col("id").alias("node"), F.col("hop").alias("hops"))
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, sorted by `at`, in tables of about TAKEN rows that end where a value of `at` ends."""
+    held, rows, due = [], 0, TAKEN
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows < due:
+            continue
+        table = pa.Table.from_batches(held)
+        at = table["at"].to_numpy()
+        ends = np.flatnonzero(at[1:] != at[:-1])
+        if len(ends):
+            yield table.slice(0, ends[-1] + 1)
+            table = table.slice(ends[-1] + 1)
+        held, rows = table.to_batches(), len(table)
+        due = max(TAKEN, 2 * rows)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _reached(first: np.ndarray, to: np.ndarray, begun: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start's place in `begun`, node, hops): breadth first along the edges from first[v] to first[v + 1] of `to`, from all starts at once.
+
+    The cell of a start and a node is base[start] + node.
+    """
+    cells = int(base[-1])
+    seen, last = np.zeros(cells, bool), np.empty(cells, np.int32)
+    base = base[:-1]
+    start, node = np.arange(len(begun)), begun
+    seen[base + node] = True
+    found: list[tuple[np.ndarray, ...]] = []
+    for hop in count(1):
+        many = first[node + 1] - first[node]
+        ahead = np.cumsum(many)
+        start = np.repeat(start, many)
+        node = to[np.arange(len(start)) + np.repeat(first[node] - (ahead - many), many)]
+        cell = base[start] + node
+        new = np.flatnonzero(~seen[cell])
+        cell = cell[new]
+        place = np.arange(len(new), dtype=np.int32)
+        last[cell] = place
+        once = last[cell] == place
+        new, cell = new[once], cell[once]
+        if not len(new):
+            break
+        seen[cell] = True
+        start, node = start[new], node[new]
+        found.append((start.astype(np.int32), node.astype(np.int32), np.full(len(new), hop, np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int32),) * 3
+
+
+def _within(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: (at, source, target), sorted by `at`, to (start, node, hops). A row without a target is a start."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            at = np.unique(table["at"].to_numpy(), return_inverse=True)[1]
+            step = table["target"].is_valid().to_numpy()
+            names = pa.concat_arrays([*table["source"].chunks, *table["target"].drop_null().chunks]).dictionary_encode()
+            known = len(names.dictionary)
+            # nodes are numbered flow by flow; a flow dealt out several times has its nodes in every part
+            keys, numbers = np.unique(np.concatenate([at, at[step]]) * known + names.indices.to_numpy(), return_inverse=True)
+            source, target = numbers[: len(at)], numbers[len(at) :]
+            said = lambda v: names.dictionary.take(pa.array(keys[v] % known))
+            order = np.argsort(source[step], kind="stable")
+            to = target[order]
+            first = np.concatenate([[0], np.cumsum(np.bincount(source[step], minlength=len(keys)))])
+            begun = np.unique(source[~step])
+            lowest = np.searchsorted(keys // known, np.arange(at[-1] + 2))
+            flow = keys[begun] // known
+            total = np.concatenate([[0], np.cumsum(lowest[flow + 1] - lowest[flow])])
+            i = 0
+            while i < len(begun):
+                j = max(i + 1, int(np.searchsorted(total, total[i] + cells, "right")) - 1)
+                base = np.concatenate([total[i:j] - total[i] - lowest[flow[i:j]], [total[j] - total[i]]])
+                start, node, hops = _reached(first, to, begun[i:j], base)
+                for k in range(0, len(start), TAKEN):
+                    cut = slice(k, k + TAKEN)
+                    yield pa.RecordBatch.from_arrays(
+                        [said(begun[i:j][start[cut]]), said(node[cut]), pa.array(hops[cut])], ["start", "node", "hops"])
+                i = j
+
+    return walk
+
+
+def _walk(ways: dict[str, tuple[DataFrame, DataFrame]], max_hops: int | None, flows: DataFrame | None = None) -> DataFrame:
+    """(way, start, node, hops): breadth first over the edges and from the starts of each way.
+
+    With flows (node, flow) that hold the edges' nodes, a flow of up to FLOW_EDGES edges is walked over by one task, or
+    by several that share its starts where they may find many pairs; only edges and starts are shuffled. Larger flows,
+    and walks with a bound or without flows, go in rounds over all executors.
+    """
+    if flows is None or max_hops is not None:
+        return _rounds(ways, max_hops)
+    placed = lambda df, c: df.join(flows.select(F.col("node").alias(c), "flow"), c)
+    found = []
+    for way, (edges, starts) in ways.items():
+        steps = stored(placed(edges.select("source", "target").where("target is not null"), "source"), "walk-steps")
+        begun = stored(placed(starts.select(F.col("node").alias("start")).distinct(), "start"), "walk-starts")
+        n = lambda df, name: df.groupBy("flow").agg(F.count(F.lit(1)).alias(name))
+        sizes = n(begun, "starts").join(n(steps, "steps"), "flow")
+        # a connected flow has at most one node more than edges
+        sizes = stored(sizes.withColumn("parts", F.ceil(F.col("starts") * (F.col("steps") + 1) / CELLS)), "walk-sizes")
+        small, large = sizes.where(F.col("steps") <= FLOW_EDGES), sizes.where(F.col("steps") > FLOW_EDGES)
+        # two parts of one number are walked over together, which finds the same
+        at = lambda part: F.xxhash64("flow", part).alias("at")
+        every = steps.join(small, "flow").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        rows = every.select(at("part"), "source", "target").unionByName(begun.join(small, "flow").select(
+            at(F.pmod(F.xxhash64("start"), "parts")), F.col("start").alias("source"), F.lit(None).cast("string").alias("target")))
+        dealt = rows.repartition(buckets(flows.sparkSession), "at").sortWithinPartitions("at")
+        near = dealt.mapInArrow(_within(CELLS), "start string, node string, hops int")
+        found.append(near.select(F.lit(way).alias("way"), "start", "node", "hops"))
+        if not large.isEmpty():
+            of = large.select("flow")
+            found.append(_rounds({way: (steps.join(of, "flow"), begun.join(of, "flow").select(F.col("start").alias("node")))}))
+    return reduce(DataFrame.unionByName, found)
+
+
 def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(start, node, hops): what each start (column node) reaches along source -> target, in at most `max_hops` steps if given.
 
@@ -129,23 +258,52 @@ def _turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
-def downstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Descendants of each start, the start itself left out."""
-    return reachable(edges, starts, max_hops).where("node <> start")
+def downstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, flows: DataFrame | None = None) -> DataFrame:
+    """Descendants of each start, the start itself left out; quicker with the `lineage_flows` of the edges' nodes."""
+    return _walk({"on": (edges, starts)}, max_hops, flows).drop("way").where("node <> start")
 
 
-def upstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Ancestors of each start, the start itself left out."""
-    return downstream(_turned(edges), starts, max_hops)
+def upstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, flows: DataFrame | None = None) -> DataFrame:
+    """Ancestors of each start, the start itself left out; quicker with the `lineage_flows` of the edges' nodes."""
+    return downstream(_turned(edges), starts, max_hops, flows)
 
 
-def lineage_closure(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(start, node, direction, hops): all that the starts depend on and all that depends on them, in one walk."""
+def lineage_closure(
+    edges: DataFrame, starts: DataFrame | None = None, max_hops: int | None = None, flows: DataFrame | None = None
+) -> DataFrame:
+    """(start, node, direction, hops): all that the starts depend on and all that depends on them; of every node if no starts are given.
+
+    What every node depends on is what depends on every node, told the other way round: one walk, one way.
+    """
+    if starts is None:
+        pairs = _walk({"on": (edges, edges.select(F.col("source").alias("node")))}, max_hops, flows).where("node <> start")
+        told = lambda start, node, way: F.struct(
+            F.col(start).alias("start"), F.col(node).alias("node"), F.lit(way).alias("direction"), F.col("hops").alias("hops"))
+        return pairs.select(F.inline(F.array(told("start", "node", "downstream"), told("node", "start", "upstream"))))
     ways = {"upstream": (_turned(edges), starts), "downstream": (edges, starts)}
-    walked = _walk(ways, max_hops).where("node <> start")
+    walked = _walk(ways, max_hops, flows).where("node <> start")
     return walked.select("start", "node", F.col("way").alias("direction"), "hops")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, over all links (a, b) in one task: (a, to), every node and the least number it is connected with."""
+    read = [(x["a"].to_numpy(), x["b"].to_numpy()) for x in batches]
+    if not read:
+        return
+    a, b = (np.concatenate(x) for x in zip(*read))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, to = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(further := to[to], to):
+            to = further
+        x, y = to[x], to[y]
+        x, y = x[x != y], y[x != y]
+    for k in range(0, len(nodes), TAKEN):
+        cut = slice(k, k + TAKEN)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[cut]), pa.array(nodes[to[cut]])], ["a", "to"])
+
+
 def lineage_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, flow): the connected flow a node belongs to, named by its smallest node; a node without edges is its own.
 
@@ -153,6 +311,7 @@ def lineage_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     become links of those they went to, numbered anew: both the nodes and the links left shrink by a
     share in every round, so all rounds together move a small multiple of the edges. A round is two aggregations
     joined back to the links: a node with a third of all edges is met by partial aggregates, and its links may be split.
+    At most FEW_LINKS links are left to one task, which ends the rounds.
     """
     links = edges.where("source <> target")
     seed, names = _keyed(("", nodes, "id"), ("", links, "source"), ("", links, "target"))
@@ -160,7 +319,11 @@ def lineage_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # of a number alone this hash is one to one, so numbering anew keeps nodes apart
     anew = lambda c: F.xxhash64(F.col(c))
     now, rounds = pair(links, _key(seed, "", "source"), _key(seed, "", "target")), []
-    while not now.isEmpty():
+    while left := now.count():
+        if left <= FEW_LINKS:
+            rounds.append(stored(now.coalesce(1).mapInArrow(_joined, "a long, to long"), "flow-round"))
+            now = stored(now.where("false"), "flow-links")
+            continue
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         went = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "flow-round")
         rounds.append(went)
@@ -184,10 +347,13 @@ def lineage_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(named, "node", "left").select("node", F.coalesce("flow", "node").alias("flow"))
 
 
-def flow_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(flow, nodes, head, tail): a flow's size, its first root and first leaf; its smallest node where it has none (a cycle)."""
+def flow_ends(nodes: DataFrame, edges: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """(flow, nodes, head, tail): a flow's size, its first root and first leaf; its smallest node where it has none (a cycle).
+
+    `flows` are the `lineage_flows` of the same graph, if they are at hand.
+    """
     ends = lambda df, name: df.select(F.col("id").alias("node"), F.lit(True).alias(name))
-    flows = stored(lineage_flows(nodes, edges), "flows")
+    flows = stored(lineage_flows(nodes, edges), "flows") if flows is None else flows
     marked = flows.join(ends(roots(nodes, edges), "root"), "node", "left").join(ends(leaves(nodes, edges), "leaf"), "node", "left")
     first = lambda flag: F.coalesce(F.min(F.when(F.col(flag), F.col("node"))), F.min("node"))
     return marked.groupBy("flow").agg(F.count(F.lit(1)).alias("nodes"), first("root").alias("head"), first("leaf").alias("tail"))

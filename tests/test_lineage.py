@@ -119,3 +119,78 @@ def test_rounds_shuffle_neither_steps_nor_known_pairs(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rounds = [p for p in plans if "LeftAnti" in p]
     assert rounds and all(p.count("Bucketed: true") >= 2 and p.count("Exchange hashpartitioning") == 2 for p in rounds)
+
+
+def walked(edges, starts):
+    """(start, node): steps of the shortest way from the start to another node."""
+    after, out = {}, {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for s in starts:
+        hops, now = {s: 0}, [s]
+        while now:
+            now = [hops.setdefault(b, hops[a] + 1) and b for a in now for b in sorted(after.get(a, ())) if b not in hops]
+        out |= {(s, n): h for n, h in hops.items() if n != s}
+    return out
+
+
+def hops_of(df):
+    rows = [((r.start, r.node), r.hops) for r in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+@pytest.mark.parametrize("seed, limits", [
+    (0, {}), (0, {"CELLS": 7, "TAKEN": 3}), (0, {"FLOW_EDGES": 4, "FEW_LINKS": 5}), (1, {"FLOW_EDGES": 0, "FEW_LINKS": 0}),
+    (2, {"CELLS": 7, "TAKEN": 3}), (3, {"CELLS": 7, "TAKEN": 3}),
+])
+def test_walks_within_flows_find_what_plain_walks_find(spark, monkeypatch, seed, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(L, name, value)
+    names, pairs = graph(seed)
+    nodes, edges = frames(spark, names, pairs)
+    flows = L.stored(L.lineage_flows(nodes, edges), "flows")
+    assert {r.node: r.flow for r in flows.collect()} == flows_of(names, pairs)
+    some = names[::7]
+    starts = spark.createDataFrame([(n,) for n in [*some, some[0], "zz", None]], "node string")
+    assert hops_of(L.downstream(edges, starts, flows=flows)) == walked(pairs, some)
+    if seed in (0, 3):
+        assert hops_of(L.upstream(edges, starts, flows=flows)) == walked([p[::-1] for p in pairs], some)
+
+
+def test_closure_without_starts_is_that_of_every_node(spark):
+    names, pairs = graph(0)
+    nodes, edges = frames(spark, names, [*pairs, (None, "n002"), ("n002", None)])
+    down, up = walked(pairs, names), walked([p[::-1] for p in pairs], names)
+    for flows in (None, L.lineage_flows(nodes, edges)):
+        got = L.lineage_closure(edges, flows=flows)
+        assert hops_of(got.where("direction = 'downstream'")) == down and hops_of(got.where("direction = 'upstream'")) == up
+    with pytest.warns(UserWarning, match="max_hops=1"):
+        near = L.lineage_closure(edges, max_hops=1, flows=flows)
+    assert hops_of(near.where("direction = 'upstream'")) == {k: h for k, h in up.items() if h == 1}
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    """A folder with a table of orders: one flow of a chain, one with a cycle."""
+    rows = [(i, c) for i, c in enumerate([10, 11, 12, 12, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9])]
+    df = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint").selectExpr(
+        "*", "'O' AS o_orderstatus", "1e0 AS o_totalprice", "timestamp_ntz '1998-01-01' AS o_orderdate", "'1' AS o_orderpriority")
+    df.write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
+def test_registered_closure_leaves_no_node_out(spark, orders):
+    pairs = [(r.source, r.target) for r in checks.QUERIES["lineage_edges"](spark, orders).collect()]
+    names = {n for p in pairs for n in p}
+    got = checks.QUERIES["lineage_closure"](spark, orders)
+    assert hops_of(got.where("direction = 'downstream'")) == walked(pairs, names)
+    assert hops_of(got.where("direction = 'upstream'")) == walked([p[::-1] for p in pairs], names)
+
+
+@pytest.mark.parametrize("name", ["lineage_closure"])
+def test_registered_walks_take_no_round_per_hop(spark, orders, monkeypatch, name):
+    written, bucket_table = [], L.bucket_table
+    monkeypatch.setattr(L, "bucket_table", lambda *args, **kw: written.append(args[1]) or bucket_table(*args, **kw))
+    assert checks.QUERIES[name](spark, orders).count() > 20
+    assert written == []  # one table per hop before
