@@ -35,8 +35,9 @@ def _with_flows(s, d):
 
 def _walk(s, d, end, walk):
     """`walk` over the graph from one node of each connected flow: its head or its tail."""
-    nodes, edges = (stored(x, "graph") for x in _graph(s, d))
-    return walk(edges, stored(L.flow_ends(nodes, edges).select(F.col(end).alias("node")), "starts"))
+    nodes, edges, flows = _with_flows(s, d)
+    starts = stored(L.flow_ends(nodes, edges, flows).select(F.col(end).alias("node")), "starts")
+    return walk(edges, starts, flows=flows)
 
 
 def _closure(s, d):
