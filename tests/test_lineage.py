@@ -188,7 +188,7 @@ def test_registered_closure_leaves_no_node_out(spark, orders):
     assert hops_of(got.where("direction = 'upstream'")) == walked([p[::-1] for p in pairs], names)
 
 
-@pytest.mark.parametrize("name", ["downstream", "lineage_closure"])
+@pytest.mark.parametrize("name", ["downstream", "upstream", "lineage_closure"])
 def test_registered_walks_take_no_round_per_hop(spark, orders, monkeypatch, name):
     written, bucket_table = [], L.bucket_table
     monkeypatch.setattr(L, "bucket_table", lambda *args, **kw: written.append(args[1]) or bucket_table(*args, **kw))
