@@ -8,7 +8,7 @@ from ledgerlift.checks.corpus import READS, STEPS_LIST, MACROS, ex, srt, trim_al
 from ledgerlift.operators import corpus as C
 from ledgerlift.operators import lineage as L
 from ledgerlift.plans.views import view, with_views
-from ledgerlift.session import buckets, stored
+from ledgerlift.session import stored
 
 
 def _flows(s, d):
@@ -28,8 +28,8 @@ def _corpus(s, d):
 
 def _with_flows(s, d):
     """(nodes, edges, flows) of the graph, each written once; of the nodes only the names."""
-    parsed = stored(_flows(s, d).repartition(buckets(s), "filename"), "parsed")
-    nodes, edges = stored(L.lineage_nodes(parsed).select("id"), "graph"), stored(L.lineage_edges(parsed), "graph")
+    nodes, edges = _graph(s, d)
+    nodes, edges = stored(nodes.select("id"), "graph"), stored(edges, "graph")
     return nodes, edges, stored(L.lineage_flows(nodes, edges), "flows")
 
 

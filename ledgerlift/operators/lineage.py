@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.operators.corpus import unnest
 from ledgerlift.session import bucket_table, bucketed, buckets, stored
 
 # The facts of a program that become edges, in the order nodes are first seen:
@@ -36,21 +35,19 @@ TAKEN = 1 << 16
 
 def _mentions(parsed: DataFrame) -> DataFrame:
     """One row per program and named thing: the program's node, the thing's node, kind and role."""
-
-    def tagged(i: int, fact: str, kind: str, role: str, inbound: bool) -> Column:
-        name = lambda v: v if kind == "include" else F.lower(v)
-        return F.transform(
-            F.col(fact),
-            lambda v: F.struct(
-                F.concat(F.lit(f"{kind}:"), name(v)).alias("node"), F.lit(kind).alias("type"), v.alias("label"),
-                F.lit(role).alias("relationship"), F.lit(inbound).alias("inbound"), F.lit(i).alias("rank"),
-            ),
-        )
-
-    present = [f for f in EDGE_FACTS if f[0] in parsed.columns]
-    things = F.concat(*[tagged(i, *f) for i, f in enumerate(present, start=1)])
+    present = [(i, *f) for i, f in enumerate([f for f in EDGE_FACTS if f[0] in parsed.columns], start=1)]
+    facts = F.array(*[
+        F.struct(F.lit(kind).alias("type"), F.lit(role).alias("relationship"), F.lit(inbound).alias("inbound"), F.lit(i).alias("rank"), F.col(fact).alias("named"))
+        for i, fact, kind, role, inbound in present
+    ])
+    # lists are spread, not walked by lambdas, which Spark does not compile; the outer forms are those of `unnest`
+    told = reduce(Column.__and__, [F.col(f[1]).isNotNull() for f in present])
     program = F.concat(F.lit("program:"), F.col("filename"))
-    return unnest(parsed.withColumn("program", program), ["program", "filename"], things)
+    rows = parsed.select(program.alias("program"), "filename", F.inline_outer(F.when(told, facts)))
+    kept = ["program", "filename", "type", "relationship", "inbound", "rank"]
+    rows = rows.select(*kept, F.posexplode_outer("named").alias("_place", "label")).where("_place is not null")
+    name = F.when(F.col("type") == "include", F.col("label")).otherwise(F.lower("label"))
+    return rows.select(*kept, "label", F.concat("type", F.lit(":"), name).alias("node"))
 
 
 def lineage_edges(parsed: DataFrame) -> DataFrame:
@@ -352,9 +349,9 @@ def flow_ends(nodes: DataFrame, edges: DataFrame, flows: DataFrame | None = None
 
     `flows` are the `lineage_flows` of the same graph, if they are at hand.
     """
-    ends = lambda df, name: df.select(F.col("id").alias("node"), F.lit(True).alias(name))
     flows = stored(lineage_flows(nodes, edges), "flows") if flows is None else flows
-    marked = flows.join(ends(roots(nodes, edges), "root"), "node", "left").join(ends(leaves(nodes, edges), "leaf"), "node", "left")
+    marked = flows.join(_ends_counted(edges).withColumnRenamed("id", "node"), "node", "left").withColumns({
+        "root": F.coalesce("in_degree", F.lit(0)) == 0, "leaf": F.coalesce("out_degree", F.lit(0)) == 0})
     first = lambda flag: F.coalesce(F.min(F.when(F.col(flag), F.col("node"))), F.min("node"))
     return marked.groupBy("flow").agg(F.count(F.lit(1)).alias("nodes"), first("root").alias("head"), first("leaf").alias("tail"))
 
@@ -398,12 +395,16 @@ def edge_type_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relationship").agg(F.count(F.lit(1)).alias("n"))
 
 
-def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """In- and out-degree of every node."""
+def _ends_counted(edges: DataFrame) -> DataFrame:
+    """(id, in_degree, out_degree) of the nodes that have edges."""
     ends = edges.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionAll(
         edges.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
-    counts = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    return nodes.select("id").join(counts, "id", "left").select(
+    return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+
+
+def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """In- and out-degree of every node."""
+    return nodes.select("id").join(_ends_counted(edges), "id", "left").select(
         "id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 

@@ -194,3 +194,15 @@ def test_registered_walks_take_no_round_per_hop(spark, orders, monkeypatch, name
     monkeypatch.setattr(L, "bucket_table", lambda *args, **kw: written.append(args[1]) or bucket_table(*args, **kw))
     assert checks.QUERIES[name](spark, orders).count() > 20
     assert written == []  # one table per hop before
+
+
+def test_mentions_of_lists_with_gaps(spark):
+    rows = [("p1", ["A", None, "a"], ["B"], ["/x/Y"]), ("p2", [], ["C"], []), ("p3", None, ["D"], ["z"])]
+    parsed = spark.createDataFrame(rows, "filename string, datasets_read array<string>, datasets_written array<string>, includes array<string>")
+    got = {tuple(r) for r in L.lineage_edges(parsed).collect()}
+    assert got == {
+        ("dataset:a", "program:p1", "reads"), (None, "program:p1", "reads"), ("program:p1", "dataset:b", "writes"),
+        ("include:/x/Y", "program:p1", "includes"), ("program:p2", "dataset:c", "writes"),
+    }  # a program that lacks a whole list has none
+    nodes = {(r.id, r.type, r.label) for r in L.lineage_nodes(parsed).collect() if r.type == "dataset"}
+    assert nodes == {("dataset:a", "dataset", "A"), ("dataset:b", "dataset", "B"), ("dataset:c", "dataset", "C"), (None, "dataset", None)}
